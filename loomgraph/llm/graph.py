@@ -1,6 +1,8 @@
 """Connected components of links, as DataFrame jobs."""
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -43,3 +45,52 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
         found = scratch.table(found, f"{name}-found-{step}")
         scratch.drop(f"{name}-links-{step - 1}", f"{name}-hook-{step}-{jump}", f"{name}-found-{step - 1}")
     return found
+
+
+#: Rounds of tests against leaders at most, and pairs left per posting at which they end early.
+ROUNDS, OPEN = 8, 2
+
+
+def linked_components(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, near: Column | None = None) -> DataFrame:
+    """(node, root) of all linked nodes, where links are the pairs in one list that ``verify`` keeps.
+
+    ``posts`` (token, node, n: long) lists the nodes of every token; ``verify`` gives those of pairs
+    (a, b) that are similar; pairs against ``near``, a condition on their n and m, can't be.
+
+    Components are wanted, not all pairs. In a round every node is tested against one leader
+    of its open lists, that which shares most of them; lists whose nodes are in one component close.
+    Rounds end when few pairs of different components share a list, or a round has not halved
+    them; those left are then all tested, so no link between components is lost, and a group of
+    n nodes that are alike costs about n tests.
+    """
+    shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1").select("token")
+    posts = scratch.table(posts.join(shared, "token"), "posts-0")
+    links, labels, before = None, None, float("inf")
+    for turn in range(ROUNDS + 1):
+        lists = posts if labels is None else posts.join(labels, "node", "left")
+        label = F.col("node") if labels is None else F.coalesce("root", "node")
+        lists = lists.select("token", "node", "n", label.alias("label"))
+        if turn:
+            counts = lists.groupBy("token", "label").agg(F.count(F.lit(1)).alias("nodes"))
+            open_ = counts.groupBy("token").agg(F.sum("nodes").alias("all"), F.sum(F.col("nodes") * F.col("nodes")).alias("within")).where("all * all > within")
+            open_ = scratch.table(open_.select("token", ((F.col("all") * F.col("all") - F.col("within")) / 2).alias("pairs")), f"open-{turn}")
+            lists = scratch.table(lists.join(open_.select("token"), "token"), f"posts-{turn}")
+            scratch.drop(f"posts-{turn - 1}")
+            posts = lists.select("token", "node", "n")
+            left, entries = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0], posts.count()
+            if left <= OPEN * entries or 2 * left > before or turn == ROUNDS:
+                break
+            before = left
+        luck = F.xxhash64("node", F.lit(turn))
+        leads = lists.groupBy("token").agg(F.min(F.struct(luck.alias("luck"), F.col("node").alias("lead"), F.col("n").alias("m"), F.col("label").alias("other"))).alias("x")).select("token", "x.lead", "x.m", "x.other")
+        met = lists.join(leads, "token").where(F.col("label") != F.col("other"))
+        met = met if near is None else met.where(near)
+        best = met.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("times")).groupBy("node").agg(F.max(F.struct("times", "lead")).alias("x"))
+        found = scratch.table(verify(best.select(F.col("node").alias("a"), F.col("x.lead").alias("b"))), f"links-{turn}")
+        links = found if links is None else links.union(found)
+        labels = components(links, scratch, f"labels-{turn}")
+    other = lists.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
+    rest = lists.join(other, "token").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("other")))
+    rest = rest if near is None else rest.where(near)
+    found = scratch.table(verify(rest.select(F.col("node").alias("a"), "b").distinct()), "links-rest")
+    return labels if found.isEmpty() else components(links.union(found), scratch, "labels")

@@ -7,14 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import linked_components
 from .hot import join_groups
 from .scratch import Scratch, parts_for
 from .words import mix, shingle_sets, text_batches
 
-#: Tokens that a task gathers before it deals them out; rounds that compare with leaders; and
-#: pairs left per posting at which such rounds end early.
-_BLOCK, ROUNDS, OPEN = 1 << 20, 8, 2
+#: Tokens that a task gathers before it deals them out.
+_BLOCK = 1 << 20
 _DEALT = "to int, kind int, a binary, b binary, c binary, d binary"
 _NODES = "node long, n long, low long, high long, shared binary, prefix array<long>"
 
@@ -200,46 +199,17 @@ def link_classes(texts: DataFrame, scratch: Scratch, k: int = 5, percent: int =
     answers only with tokens of two or more sets. A set whose rarest-first prefix is its own
     alone ends there: that is most of a corpus.
 
-    Components are wanted, not all pairs. In a round every open set is tested against one
-    leader, that which shares most of its prefix lists; lists whose sets are in one component
-    close. Rounds end when few pairs of different components share a list; those are then all
-    tested, so no link is lost, and a group of n near copies costs about n tests.
+    ``linked_components`` does the rest without listing the pairs of a group.
     """
     parts = parts_for(texts)
     dealt = texts.mapInArrow(deal_tokens(parts, k, percent), _DEALT).repartition(parts, "to")
     answers = dealt.mapInArrow(shared_tokens(parts), _DEALT).repartition(parts, "to")
     nodes = scratch.table(answers.mapInArrow(nodes_of(percent), _NODES), "nodes")
     live = nodes.where("prefix is not null")
-    posts = live.select("node", "n", F.explode("prefix").alias("token"))
-    shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("token")
-    posts = scratch.table(posts.join(shared, "token"), "posts-0")
-    near = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    links, labels = None, None
-    for turn in range(ROUNDS):
-        lists = posts if labels is None else posts.join(labels, "node", "left")
-        label = F.col("node") if labels is None else F.coalesce("root", "node")
-        lists = lists.select("token", "node", "n", label.alias("label"))
-        if turn:
-            counts = lists.groupBy("token", "label").agg(F.count(F.lit(1)).alias("sets"))
-            open_ = counts.groupBy("token").agg(F.sum("sets").alias("all"), F.sum(F.col("sets") * F.col("sets")).alias("within")).where("all * all > within")
-            open_ = scratch.table(open_.select("token", ((F.col("all") * F.col("all") - F.col("within")) / 2).alias("pairs")), f"open-{turn}")
-            lists = scratch.table(lists.join(open_.select("token"), "token"), f"posts-{turn}")
-            scratch.drop(f"posts-{turn - 1}")
-            posts = lists.select("token", "node", "n")
-            left, entries = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0], posts.count()
-            if left <= OPEN * entries or found.isEmpty() or turn == ROUNDS - 1:
-                break
-        luck = F.xxhash64("node", F.lit(turn))
-        leads = lists.groupBy("token").agg(F.min(F.struct(luck.alias("luck"), F.col("node").alias("lead"), F.col("n").alias("m"), F.col("label").alias("other"))).alias("x")).select("token", "x.lead", "x.m", "x.other")
-        met = lists.join(leads, "token").where((F.col("label") != F.col("other")) & near("n", "m"))
-        best = met.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("times")).groupBy("node").agg(F.max(F.struct("times", "lead")).alias("x"))
-        found = scratch.table(verify(best.select(F.col("node").alias("a"), F.col("x.lead").alias("b")), live, percent), f"links-{turn}")
-        links = found if links is None else links.union(found)
-        labels = components(links, scratch, f"labels-{turn}")
-    other = lists.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-    rest = lists.join(other, "token").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("other")) & near("n", "m")).select(F.col("node").alias("a"), "b").distinct()
-    found = scratch.table(verify(rest, live, percent), "links-rest")
-    return nodes.select("node", "n"), labels if found.isEmpty() else components(links.union(found), scratch, "labels")
+    posts = live.select(F.explode("prefix").alias("token"), "node", "n")
+    near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+    roots = linked_components(posts, lambda pairs: verify(pairs, live, percent), scratch, near)
+    return nodes.select("node", "n"), roots
 
 
 def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
