@@ -48,18 +48,22 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
 
 
 #: Rounds of tests against leaders at most, and pairs left per posting at which they end early.
-ROUNDS, OPEN = 8, 2
+ROUNDS, OPEN = 5, 2
+#: By how much the choice of leaders is shaken, more with every round.
+SHAKE = 0.02
 
 
-def linked_components(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, near: Column | None = None) -> DataFrame:
+def linked_components(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, near: Column | None = None, fringe: Column | None = None) -> DataFrame:
     """(node, root) of all linked nodes, where links are the pairs in one list that ``verify`` keeps.
 
-    ``posts`` (token, node, n: long) lists the nodes of every token; ``verify`` gives those of pairs
+    ``posts`` (token, node, n) lists the nodes of every token, with anything about a node in n; ``verify`` gives those of pairs
     (a, b) that are similar; pairs against ``near``, a condition on their n and m, can't be.
 
+    ``fringe``, a number of a node's n, is the larger the fewer nodes may be like it; leaders have a small one.
+
     Components are wanted, not all pairs. In a round every node is tested against one leader
     of its open lists, that which shares most of them; lists whose nodes are in one component close.
-    Rounds end when few pairs of different components share a list, or a round has not halved
+    Rounds end when few pairs of different components share a list, or a round hardly lessens
     them; those left are then all tested, so no link between components is lost, and a group of
     n nodes that are alike costs about n tests.
     """
@@ -78,10 +82,11 @@ def linked_components(posts: DataFrame, verify: Callable[[DataFrame], DataFrame]
             scratch.drop(f"posts-{turn - 1}")
             posts = lists.select("token", "node", "n")
             left, entries = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0], posts.count()
-            if left <= OPEN * entries or 2 * left > before or turn == ROUNDS:
+            if left <= OPEN * entries or 1.1 * left > before or turn == ROUNDS:
                 break
             before = left
-        luck = F.xxhash64("node", F.lit(turn))
+        chance = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        luck = chance if fringe is None else fringe + chance * (SHAKE * turn)
         leads = lists.groupBy("token").agg(F.min(F.struct(luck.alias("luck"), F.col("node").alias("lead"), F.col("n").alias("m"), F.col("label").alias("other"))).alias("x")).select("token", "x.lead", "x.m", "x.other")
         met = lists.join(leads, "token").where(F.col("label") != F.col("other"))
         met = met if near is None else met.where(near)

@@ -14,6 +14,8 @@ from .words import mix, shingle_sets, text_batches
 
 #: Tokens that a task gathers before it deals them out.
 _BLOCK = 1 << 20
+#: Texts, about, that hot tokens are looked for in, and the share of them that a hot token is in.
+SAMPLE, HOT = 10_000, 0.01
 _DEALT = "to int, kind int, a binary, b binary, c binary, d binary"
 _NODES = "node long, n long, low long, high long, shared binary, prefix array<long>"
 
@@ -28,8 +30,11 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (n * percent + 99) // 100 + 1
 
 
-def deal_tokens(parts: int, k: int, percent: int):
-    """(node, text) to messages for ``parts`` ranges of token hashes: 0: nodes, tokens, places of their nodes; 1: nodes, set sizes, cuts."""
+def deal_tokens(parts: int, k: int, percent: int, hot: np.ndarray, weights: np.ndarray):
+    """(node, text) to messages for ``parts`` ranges of token hashes.
+
+    0: nodes, tokens, places of their nodes; 1: nodes, set sizes, cuts; 2: nodes, hot tokens, their weights, which no range need count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes: dict[int, np.ndarray] = {}
@@ -46,6 +51,11 @@ def deal_tokens(parts: int, k: int, percent: int):
             out = [(int(mix(own[:1].view(np.uint64))[0] % np.uint64(parts)), 1, own.tobytes(), n.tobytes(), low.tobytes(), high.tobytes())]
             tokens = np.concatenate(sets)
             order = np.argsort(tokens)
+            if len(hot) and len(tokens):
+                at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
+                known = hot[at] == tokens
+                out.append((out[0][0], 2, np.repeat(own, n)[known].tobytes(), tokens[known].tobytes(), weights[at[known]].tobytes(), None))
+                order = order[~known[order]]
             tokens, place = tokens[order], np.repeat(np.arange(len(own), dtype=np.uint32), n)[order]
             ends = np.r_[np.searchsorted(tokens, bounds), len(tokens)]
             for p in range(parts):
@@ -70,6 +80,23 @@ def deal_tokens(parts: int, k: int, percent: int):
     return run
 
 
+def sampled_tokens(k: int):
+    """(node, text) to the tokens of its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, raw, ends in text_batches(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(raw, ends, k)).view(np.int64))], ["token"])
+
+    return run
+
+
+def sampled(texts: DataFrame) -> tuple[DataFrame, int]:
+    """About SAMPLE of ``texts`` (node, text), and the number of them that a hot token is in."""
+    share = min(1.0, SAMPLE / max(1, texts.count()))
+    return texts.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30))), max(4, int(SAMPLE * HOT))
+
+
 def shared_tokens(parts: int):
     """Messages by token range to messages by node: 0: nodes, their tokens that other nodes have too, in how many nodes each is; 1 as before."""
 
@@ -106,7 +133,9 @@ def shared_tokens(parts: int):
             out = []
             for to, kind, a, b, c, d in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
                 nodes = np.frombuffer(a, np.int64)
-                if kind:
+                if kind == 2:
+                    out += split(0, nodes, np.frombuffer(b, np.uint64), np.frombuffer(c, np.int64))
+                elif kind:
                     out += split(1, nodes, np.frombuffer(b, np.int64), np.frombuffer(c, np.uint64), np.frombuffer(d, np.uint64))
                 else:
                     tokens = np.frombuffer(b, np.uint64)
@@ -141,6 +170,9 @@ def nodes_of(percent: int):
         entries.clear()
         order = np.lexsort((mix(tokens), spread, owner))
         owner, tokens = owner[order], tokens[order]
+        # a hot token comes once from every block that has a copy of the text
+        fresh = np.r_[True, (owner[1:] != owner[:-1]) | (tokens[1:] != tokens[:-1])][: len(owner)]
+        owner, tokens = owner[fresh], tokens[fresh]
         begins, ends = np.searchsorted(owner, node, "left"), np.searchsorted(owner, node, "right")
         open_ = prefix_length(n, percent) - (n - (ends - begins))
         kinds = [pa.binary(), pa.list_(pa.int64())]
@@ -196,19 +228,30 @@ def link_classes(texts: DataFrame, scratch: Scratch, k: int = 5, percent: int =
     that do not under the second and third are dropped before verification.
 
     Tokens travel as packed 64-bit hashes: each range of hashes is counted by one task, which
-    answers only with tokens of two or more sets. A set whose rarest-first prefix is its own
+    answers only with tokens of two or more sets. Tokens in HOT of a sample of SAMPLE texts, at most
+    the mean set's size / HOT, go past that count: they come last in the order, by their count in the
+    sample, so no task gets the entries of a token that a third of all texts holds. A set whose rarest-first prefix is its own
     alone ends there: that is most of a corpus.
 
+    A pair is a candidate only by a token from which on either has tokens enough for it, under
+    the first order: the first token that similar sets share is such a one.
     ``linked_components`` does the rest without listing the pairs of a group.
     """
     parts = parts_for(texts)
-    dealt = texts.mapInArrow(deal_tokens(parts, k, percent), _DEALT).repartition(parts, "to")
+    drawn, bar = sampled(texts)
+    counts = drawn.mapInArrow(sampled_tokens(k), "token long").groupBy("token").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= bar).toArrow()
+    hot = counts["token"].to_numpy().view(np.uint64)
+    order = np.argsort(hot)
+    hot, weights = hot[order], (1 << 60) + counts["texts"].to_numpy()[order]
+    dealt = texts.mapInArrow(deal_tokens(parts, k, percent, hot, weights), _DEALT).repartition(parts, "to")
     answers = dealt.mapInArrow(shared_tokens(parts), _DEALT).repartition(parts, "to")
     nodes = scratch.table(answers.mapInArrow(nodes_of(percent), _NODES), "nodes")
     live = nodes.where("prefix is not null")
-    posts = live.select(F.explode("prefix").alias("token"), "node", "n")
-    near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-    roots = linked_components(posts, lambda pairs: verify(pairs, live, percent), scratch, near)
+    posts = live.select("node", "n", F.expr("octet_length(shared) div 8 AS known"), F.posexplode("prefix").alias("at", "token"))
+    posts = posts.selectExpr("token", "node", "named_struct('all', n, 'known', known, 'rest', known - at) AS n")
+    n, m = F.col("n"), F.col("m")
+    near = (n["all"] * 100 >= m["all"] * percent) & (m["all"] * 100 >= n["all"] * percent) & (F.least(n["rest"], m["rest"]) * (100 + percent) >= (n["all"] + m["all"]) * percent)
+    roots = linked_components(posts, lambda pairs: verify(pairs, live, percent), scratch, near, (n["all"] - n["known"]) / n["all"])
     return nodes.select("node", "n"), roots
 
 

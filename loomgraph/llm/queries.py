@@ -4,15 +4,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_encode
 from .chat import rotate_perspectives
+from .embedding_dedup import near_duplicates
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .ngram_join import ngram_classes
 from .scratch import Scratch
 from .sharding import shard
+from .toxicity import score, train
 from .warc import read_archives, write_archives
 
-_WORD = r"[^\x20\x09-\x0D]+"
-
-
 def _vocabulary() -> str:
     import public_tokenizers
 
@@ -27,6 +27,10 @@ def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(_read(spark, sf_dir, "conversations")).selectExpr("conv_id", "perspective", "part", "n_turns", "rendered", "array_join(transform(spans, s -> concat(s.first, '-', s.end)), ',') AS spans", "n_masked")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_classes(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(_read(spark, sf_dir, "documents"), _vocabulary(), digests=True)
 
@@ -35,6 +39,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_read(spark, sf_dir, "documents"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
@@ -48,7 +56,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(_read(spark, sf_dir, "pages"), root))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op3_bpe, op5_sharding, op7_exact_dedup, op8_mixing, op9_warc)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return score(docs, train(docs, _read(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_ngram_jaccard, op3_bpe, op5_sharding, op6_embedding_near_dedup, op7_exact_dedup, op8_mixing, op9_warc, op10_toxicity)}
 
 ORACLE = {
     "op1_chat_perspectives": r"""
@@ -64,6 +77,16 @@ SELECT conv_id, perspective, part, count(*)::INT AS n_turns, string_agg(head ||
   coalesce(string_agg((upto - length(body))::BIGINT || '-' || upto::BIGINT, ',' ORDER BY turn, speaker, text) FILTER (own), '') AS spans,
   coalesce(sum(length(body)) FILTER (own), 0)::INT AS n_masked
 FROM o GROUP BY conv_id, perspective, part""",
+    "op2_ngram_jaccard": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * a.n >= 75 * b.n AND 100 * b.n >= 75 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r AS (SELECT DISTINCT a AS doc_id, a AS at FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.at = l.a),
+c AS (SELECT doc_id, min(at) AS least FROM r GROUP BY doc_id)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(c.least, s.doc_id) AS component_id FROM s LEFT JOIN c ON s.doc_id = c.doc_id""",
     "op7_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
