@@ -9,22 +9,17 @@ from pyspark.sql import functions as F
 
 from .graph import linked_components
 from .hot import join_groups
+from .packed import MESSAGE, batch, messages, narrow, planes, send, unplanes, wide
 from .scratch import Scratch, parts_for
 from .words import mix, shingle_sets, text_batches
 
 #: Tokens that a task gathers before it deals them out.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 19
 #: Texts, about, that hot tokens are looked for in, and the share of them that a hot token is in.
 SAMPLE, HOT = 10_000, 0.01
-_DEALT = "to int, kind int, a binary, b binary, c binary, d binary"
 _NODES = "node long, n long, low long, high long, shared binary, prefix array<long>"
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["to", "kind", "a", "b", "c", "d"])
-
-
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     """So many first tokens of a set of ``n``, under any order of all tokens, hold one of any set as similar as asked."""
     return n - (n * percent + 99) // 100 + 1
@@ -61,12 +56,12 @@ def deal_tokens(parts: int, k: int, percent: int, hot: np.ndarray, weights: np.n
             for p in range(parts):
                 if ends[p] < ends[p + 1]:
                     there, at = np.unique(place[ends[p] : ends[p + 1]], return_inverse=True)
-                    out.append((p, 0, own[there].tobytes(), tokens[ends[p] : ends[p + 1]].tobytes(), at.astype(np.uint16 if len(there) <= 1 << 16 else np.uint32).tobytes(), None))
-            return _rows(out)
+                    out.append((p, 0, own[there].tobytes(), planes(tokens[ends[p] : ends[p + 1]]), narrow(at, len(there)), None))
+            return batch(out)
 
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for i, raw, ends in text_batches(batch.column(1)):
+        for given in batches:
+            ids = given.column(0).to_numpy()
+            for i, raw, ends in text_batches(given.column(1)):
                 for node, tokens in zip(ids[i:].tolist(), shingle_sets(raw, ends, k), strict=False):
                     if node not in nodes:
                         nodes[node] = tokens
@@ -129,24 +124,22 @@ def shared_tokens(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
+        for to, kind, a, b, c, d in messages(batches):
+            nodes = np.frombuffer(a, np.int64)
             out = []
-            for to, kind, a, b, c, d in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
-                nodes = np.frombuffer(a, np.int64)
-                if kind == 2:
-                    out += split(0, nodes, np.frombuffer(b, np.uint64), np.frombuffer(c, np.int64))
-                elif kind:
-                    out += split(1, nodes, np.frombuffer(b, np.int64), np.frombuffer(c, np.uint64), np.frombuffer(d, np.uint64))
-                else:
-                    tokens = np.frombuffer(b, np.uint64)
-                    at = np.frombuffer(c, np.uint16 if len(c) == 2 * len(tokens) else np.uint32)
-                    held.setdefault(to, []).append((tokens, nodes[at]))
+            if kind == 2:
+                out = split(0, nodes, np.frombuffer(b, np.uint64), np.frombuffer(c, np.int64))
+            elif kind:
+                out = split(1, nodes, np.frombuffer(b, np.int64), np.frombuffer(c, np.uint64), np.frombuffer(d, np.uint64))
+            else:
+                tokens = unplanes(b)
+                held.setdefault(to, []).append((tokens, nodes[wide(c, len(tokens))]))
             if out:
-                yield _rows(out)
+                yield batch(out)
         while held:
             _, got = held.popitem()
             if out := answer(np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])):
-                yield _rows(out)
+                yield batch(out)
 
     return run
 
@@ -156,12 +149,11 @@ def nodes_of(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, entries = [], []
-        for batch in batches:
-            for kind, a, b, c, d in zip(*[batch.column(i).to_pylist() for i in range(1, 6)], strict=True):
-                if kind:
-                    heads.append((np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), np.frombuffer(c, np.uint64), np.frombuffer(d, np.uint64)))
-                else:
-                    entries.append((np.frombuffer(a, np.int64), np.frombuffer(b, np.uint64), np.frombuffer(c, np.int64)))
+        for _, kind, a, b, c, d in messages(batches):
+            if kind:
+                heads.append((np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), np.frombuffer(c, np.uint64), np.frombuffer(d, np.uint64)))
+            else:
+                entries.append((np.frombuffer(a, np.int64), np.frombuffer(b, np.uint64), np.frombuffer(c, np.int64)))
         if not heads:
             return
         node, first = np.unique(np.concatenate([x[0] for x in heads]), return_index=True)
@@ -237,14 +229,14 @@ def link_classes(texts: DataFrame, scratch: Scratch, k: int = 5, percent: int =
     the first order: the first token that similar sets share is such a one.
     ``linked_components`` does the rest without listing the pairs of a group.
     """
-    parts = parts_for(texts)
+    parts = 2 * parts_for(texts)
     drawn, bar = sampled(texts)
     counts = drawn.mapInArrow(sampled_tokens(k), "token long").groupBy("token").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= bar).toArrow()
     hot = counts["token"].to_numpy().view(np.uint64)
     order = np.argsort(hot)
     hot, weights = hot[order], (1 << 60) + counts["texts"].to_numpy()[order]
-    dealt = texts.mapInArrow(deal_tokens(parts, k, percent, hot, weights), _DEALT).repartition(parts, "to")
-    answers = dealt.mapInArrow(shared_tokens(parts), _DEALT).repartition(parts, "to")
+    dealt = send(texts.mapInArrow(deal_tokens(parts, k, percent, hot, weights), MESSAGE), parts)
+    answers = send(dealt.mapInArrow(shared_tokens(parts), MESSAGE), parts)
     nodes = scratch.table(answers.mapInArrow(nodes_of(percent), _NODES), "nodes")
     live = nodes.where("prefix is not null")
     posts = live.select("node", "n", F.expr("octet_length(shared) div 8 AS known"), F.posexplode("prefix").alias("at", "token"))

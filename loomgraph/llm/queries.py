@@ -84,8 +84,8 @@ s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to
 g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
 l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * a.n >= 75 * b.n AND 100 * b.n >= 75 * a.n
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
-r AS (SELECT DISTINCT a AS doc_id, a AS at FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.at = l.a),
-c AS (SELECT doc_id, min(at) AS least FROM r GROUP BY doc_id)
+r AS (SELECT DISTINCT a AS doc_id, a AS reached FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reached = l.a),
+c AS (SELECT doc_id, min(reached) AS least FROM r GROUP BY doc_id)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(c.least, s.doc_id) AS component_id FROM s LEFT JOIN c ON s.doc_id = c.doc_id""",
     "op7_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _BYTES_PER_PART = 32 << 20
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,6 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches to Python workers of at most _BATCH_BYTES, unless the session has a limit of its own."""
+    if spark.conf.get(_BATCH) in ("67108864b", "64m", "67108864", "-1", "-1b"):
+        spark.conf.set(_BATCH, _BATCH_BYTES)
+
+
 class Scratch:
     """Parquet tables under one folder of the shared directory.
 
@@ -28,6 +35,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
         atexit.register(self._remove, self.root)
 
