@@ -273,15 +273,17 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """``docs`` with one row of each class of similar texts, that with the smallest id; all columns stay.
 
-    Texts without words stay all.
+    Texts without words stay all, and so do rows without an id; rows that repeat id and text become one.
     """
     scratch = Scratch(docs.sparkSession, "drop-near")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = ngram_classes(docs, id_col, text_col, k, percent).select(F.col(id_col).alias("id"), "node", "n_shingles", "component_id").distinct()
-    gone = scratch.table(found.where("n_shingles > 0 and not (id <=> component_id)").select("id", "node"), "gone")
-    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own"), F.xxhash64(text).alias("node"))
-    stay = whole.join(gone.withColumnRenamed("id", "own"), ["own", "node"], "left_anti").select("row", "own", "node", (text == "").alias("empty"))
-    twice = stay.groupBy("own", "node").count().where("count > 1")
-    once = stay.join(twice, ["own", "node"], "left_anti").select("row.*")
-    again = stay.join(twice, ["own", "node"], "left_semi").groupBy("own", "node").agg(F.first("row").alias("row")).select("row.*")
-    return once.unionByName(again)
+    found = ngram_classes(docs, id_col, text_col, k, percent).select(F.col(id_col).alias("own"), "node", "n_shingles", "component_id")
+    found = scratch.table(found, "found")
+    gone = found.where("n_shingles > 0 and own is not null and own <> component_id").select("own", "node").distinct()
+    twice = scratch.table(found.where("own is not null").groupBy("own", "node").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "twice").drop("rows")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own"), F.xxhash64(text).alias("node"))
+    stay = rows.join(gone, ["own", "node"], "left_anti")
+    if twice.isEmpty():
+        return stay.select("row.*")
+    again = stay.join(twice, ["own", "node"], "left_semi").groupBy("own", "node").agg(F.first("row").alias("row"))
+    return stay.join(twice, ["own", "node"], "left_anti").select("row.*").unionByName(again.select("row.*"))

@@ -10,10 +10,11 @@ from .mixing import mix
 from .ngram_join import ngram_classes
 from .scratch import Scratch
 from .sharding import shard
+from .substring_dedup import shared_passages
 from .toxicity import score, train
 from .warc import read_archives, write_archives
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -32,7 +33,11 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_encode(_read(spark, sf_dir, "documents"), _vocabulary(), digests=True)
+    return bpe_encode(_read(spark, sf_dir, "documents"), vocabulary(), digests=True)
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_passages(_read(spark, sf_dir, "documents"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_ngram_jaccard, op3_bpe, op5_sharding, op6_embedding_near_dedup, op7_exact_dedup, op8_mixing, op9_warc, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_ngram_jaccard, op3_bpe, op4_substring_dedup, op5_sharding, op6_embedding_near_dedup, op7_exact_dedup, op8_mixing, op9_warc, op10_toxicity)}
 
 ORACLE = {
     "op1_chat_perspectives": r"""
