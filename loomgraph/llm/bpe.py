@@ -8,15 +8,18 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lean import lean
+
 #: Words kept with their encoding, per Python worker; more are encoded again when they come back.
 KEPT_WORDS = 150_000
 #: Bytes of text whose words are encoded together.
-_CHUNK = 4 << 20
+_CHUNK = 2 << 20
 
 
 def _byte_letters() -> list[str]:
@@ -25,10 +28,6 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in range(33, 127) or b in range(161, 173) or b in range(174, 256) else chr(next(spare)) for b in range(256)]
 
 
-def _pair(a: int, b: int) -> int:
-    return a << 20 | b
-
-
 class WordBpe:
     """A BPE with word ends from a tokenizer file: NFC, lower case, a split pattern whose matches are the words, bytes as letters, merges.
 
@@ -57,6 +56,7 @@ class WordBpe:
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.met, self.n_met = np.zeros(1 << 22, bool), 0
 
     def pieces(self, text: str) -> list[str]:
         """The text's words and added tokens in order."""
@@ -96,8 +96,8 @@ class WordBpe:
             before[i] = -1
         rank_of, made = self.rank_of.get, self.made
         places: dict[int, list[int]] = {}
-        for i, pair in enumerate(map(_pair, symbol, symbol[1:])):
-            rank = rank_of(pair)
+        ranks = map(rank_of, [a << 20 | b for a, b in zip(symbol, symbol[1:], strict=False)])
+        for i, rank in enumerate(ranks):
             if rank is not None and after[i] >= 0:
                 if rank in places:
                     places[rank].append(i)
@@ -136,21 +136,31 @@ class WordBpe:
                             heapq.heappush(active, found)
         return [[x for x in symbol[a:b] if x >= 0] for a, b in zip(begins, begins[1:])]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Have all of ``pieces`` in ``known``: ids as bytes, and the decoded tokens. What was not met for KEPT_WORDS new words is let go."""
+    def learn(self, pieces: set[str]) -> dict[str, tuple[bytes, bytes]]:
+        """The encodings of ``pieces`` that ``known`` lacks: ids as bytes, and the decoded tokens.
+
+        Words that come back in a later call are kept from then on; those not met while KEPT_WORDS
+        others were kept are let go. Most words of a corpus come once and take no room.
+        """
+        if len(self.known) > KEPT_WORDS:
+            self.old, self.known = self.known, {}
         fresh = pieces.difference(self.known)
-        if len(self.known) + len(fresh) > KEPT_WORDS:
-            self.old, self.known, fresh = self.known, {}, pieces
-        back = fresh.intersection(self.old)
-        for x in back:
+        for x in fresh.intersection(self.old):
             self.known[x] = self.old[x]
-        plain = [x for x in fresh.difference(back) if x not in self.added]
+        fresh.difference_update(self.known)
+        plain = [x for x in fresh if x not in self.added]
         names = self.names
-        for word, ids in zip(plain, self.merge(plain), strict=True):
-            self.known[word] = (struct.pack(f"<{len(ids)}I", *ids), " ".join([names[i] for i in ids]).encode())
-        for word in fresh:
-            if word in self.added:
-                self.known[word] = (struct.pack("<I", self.added[word]), word.encode())
+        found = {word: (struct.pack(f"<{len(ids)}I", *ids), " ".join([names[i] for i in ids]).encode()) for word, ids in zip(plain, self.merge(plain), strict=True)}
+        found |= {word: (struct.pack("<I", self.added[word]), word.encode()) for word in fresh if word in self.added}
+        marks = np.fromiter(map(hash, found), np.int64, len(found)) & (len(self.met) - 1)
+        for word, again in zip(list(found), self.met[marks].tolist(), strict=True):
+            if again:
+                self.known[word] = found[word]
+        self.met[marks] = True
+        self.n_met += len(found)
+        if self.n_met > len(self.met) // 4:
+            self.met[:], self.n_met = False, 0
+        return found
 
     def decode(self, ids: list[int]) -> str:
         """The tokens' strings with spaces between, special ones too: the file names no decoder. Unknown ids are passed over."""
@@ -162,8 +172,9 @@ class WordBpe:
     def encoded(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian 32-bit integers, decoded text in UTF-8) of every text."""
         cut = [self.pieces(x) for x in texts]
-        self.learn(set().union(*cut))
-        known = self.known
+        pieces = set().union(*cut)
+        found = self.learn(pieces)
+        known = {x: found[x] if x in found else self.known[x] for x in pieces}
         out = []
         for pieces in cut:
             pairs = [known[x] for x in pieces]
@@ -212,7 +223,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(_encode(vocabulary, digests), f"id {kind}, n long, a string, b string" if digests else f"id {kind}, n long, a array<long>, b string")
+    out = rows.mapInArrow(lean(_encode(vocabulary, digests)), f"id {kind}, n long, a string, b string" if digests else f"id {kind}, n long, a array<long>, b string")
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.col("a").alias(names[0]), F.col("b").alias(names[1]))
 
@@ -229,5 +240,5 @@ def _decode(path: str):
 def bpe_decode(rows: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, text): the token strings of every row's ids; null ids are no ids, unknown ones are passed over."""
     kind = rows.schema[id_col].dataType.simpleString()
-    out = rows.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<long>").alias("ids")).mapInArrow(_decode(vocabulary), f"id {kind}, text string")
+    out = rows.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<long>").alias("ids")).mapInArrow(lean(_decode(vocabulary)), f"id {kind}, text string")
     return out.withColumnRenamed("id", id_col)

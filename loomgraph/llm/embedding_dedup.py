@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .graph import linked_components
 from .hot import join_groups
+from .lean import lean
 from .scratch import Scratch, parts_for
 
 #: Blocks of a direction, unit vectors per block: CODE ** BLOCKS filters. A vector is in a filter whose
@@ -147,11 +148,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = scratch.table(vectors.select(F.col(id_col).cast("long").alias("id"), F.when(sound, F.xxhash64(v)).alias("node"), F.when(sound, v).alias("vector")), "rows")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members"), F.first("vector").alias("vector"))
     nodes = scratch.table(nodes, "nodes")
-    posts = nodes.select("node", "vector").repartition(parts_for(nodes), "node").mapInArrow(_filters, "token long, node long").withColumn("n", F.lit(1).cast("long"))
+    posts = nodes.select("node", "vector").repartition(parts_for(nodes), "node").mapInArrow(lean(_filters), "token long, node long").withColumn("n", F.lit(1).cast("long"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = nodes.select(F.col("node").alias("a"), F.col("vector").alias("u")), nodes.select(F.col("node").alias("b"), F.col("vector").alias("v"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "u", "v").mapInArrow(_close(least), "a long, b long")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "u", "v").mapInArrow(lean(_close(least)), "a long, b long")
 
     roots = scratch.table(linked_components(scratch.table(posts, "posts"), verify, scratch), "roots")
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -161,7 +162,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     left = inside.select("root", F.col("own").alias("i"), every.alias("j"), F.lit(0).alias("side"), "node", "members", "vector")
     right = inside.select("root", every.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "node", "members", "vector")
     dealt = left.unionByName(right).repartition(parts_for(nodes), "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    links = dealt.mapInArrow(_count(least), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    links = dealt.mapInArrow(lean(_count(least)), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
     first = roots.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component"))
     classes = nodes.select("node", "members", "least").join(roots, "node", "left").join(first, "root", "left").join(links, "node", "left")
     classes = classes.select("node", "members", (F.coalesce("links", "members") - 1).alias("n_links"), F.coalesce("component", "least").alias("component"))

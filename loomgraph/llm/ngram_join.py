@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .graph import linked_components
 from .hot import join_groups
+from .lean import lean
 from .packed import MESSAGE, batch, messages, narrow, planes, send, unplanes, wide
 from .scratch import Scratch, parts_for
 from .words import mix, shingle_sets, text_batches
@@ -208,7 +209,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     side = nodes.select("node", "n", "low", "high", "shared")
     other = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("shared").alias("shared2"))
     joined = pairs.select("a", "b").join(side.withColumnRenamed("node", "a"), "a").join(other, "b")
-    return joined.mapInArrow(_similar(percent), "a long, b long")
+    return joined.mapInArrow(lean(_similar(percent)), "a long, b long")
 
 
 def link_classes(texts: DataFrame, scratch: Scratch, k: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
@@ -231,13 +232,13 @@ def link_classes(texts: DataFrame, scratch: Scratch, k: int = 5, percent: int =
     """
     parts = 2 * parts_for(texts)
     drawn, bar = sampled(texts)
-    counts = drawn.mapInArrow(sampled_tokens(k), "token long").groupBy("token").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= bar).toArrow()
+    counts = drawn.mapInArrow(lean(sampled_tokens(k)), "token long").groupBy("token").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= bar).toArrow()
     hot = counts["token"].to_numpy().view(np.uint64)
     order = np.argsort(hot)
     hot, weights = hot[order], (1 << 60) + counts["texts"].to_numpy()[order]
-    dealt = send(texts.mapInArrow(deal_tokens(parts, k, percent, hot, weights), MESSAGE), parts)
-    answers = send(dealt.mapInArrow(shared_tokens(parts), MESSAGE), parts)
-    nodes = scratch.table(answers.mapInArrow(nodes_of(percent), _NODES), "nodes")
+    dealt = send(texts.mapInArrow(lean(deal_tokens(parts, k, percent, hot, weights)), MESSAGE), parts)
+    answers = send(dealt.mapInArrow(lean(shared_tokens(parts)), MESSAGE), parts)
+    nodes = scratch.table(answers.mapInArrow(lean(nodes_of(percent)), _NODES), "nodes")
     live = nodes.where("prefix is not null")
     posts = live.select("node", "n", F.expr("octet_length(shared) div 8 AS known"), F.posexplode("prefix").alias("at", "token"))
     posts = posts.selectExpr("token", "node", "named_struct('all', n, 'known', known, 'rest', known - at) AS n")

@@ -8,10 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lean import lean
 from .words import text_batches, word_hashes
 
 #: Labelled rows that the chain is fitted on, about, at any size of input; words it may weigh; and folds.
-SAMPLE, FEATURES, FOLDS = 20_000, 1024, 5
+SAMPLE, FEATURES, FOLDS = 12_000, 1024, 5
 #: Categories in the order of the chain: a column of the labels table, and the value that means yes.
 CATEGORIES = {"low_quality": ("quality", 0), "toxic": ("toxic", 1)}
 _TABLE_BITS = 22
@@ -176,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(drawn), "id")
     rows = rows.select("id", *[f"label{i}" for i in range(len(columns))], "text")
     kind = "id long, " + ", ".join(f"label{i} double" for i in range(len(columns))) + ", words binary"
-    got = rows.mapInArrow(_distinct_words, kind).toArrow().sort_by([("id", "ascending"), ("words", "ascending")])
+    got = rows.mapInArrow(lean(_distinct_words), kind).toArrow().sort_by([("id", "ascending"), ("words", "ascending")])
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in got["words"]]
     table = np.column_stack([got[f"label{i}"].to_numpy(zero_copy_only=False).astype(float) for i in range(len(columns))]) if len(got) else np.zeros((0, len(columns)))
     return fit_chain(sets, table, list(categories))[0]
@@ -192,7 +193,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"p_{x} double" for x in chain.names) + ", toxic boolean"
-    return rows.mapInArrow(run, kind).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), kind).withColumnRenamed("id", id_col)
 
 
 def drop_toxic(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
@@ -204,4 +205,4 @@ def drop_toxic(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFra
             p = np.concatenate([np.zeros((0, len(chain.names))), *[chain.predict(raw, ends) for _, raw, ends in text_batches(batch.column(at))]])
             yield batch.filter(pa.array(p[:, -1] < chain.threshold[-1]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
