@@ -62,10 +62,10 @@ def cosine_similarity(spark, sf_dir):
     return pairs.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
 
 
-@query(f"SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 3) AS score FROM embeddings q, embeddings e WHERE q.vec_id < {N_QUERIES}")
+@query(f"SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 3) + 0.0 AS score FROM embeddings q, embeddings e WHERE q.vec_id < {N_QUERIES}")
 def similarity_scores(spark, sf_dir):
     scores = op.similarity_scores(_queries(spark, sf_dir), table(spark, sf_dir, "embeddings"), "query_id", "vec_id", "embedding", "embedding")
-    return scores.withColumn("score", F.round(F.col("score").cast("double"), 3))
+    return scores.withColumn("score", F.round(F.col("score").cast("double"), 3) + 0.0)
 
 
 _RANKED = f"SELECT q.vec_id AS query_id, e.vec_id, {_COSINE} AS score FROM embeddings q, embeddings e WHERE q.vec_id < {N_QUERIES}"
