@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .lean import lean
 
 #: Words kept with their encoding, per Python worker; more are encoded again when they come back.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 100_000
 #: Bytes of text whose words are encoded together.
 _CHUNK = 2 << 20
 

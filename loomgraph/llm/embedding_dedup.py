@@ -15,7 +15,7 @@ from .scratch import Scratch, parts_for
 
 #: Blocks of a direction, unit vectors per block: CODE ** BLOCKS filters. A vector is in a filter whose
 #: direction it exceeds by LEVEL standard deviations of a random direction's score, and in its LEAST best at least.
-BLOCKS, CODE, LEVEL, LEAST = 4, 32, 4.0, 6
+BLOCKS, CODE, LEVEL, LEAST = 4, 32, 4.0, 24
 #: Vectors of a component that are compared at a time.
 BLOCK = 512
 

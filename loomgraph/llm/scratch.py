@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _BYTES_PER_PART = 32 << 20
+#: Spark's estimate for what it has no size of is near 2 ** 63.
+_UNKNOWN = 1 << 54
 _BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
@@ -60,8 +62,8 @@ class Scratch:
 
 
 def parts_for(df: DataFrame) -> int:
-    """Partitions for an exchange of about the size of ``df``: grows with the input."""
+    """Partitions for an exchange of about the size of ``df``, a table of files: grows with the input. Where Spark does not know the size, its own number of partitions."""
     spark = df.sparkSession
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(size, 1 << 50) // _BYTES_PER_PART)
+    return least if size >= _UNKNOWN else max(least, size // _BYTES_PER_PART)

@@ -1,5 +1,7 @@
 """Toxicity by a chain of linear classifiers."""
 
+import itertools
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -177,10 +179,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(drawn), "id")
     rows = rows.select("id", *[f"label{i}" for i in range(len(columns))], "text")
     kind = "id long, " + ", ".join(f"label{i} double" for i in range(len(columns))) + ", words binary"
-    got = rows.mapInArrow(lean(_distinct_words), kind).toArrow().sort_by([("id", "ascending"), ("words", "ascending")])
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in got["words"]]
-    table = np.column_stack([got[f"label{i}"].to_numpy(zero_copy_only=False).astype(float) for i in range(len(columns))]) if len(got) else np.zeros((0, len(columns)))
-    return fit_chain(sets, table, list(categories))[0]
+    names = list(categories)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(list(batches))
+        got = got.sort_by([("id", "ascending"), ("words", "ascending")])
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in got["words"]]
+        table = np.column_stack([got[f"label{i}"].to_numpy(zero_copy_only=False).astype(float) for i in range(len(names))])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_chain(sets, table, names)[0])])], ["chain"])
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is not None:
+            yield from fit(itertools.chain([first], batches))
+
+    # the sample is bounded, so one task holds it; the driver gets weights only
+    found = rows.mapInArrow(lean(_distinct_words), kind).repartition(1).mapInArrow(lean(fitted), "chain binary").collect()
+    return pickle.loads(found[0][0]) if found else fit_chain([], np.zeros((0, len(names))), names)[0]
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
