@@ -1,5 +1,6 @@
 """Text, template and time functions over columns."""
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,3 +64,23 @@ def human_size(n: Column) -> Column:
 def keep_last(tokens: Column, n: int) -> Column:
     """The last ``n`` tokens of an array: prompts are cut at the left."""
     return F.when(F.size(tokens) > n, F.slice(tokens, -n, n)).otherwise(tokens)
+
+
+def chat_template(messages: Column, template: str, **values: str) -> Column:
+    """A Jinja chat template over an array of (role, content), for models whose template is more than ``chat_line``.
+
+    It needs jinja2 on the workers; a batch of rows is rendered at a time.
+    """
+
+    @F.pandas_udf("string")
+    def render(rows: pd.Series) -> pd.Series:
+        import jinja2
+
+        def raise_exception(text):
+            raise jinja2.TemplateError(text)
+
+        made = jinja2.Environment(trim_blocks=True, lstrip_blocks=True).from_string(template)
+        made.globals["raise_exception"] = raise_exception
+        return rows.map(lambda x: made.render(messages=list(x), **values))
+
+    return render(messages)

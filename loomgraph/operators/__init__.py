@@ -5,6 +5,7 @@ from .messages import extend_chunks, fold_chat, has_message_columns, parse_tool_
 from .registry import OPERATORS, OperatorConfig, dispatch, tool_catalog, tool_schema
 from .relational import (
     assert_not_null,
+    collect_partitions,
     columns_of_types,
     distinct_sorted,
     fields_in_schemas,

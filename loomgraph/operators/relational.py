@@ -111,3 +111,12 @@ def union_tables(tables: list[DataFrame]) -> DataFrame:
 
 def distinct_sorted(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct().orderBy(column)
+
+
+def collect_partitions(df: DataFrame) -> list[list]:
+    """Rows by partition, in order; for results that leave the engine."""
+    rows = df.withColumn("_p", F.spark_partition_id()).collect()
+    out: dict[int, list] = {}
+    for r in rows:
+        out.setdefault(r["_p"], []).append(tuple(r)[:-1])
+    return [out[p] for p in sorted(out)]

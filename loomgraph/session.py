@@ -6,12 +6,13 @@ import json
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .metrics import MetricsSet
-from .operators.messages import extend_chunks, route_messages
+from .operators.messages import extend_chunks, has_message_columns, route_messages
 from .sources.readers import read_csv_text, read_json_values
 from .sources.writers import to_csv_text, to_json_objects
 from .storage import store
@@ -151,6 +152,35 @@ class AddRows(Processor):
         return out
 
 
+class Aggregator(Processor):
+    """All messages as one on the first publication's subject; schemas must be equal, and so must their targets."""
+
+    def wanted(self, m: Message) -> bool:
+        return True
+
+    def process(self, inbox, session, task):
+        found = [m for k, m in inbox.items() if k not in self.forward and self.wanted(m)]
+        rest = {k: m for k, m in inbox.items() if m not in found}
+        if not found:
+            return rest
+        for m in found[1:]:
+            if not same_schema(found[0].df, m.df):
+                raise ValueError(f"The schemas of {found[0].name} and {m.name} differ.")
+        target = self.publications[0] if self.publications else found[0].publish
+        if not self.publications and any(m.publish != target for m in found):
+            raise ValueError("The messages are not for one subject.")
+        # batches of one message after those of another
+        rows = [m.df.withColumn(BATCH, F.col(BATCH) * len(found) + i) for i, m in enumerate(found)]
+        return rest | {target.subject: self.message(target.subject, reduce(DataFrame.unionByName, rows), target)}
+
+
+class MessageAggregator(Aggregator):
+    """The chat messages among its input as one; other tables pass on."""
+
+    def wanted(self, m: Message) -> bool:
+        return has_message_columns(m.df)
+
+
 @dataclass
 class TaskPlan:
     task_name: str
@@ -390,3 +420,8 @@ def config_of(df: DataFrame) -> dict:
     row = visible(df).first()
     found = row.asDict(recursive=True) if row else {}
     return json.loads(found["values"]) if set(found) == {"values"} else found
+
+
+def responses(made: dict[str, Message], name: str) -> dict[str, Message]:
+    """Of a superstep's messages those whose name contains the session's."""
+    return {k: m for k, m in made.items() if name in k}

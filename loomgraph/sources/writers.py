@@ -1,6 +1,7 @@
 """Sinks. The text and stream forms gather a table on the driver: they are for small results that leave the engine."""
 
 import io
+import json
 
 import pyarrow as pa
 import pyarrow.ipc as ipc
@@ -62,6 +63,11 @@ def to_json_lines(df: DataFrame) -> str:
     return "".join(r[0] + "\n" for r in _ordered(df).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in plain.columns]))).collect())
 
 
+def to_json_bytes(df: DataFrame) -> bytes:
+    """The rows as one JSON array."""
+    return json.dumps(to_json_objects(df), default=str).encode()
+
+
 def to_json_objects(df: DataFrame) -> list[dict]:
     """Rows as dicts, nulls left out."""
     return [{k: v for k, v in r.asDict(recursive=True).items() if v is not None} for r in visible(_ordered(df)).collect()]

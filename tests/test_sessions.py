@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.models import HashEmbedder, ScriptedChat, ServiceChat, ServiceEmbedder
 from loomgraph.plans import SessionRegistry, chat_session, document_session, make_session, tool_session
-from loomgraph.session import AddRows, Publish, RuntimeEnv, SessionBuilder, Subscribe, TaskPlan, config_of
+from loomgraph.session import AddRows, Aggregator, Message, MessageAggregator, Publish, RuntimeEnv, SessionBuilder, Subscribe, TaskPlan, config_of, responses
 from loomgraph.streaming import similarity_stream, superstep_stream, windowed_counts
 from loomgraph.subjects import Subject, visible
 
@@ -140,3 +140,30 @@ def test_streams(spark, tmp_path):
 
     events = spark.createDataFrame([(1, "a", 2.0), (5000, "a", 3.0)], "s long, k string, value double").select(F.timestamp_seconds("s").alias("ts"), "k", "value")
     assert windowed_counts(events, "ts", "k").count() == 2
+
+
+def test_aggregators(spark):
+    a, b = batches(spark, 1, 2), batches(spark, 2, 2)
+    other = spark.createDataFrame([("user", "x", "t", 0, 0)], "role string, content string, timestamp string, _batch_id long, _row_id long")
+    box = {n: Message(n, n, "p", df, Publish(n)) for n, df in (("a", a), ("b", b), ("c", other))}
+    with pytest.raises(ValueError, match="differ"):
+        Aggregator("x", [Publish("all")]).process(box, None, "t")
+    made = Aggregator("x", [Publish("all")]).process({k: box[k] for k in "ab"}, None, "t")
+    assert made["all"].df.count() == 6 and made["all"].df.select("_batch_id").distinct().count() == 3
+    with pytest.raises(ValueError, match="one subject"):
+        Aggregator("x").process({k: box[k] for k in "ab"}, None, "t")
+    made = MessageAggregator("x", [Publish("all")]).process(box, None, "t")
+    assert set(made) == {"a", "b", "all"} and made["all"].df.count() == 1
+    assert set(responses({"from_s_on_a": 1, "b": 2}, "s")) == {"from_s_on_a"}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from loomgraph.__main__ import main
+
+    main(["chat", "--path", str(tmp_path), "--data", '{"content": "hello there"}'])
+    assert '"content": "hello there"' in capsys.readouterr().out
+    main(["get_state", "--path", str(tmp_path), "--data", '{"format": "csv_str"}'])
+    assert len(capsys.readouterr().out.split("hello there")) == 3
+    main(["put_state", "--path", str(tmp_path), "--data", '{"subject_name": "messages", "text": "role,content,timestamp\\nuser,x,t"}'])
+    main(["subjects_info", "--path", str(tmp_path)])
+    assert '"num_rows": 3' in capsys.readouterr().out
