@@ -167,5 +167,6 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = nodes.select("node", "members", "least").join(roots, "node", "left").join(first, "root", "left").join(links, "node", "left")
     classes = classes.select("node", "members", (F.coalesce("links", "members") - 1).alias("n_links"), F.coalesce("component", "least").alias("component"))
     out = join_groups(rows.select("id", "node"), scratch.table(classes, "classes"), "node", "members", "left")
+    scratch.keep("rows", "classes")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

@@ -101,6 +101,7 @@ def plan_copies(sized: DataFrame, weights: tuple[float, ...], cap: int, scratch:
         nxt = taken.join(best, ["key", "size", "salt"], "left").select("key", "size", "salt", "docs", (F.col("copies") + F.coalesce("by", F.lit(0))).alias("copies"))
         taken = scratch.table(nxt, f"copies-{step}")
         scratch.drop(f"copies-{step - 1}")
+    scratch.keep("rows", "targets", f"copies-{_FIXES}")
     return taken.join(targets.select("key", "total", "target"), "key")
 
 

@@ -268,6 +268,7 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = classes.groupBy(F.coalesce("root", "node").alias("at")).agg(F.min("least").alias("component"))
     classes = classes.withColumn("at", F.coalesce("root", "node")).join(least, "at").select("node", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "component", "members")
     out = join_groups(rows, scratch.table(classes, "classes"), "node", "members")
+    scratch.keep("rows", "classes")
     return out.select(F.col("id").alias(id_col), "node", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
 
 

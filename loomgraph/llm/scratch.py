@@ -52,6 +52,14 @@ class Scratch:
         for name in names:
             self._remove(self.path(name))
 
+    def keep(self, *names: str) -> None:
+        """Drop all tables but these, which a lazy result still reads."""
+        context = self.spark.sparkContext
+        root = context._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = root.getFileSystem(context._jsc.hadoopConfiguration())
+        if files.exists(root):
+            self.drop(*[found for x in files.listStatus(root) if (found := x.getPath().getName()) not in names])
+
     def _remove(self, path: str) -> None:
         try:
             context = self.spark.sparkContext

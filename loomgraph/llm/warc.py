@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hot import SMALL_ROWS
+from .hot import join_groups
 from .scratch import Scratch
 
 #: Archives are closed once they hold so many compressed bytes; reads take so many at a time.
@@ -111,14 +111,7 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
     long = rows.where(F.octet_length("html") >= least).select("id", "digest")
     best = long.groupBy("digest").agg(F.max("id").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1 and best is not null")
     best = scratch.table(best.select("digest", "best", "n"), "repeated")
-    n = best.count()
-    if n == 0:
-        told = rows.withColumn("best", F.lit(None).cast("long"))
-    elif n <= SMALL_ROWS:
-        told = rows.join(F.broadcast(best.drop("n")), "digest", "left")
-    else:
-        # only rows of a repeated payload differ, and of those a revisit needs no body
-        told = rows.join(best.drop("n"), "digest", "left")
+    told = join_groups(rows, best, "digest", "n", "left")
     told = told.select("id", "url", "html", F.when(~F.col("id").eqNullSafe(F.col("best")), F.col("best")).alias("refers_to"))
     return scratch.table(told.mapInArrow(_archive_writer(root, level), _WRITTEN), "written")
 
