@@ -19,7 +19,7 @@ from .lean import lean
 #: Words kept with their encoding, per Python worker; more are encoded again when they come back.
 KEPT_WORDS = 100_000
 #: Bytes of text whose words are encoded together.
-_CHUNK = 2 << 20
+_CHUNK = 1 << 19
 
 
 def _byte_letters() -> list[str]:

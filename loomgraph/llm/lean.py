@@ -1,6 +1,7 @@
 """Python workers that give memory back: they live on between tasks, beside the executor's JVM."""
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -28,6 +29,7 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
+            gc.collect()
             pa.default_memory_pool().release_unused()
             if libc is not None:
                 libc.malloc_trim(0)
