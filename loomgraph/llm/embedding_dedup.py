@@ -15,7 +15,7 @@ from .scratch import Scratch, parts_for
 
 #: Blocks of a direction, unit vectors per block: CODE ** BLOCKS filters. A vector is in a filter whose
 #: direction it exceeds by LEVEL standard deviations of a random direction's score, and in its LEAST best at least.
-BLOCKS, CODE, LEVEL, LEAST = 4, 32, 4.0, 24
+BLOCKS, CODE, LEVEL, LEAST = 4, 64, 4.7, 32
 #: Vectors of a component that are compared at a time.
 BLOCK = 512
 
@@ -33,7 +33,7 @@ def _code(dim: int, seed: int = 20) -> tuple[np.ndarray, np.ndarray]:
 def decode(vectors: np.ndarray) -> list[np.ndarray]:
     """The filters of every unit vector: all directions that it exceeds, or its best few if those are fewer.
 
-    A direction's score is the sum of its four blocks'. The 1024 sums of blocks 1 and 2 and of 3
+    A direction's score is the sum of its four blocks'. The sums of blocks 1 and 2 and of 3
     and 4 are pruned by what the other half could add, and only what is left is combined.
     """
     n, dim = vectors.shape
@@ -145,7 +145,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     scratch = Scratch(vectors.sparkSession, "embeddings")
     v = F.col(vector_col).cast("array<double>")
     sound = F.coalesce(F.col(vector_col).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = scratch.table(vectors.select(F.col(id_col).cast("long").alias("id"), F.when(sound, F.xxhash64(v)).alias("node"), F.when(sound, v).alias("vector")), "rows")
+    rows = scratch.table(vectors.select(F.col(id_col).cast("long").alias("id"), F.when(sound, F.xxhash64(v)).alias("node"), F.when(sound, F.col(vector_col)).alias("vector")), "rows")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members"), F.first("vector").alias("vector"))
     nodes = scratch.table(nodes, "nodes")
     posts = nodes.select("node", "vector").repartition(parts_for(nodes), "node").mapInArrow(lean(_filters), "token long, node long").withColumn("n", F.lit(1).cast("long"))
