@@ -167,3 +167,13 @@ def test_command_line(spark, tmp_path, capsys):
     main(["put_state", "--path", str(tmp_path), "--data", '{"subject_name": "messages", "text": "role,content,timestamp\\nuser,x,t"}'])
     main(["subjects_info", "--path", str(tmp_path)])
     assert '"num_rows": 3' in capsys.readouterr().out
+
+
+def test_stateless_operators_take_streams(spark, tmp_path):
+    from loomgraph.operators import chunk_documents
+
+    docs = spark.createDataFrame([(i, "text " * (40 * i)) for i in range(5)], "id long, text string")
+    docs.write.parquet(str(tmp_path / "d"))
+    stream = spark.readStream.schema("id long, text string").parquet(str(tmp_path / "d"))
+    chunk_documents(stream, "id", "text", 100, 10).writeStream.format("memory").queryName("chunks").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, spark.table("chunks").collect())) == sorted(map(tuple, chunk_documents(docs, "id", "text", 100, 10).collect()))
