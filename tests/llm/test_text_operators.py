@@ -200,3 +200,19 @@ def test_shared_passages(spark):
     assert near and all((r["first_word"], r["end_word"]) == (10, 79) and 0.9 < r["similarity"] < 1 for r in near)
     assert [tuple(r)[:4] for r in got if r["doc_id"] == 8] == [(8, 0, 80, 7)]
     assert shared_passages(docs(spark, [])).count() == 0
+
+def test_passages_with_gaps(spark):
+    """Two passages of a pair, with other words between them on either side or both."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"{rng.randrange(10**9)}" for _ in range(n)]
+    gaps = [(n, n) for n in (10, 30, 60, 80, 120, 200, 300)] + [(n, 0) for n in (10, 60, 80, 300)] + [(0, n) for n in (10, 60, 80, 300)] + [(20, 120), (300, 60)]
+    rows, places = [], {}
+    for i, (here, there) in enumerate(gaps):
+        one, two = fresh(60), fresh(60)
+        rows += [(2 * i, " ".join(fresh(30) + one + fresh(here) + two + fresh(30))), (2 * i + 1, " ".join(fresh(30) + one + fresh(there) + two + fresh(30)))]
+        places[2 * i + 1] = set(range(30, 90)) | set(range(90 + there, 150 + there))
+    got = defaultdict(set)
+    for r in shared_passages(docs(spark, rows)).collect():
+        assert r["source_id"] == r["doc_id"] - 1 and r["similarity"] >= 0.75
+        got[r["doc_id"]] |= set(range(r["first_word"], r["end_word"]))
+    assert all(places[i] <= got[i] for i in places)
