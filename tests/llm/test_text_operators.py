@@ -216,3 +216,17 @@ def test_passages_with_gaps(spark):
         assert r["source_id"] == r["doc_id"] - 1 and r["similarity"] >= 0.75
         got[r["doc_id"]] |= set(range(r["first_word"], r["end_word"]))
     assert all(places[i] <= got[i] for i in places)
+
+
+def test_passages_of_common_lines(spark):
+    """Two texts share two lines that are each in many other texts."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"{rng.randrange(10**9)}" for _ in range(n)]
+    make = lambda *parts: " ".join(x for p in parts for x in p)
+    rows, pairs = [], []
+    for _ in range(12):
+        one, two = fresh(30), fresh(30)
+        rows += [make(fresh(40), line, fresh(40)) for line in (one, two) for _ in range(8)]
+        pairs += [make(fresh(20), one, two, fresh(20)) for _ in range(2)]
+    got = shared_passages(docs(spark, list(enumerate(rows + pairs)))).collect()
+    assert {(r["doc_id"], r["source_id"], r["first_word"], r["end_word"], r["similarity"]) for r in got} == {(len(rows) + i + 1, len(rows) + i, 20, 80, 1.0) for i in range(0, 24, 2)}
