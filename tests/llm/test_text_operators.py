@@ -230,3 +230,16 @@ def test_passages_of_common_lines(spark):
         pairs += [make(fresh(20), one, two, fresh(20)) for _ in range(2)]
     got = shared_passages(docs(spark, list(enumerate(rows + pairs)))).collect()
     assert {(r["doc_id"], r["source_id"], r["first_word"], r["end_word"], r["similarity"]) for r in got} == {(len(rows) + i + 1, len(rows) + i, 20, 80, 1.0) for i in range(0, 24, 2)}
+
+
+def test_passages_with_even_edits(spark):
+    """Every eighth word of a passage is another one: no eight words in a row are equal."""
+    rng = random.Random(13)
+    fresh = lambda n: [f"{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for i in range(20):
+        passage = fresh(70)
+        edited = [fresh(1)[0] if j % 8 == 7 else word for j, word in enumerate(passage)]
+        rows += [(2 * i, " ".join(fresh(30) + passage + fresh(30))), (2 * i + 1, " ".join(fresh(30) + edited + fresh(30)))]
+    got = shared_passages(docs(spark, rows)).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in got} == {(2 * i + 1, 2 * i) for i in range(20)}
