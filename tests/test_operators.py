@@ -170,3 +170,14 @@ def test_registry(spark):
     assert tuple(visible(op.dispatch(config, None, None, spark)).first()) == ("assistant", "RESPONSE")
     with pytest.raises(ValueError):
         op.dispatch(op.OperatorConfig(which="sort-scores-and-indices", lhs_values="none"), with_batches(spark.range(1)))
+
+
+def test_top_k_in_blocks(spark, rows, monkeypatch):
+    """A query set of more rows than are broadcast at a time gives what one block gives."""
+    from loomgraph.operators import similarity
+
+    table = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "id long, v array<double>")
+    queries = table.where("id < 11").withColumnsRenamed({"id": "query"})
+    whole = rows(similarity.top_k_similar(queries, table, 3, "query", "id", "v", "v"))
+    monkeypatch.setattr(similarity, "BROADCAST_ROWS", 4)
+    assert len(whole) == 33 and rows(similarity.top_k_similar(queries, table, 3, "query", "id", "v", "v")) == whole
