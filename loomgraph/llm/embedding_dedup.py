@@ -150,7 +150,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     nodes = scratch.table(nodes, "nodes")
     posts = nodes.select("node", "vector").repartition(parts_for(nodes), "node").mapInArrow(lean(_filters), "token long, node long").withColumn("n", F.lit(1).cast("long"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, n: int) -> DataFrame:
         a, b = nodes.select(F.col("node").alias("a"), F.col("vector").alias("u")), nodes.select(F.col("node").alias("b"), F.col("vector").alias("v"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "u", "v").mapInArrow(lean(_close(least)), "a long, b long")
 

@@ -4,11 +4,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import linked_components
-from .hot import join_groups
+from .hot import SMALL_ROWS, hot_keys, join_groups, join_salted
+from .identity import TextNodes
 from .lean import lean
 from .packed import MESSAGE, batch, messages, narrow, planes, send, unplanes, wide
 from .scratch import Scratch, parts_for
@@ -16,9 +17,9 @@ from .words import mix, shingle_sets, text_batches
 
 #: Tokens that a task gathers before it deals them out.
 _BLOCK = 1 << 19
-#: Texts, about, that hot tokens are looked for in, and the share of them that a hot token is in.
-SAMPLE, HOT = 10_000, 0.01
-_NODES = "node long, n long, low long, high long, shared binary, prefix array<long>"
+#: Texts, at least, that hot tokens are looked for in, the share of texts that a hot token is in, and the texts from which on it is one at any share.
+SAMPLE, HOT, MOST = 10_000, 0.01, 1_000_000
+_NODES = "node long, n long, shared binary, prefix array<long>, second array<int>, third array<int>"
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -88,9 +89,10 @@ def sampled_tokens(k: int):
 
 
 def sampled(texts: DataFrame) -> tuple[DataFrame, int]:
-    """About SAMPLE of ``texts`` (node, text), and the number of them that a hot token is in."""
-    share = min(1.0, SAMPLE / max(1, texts.count()))
-    return texts.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30))), max(4, int(SAMPLE * HOT))
+    """About SAMPLE of ``texts`` (node, text), more of very many so that 40 have a token that MOST have, and the number of them that a hot token is in."""
+    n = max(1, texts.count())
+    share = min(1.0, max(SAMPLE, 40 * n / MOST) / n)
+    return texts.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30))), max(4, int(min(share * n * HOT, share * MOST / 2)))
 
 
 def shared_tokens(parts: int):
@@ -146,7 +148,11 @@ def shared_tokens(parts: int):
 
 
 def nodes_of(percent: int):
-    """Messages by node to a row per node. A node whose first tokens under the first order are all its own can't have a partner: its ``shared`` and ``prefix`` are null."""
+    """Messages by node to a row per node: its tokens that others have too, and those among the first of all its tokens under three orders.
+
+    ``prefix``: rarest first; ``second``, ``third``: by rising and by falling hash, the lower 32 bits.
+    A node that has none under one of the orders can't have a partner: its arrays are null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, entries = [], []
@@ -168,48 +174,62 @@ def nodes_of(percent: int):
         owner, tokens = owner[fresh], tokens[fresh]
         begins, ends = np.searchsorted(owner, node, "left"), np.searchsorted(owner, node, "right")
         open_ = prefix_length(n, percent) - (n - (ends - begins))
-        kinds = [pa.binary(), pa.list_(pa.int64())]
+        kinds = [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
         for i in range(0, len(node), 2048):
-            shared, prefix = [], []
-            for a, b, p in zip(begins[i : i + 2048].tolist(), ends[i : i + 2048].tolist(), open_[i : i + 2048].tolist(), strict=True):
-                live = b > a and p > 0
-                shared.append(np.sort(tokens[a:b]).tobytes() if live else None)
-                prefix.append(tokens[a : a + p].view(np.int64) if live else None)
-            cols = [pa.array(x[i : i + 2048]) for x in (node, n, low.view(np.int64), high.view(np.int64))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(shared, kinds[0]), pa.array(prefix, kinds[1])], ["node", "n", "low", "high", "shared", "prefix"])
+            cols: list[list] = [[], [], [], []]
+            for a, b, p, least, most in zip(begins[i : i + 2048].tolist(), ends[i : i + 2048].tolist(), open_[i : i + 2048].tolist(), low[i : i + 2048], high[i : i + 2048], strict=True):
+                row = (None,) * 4
+                if b > a and p > 0:
+                    rising = np.sort(tokens[a:b])
+                    short = rising.astype(np.uint32).view(np.int32)
+                    second, third = short[: np.searchsorted(rising, least, "right")], short[np.searchsorted(rising, most, "left") :]
+                    if len(second) and len(third):
+                        row = rising.tobytes(), tokens[a : a + p].view(np.int64), second, third
+                for col, x in zip(cols, row, strict=True):
+                    col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(node[i : i + 2048]), pa.array(n[i : i + 2048]), *[pa.array(x, t) for x, t in zip(cols, kinds, strict=True)]], ["node", "n", "shared", "prefix", "second", "third"])
 
     return run
 
 
 def _similar(percent: int):
-    """Pairs (a, b, n, low, high and shared tokens of either) to those that pass the other orders' filters and the test itself."""
+    """Pairs (a, b, sizes and shared tokens of either) to those that are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            a, b = col["a"].to_numpy(), col["b"].to_numpy()
             n, m = col["n"].to_numpy(), col["m"].to_numpy()
-            low, high = np.minimum(col["low"].to_numpy().view(np.uint64), col["low2"].to_numpy().view(np.uint64)), np.maximum(col["high"].to_numpy().view(np.uint64), col["high2"].to_numpy().view(np.uint64))
             found = []
             for i in range(batch.num_rows):
                 x, y = np.frombuffer(col["shared"][i].as_buffer(), np.uint64), np.frombuffer(col["shared2"][i].as_buffer(), np.uint64)
-                both = np.intersect1d(x, y, assume_unique=True)
-                # by rising and by falling hash, a token of both must be among the first of both
-                if len(both) == 0 or both[0] > low[i] or both[-1] < high[i]:
-                    continue
-                if 100 * len(both) >= percent * (int(n[i]) + int(m[i]) - len(both)):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (int(n[i]) + int(m[i]) - both):
                     found.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(a[found]), pa.array(b[found])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(col[x].to_numpy()[found]) for x in "ab"], ["a", "b"])
 
     return run
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that are similar."""
-    side = nodes.select("node", "n", "low", "high", "shared")
-    other = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("shared").alias("shared2"))
-    joined = pairs.select("a", "b").join(side.withColumnRenamed("node", "a"), "a").join(other, "b")
-    return joined.mapInArrow(lean(_similar(percent)), "a long, b long")
+def verify(pairs: DataFrame, n: int, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Those of ``n`` stored pairs (a, b) of nodes that are similar.
+
+    Pairs share a token of the first order. Those that share none of the second's or none of the third's
+    first tokens go; only then whole sets are fetched and compared. Nodes in very many pairs, as
+    leaders of large groups are, are dealt to several tasks.
+    """
+    hot = {side: hot_keys(pairs, side, n) for side in "ab"}
+    ends = pairs.select("b").distinct()
+    few = n <= SMALL_ROWS or ends.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+
+    def joined(pairs: DataFrame, *cols: str) -> DataFrame:
+        own = nodes.select(F.col("node").alias("a"), *cols)
+        other = nodes.select(F.col("node").alias("b"), *[F.col(c).alias("m" if c == "n" else f"{c}2") for c in cols])
+        other = other.join(F.broadcast(ends), "b", "left_semi") if few else other
+        return join_salted(join_salted(pairs, own, "a", hot["a"], "b"), other, "b", hot["b"], "a")
+
+    close = joined(pairs, "second", "third").where(F.arrays_overlap("second", "second2") & F.arrays_overlap("third", "third2")).select("a", "b")
+    close = scratch.table(close, "close")
+    return joined(close, "n", "shared").select("a", "b", "n", "m", "shared", "shared2").mapInArrow(lean(_similar(percent)), "a long, b long")
 
 
 def link_classes(texts: DataFrame, scratch: Scratch, k: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
@@ -217,14 +237,15 @@ def link_classes(texts: DataFrame, scratch: Scratch, k: int = 5, percent: int =
 
     Under any order of all tokens, similar sets share one of their first tokens (the prefix).
     Three orders serve: rarest first (by exact counts of the sets that hold a token, ties by
-    hash), rising hash and falling hash. Candidates share a prefix token under the first; pairs
-    that do not under the second and third are dropped before verification.
+    hash), rising hash and falling hash. A set whose prefix under any of them is its own alone has
+    no partner. Candidates share a prefix token under the first; pairs that do not under the second
+    and third too are dropped before any set is fetched.
 
     Tokens travel as packed 64-bit hashes: each range of hashes is counted by one task, which
-    answers only with tokens of two or more sets. Tokens in HOT of a sample of SAMPLE texts, at most
-    the mean set's size / HOT, go past that count: they come last in the order, by their count in the
-    sample, so no task gets the entries of a token that a third of all texts holds. A set whose rarest-first prefix is its own
-    alone ends there: that is most of a corpus.
+    answers only with tokens of two or more sets. Tokens in HOT of all texts, by a sample, or in MOST
+    texts go past that count: they come last in the order, by their count in the sample, so no
+    task gets the entries of a token that more texts hold. There are at most the mean set's size /
+    HOT of them, or twice all tokens / MOST.
 
     A pair is a candidate only by a token from which on either has tokens enough for it, under
     the first order: the first token that similar sets share is such a one.
@@ -239,12 +260,14 @@ def link_classes(texts: DataFrame, scratch: Scratch, k: int = 5, percent: int =
     dealt = send(texts.mapInArrow(lean(deal_tokens(parts, k, percent, hot, weights)), MESSAGE), parts)
     answers = send(dealt.mapInArrow(lean(shared_tokens(parts)), MESSAGE), parts)
     nodes = scratch.table(answers.mapInArrow(lean(nodes_of(percent)), _NODES), "nodes")
-    live = nodes.where("prefix is not null")
+    live = scratch.table(nodes.where("prefix is not null"), "live")
     posts = live.select("node", "n", F.expr("octet_length(shared) div 8 AS known"), F.posexplode("prefix").alias("at", "token"))
     posts = posts.selectExpr("token", "node", "named_struct('all', n, 'known', known, 'rest', known - at) AS n")
     n, m = F.col("n"), F.col("m")
     near = (n["all"] * 100 >= m["all"] * percent) & (m["all"] * 100 >= n["all"] * percent) & (F.least(n["rest"], m["rest"]) * (100 + percent) >= (n["all"] + m["all"]) * percent)
-    roots = linked_components(posts, lambda pairs: verify(pairs, live, percent), scratch, near, (n["all"] - n["known"]) / n["all"])
+    test = lambda pairs, n: verify(pairs, n, live, percent, scratch)
+    second = live.select("node", F.explode("second").alias("also"))
+    roots = linked_components(scratch.table(posts, "posts"), test, scratch, near, (n["all"] - n["known"]) / n["all"], second)
     return nodes.select("node", "n"), roots
 
 
@@ -254,22 +277,26 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A set holds the distinct runs of ``k`` words, or with fewer words the whole sequence as one;
     words are runs of characters other than space and 0x09-0x0D, A-Z lower-cased. Two texts link
     when 100 * |A and B| >= percent * |A or B|; ``component_id`` is the smallest id that links
-    reach. Equal texts are one node (64-bit hash), so copies cost nothing. Texts without
+    reach. Equal texts are one node (``TextNodes``), so copies cost nothing. Texts without
     words, empty and null ones, link with nothing: n_shingles 0, their own id. Rows with a null id
     link as others do but give no id. Rows that repeat an id keep their own texts. No rows give none.
     """
+    return _classes(docs, id_col, text_col, k, percent)[0]
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, Column]:
+    """``ngram_classes`` and the column of ``docs`` that is a row's node."""
     scratch = Scratch(docs.sparkSession, "ngram")
-    node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    texts = docs.where(F.col(text_col).isNotNull() & (F.col(text_col) != "")).select(node.alias("node"), F.col(text_col).alias("text"))
+    known = TextNodes(docs, id_col, text_col, scratch)
+    texts = docs.where(F.col(text_col).isNotNull() & (F.col(text_col) != "")).select(known.node.alias("node"), F.col(text_col).alias("text"))
     nodes, roots = link_classes(texts, scratch, k, percent)
-    rows = scratch.table(docs.select(F.col(id_col).cast("long").alias("id"), node.alias("node")), "rows")
-    sizes = rows.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members"))
+    rows, sizes = known.rows, known.groups.drop("most")
     classes = sizes.join(nodes, "node", "left").join(roots, "node", "left")
     least = classes.groupBy(F.coalesce("root", "node").alias("at")).agg(F.min("least").alias("component"))
     classes = classes.withColumn("at", F.coalesce("root", "node")).join(least, "at").select("node", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "component", "members")
     out = join_groups(rows, scratch.table(classes, "classes"), "node", "members")
     scratch.keep("rows", "classes")
-    return out.select(F.col("id").alias(id_col), "node", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), "node", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id")), known.node
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -278,12 +305,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts without words stay all, and so do rows without an id; rows that repeat id and text become one.
     """
     scratch = Scratch(docs.sparkSession, "drop-near")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = ngram_classes(docs, id_col, text_col, k, percent).select(F.col(id_col).alias("own"), "node", "n_shingles", "component_id")
-    found = scratch.table(found, "found")
+    found, node = _classes(docs, id_col, text_col, k, percent)
+    found = scratch.table(found.select(F.col(id_col).alias("own"), "node", "n_shingles", "component_id"), "found")
     gone = found.where("n_shingles > 0 and own is not null and own <> component_id").select("own", "node").distinct()
     twice = scratch.table(found.where("own is not null").groupBy("own", "node").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "twice").drop("rows")
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own"), F.xxhash64(text).alias("node"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own"), node.alias("node"))
     stay = rows.join(gone, ["own", "node"], "left_anti")
     if twice.isEmpty():
         return stay.select("row.*")

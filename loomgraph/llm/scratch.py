@@ -4,7 +4,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _BYTES_PER_PART = 32 << 20
 #: Spark's estimate for what it has no size of is near 2 ** 63.
@@ -13,9 +14,11 @@ _BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset and the master is local, as in tests, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all machines share.")
         found = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -39,15 +42,22 @@ class Scratch:
         self.spark = spark
         bound_batches(spark)
         self.root = f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
+        #: What was observed while a table was written: its rows, and what the caller asked for.
+        self.seen: dict[str, dict] = {}
         atexit.register(self._remove, self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-        df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
+    def table(self, df: DataFrame, name: str, compression: str = "snappy", **watch: Column) -> DataFrame:
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *[x.alias(k) for k, x in watch.items()]).write.mode("overwrite").option("compression", compression).parquet(self.path(name))
+        self.seen[name] = dict(seen.get)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def rows(self, name: str) -> int:
+        return self.seen[name]["rows"]
+
     def drop(self, *names: str) -> None:
         for name in names:
             self._remove(self.path(name))
