@@ -191,9 +191,11 @@ def test_shared_passages(spark):
     rows = [(i, make(fresh(100), passage, fresh(40))) for i in (1, 2, 3)] + [(4, make(fresh(10), fuzzy, fresh(90))), (5, make(fresh(200))), (6, make(fresh(60), passage[:30], fresh(60)))]
     copy = make(fresh(80))
     rows += [(7, copy), (8, copy), (8, copy), (9, None), (10, ""), (None, copy), (11, "same " * 300), (12, "same " * 250)]
-    got = shared_passages(docs(spark, rows, True)).collect()
-    seen = {r["doc_id"] for r in got} | {r["source_id"] for r in got}
-    assert seen == {1, 2, 3, 4, 7, 8, 11, 12}
+    both = shared_passages(docs(spark, rows, True)).collect()
+    assert {r["doc_id"] for r in both} == {1, 2, 3, 4, 7, 8, 11, 12} and [tuple(r)[:4] for r in both if r["doc_id"] == 7] == [(7, 0, 80, 8)]
+    assert all(r["repeat"] == (r["doc_id"] > r["source_id"]) for r in both)
+    got = [r for r in both if r["repeat"]]
+    assert {(r["source_id"], r["source_first"], r["source_end"], r["doc_id"], r["first_word"], r["end_word"]) for r in got} == {tuple(r)[:6] for r in both if not r["repeat"]}
     exact = [r for r in got if {r["doc_id"], r["source_id"]} <= {1, 2, 3}]
     assert exact and all((r["first_word"], r["end_word"], r["source_first"], r["source_end"], r["similarity"]) == (100, 170, 100, 170, 1.0) for r in exact)
     near = [r for r in got if r["doc_id"] == 4]
@@ -201,6 +203,7 @@ def test_shared_passages(spark):
     assert [tuple(r)[:4] for r in got if r["doc_id"] == 8] == [(8, 0, 80, 7)]
     assert shared_passages(docs(spark, [])).count() == 0
 
+
 def test_passages_with_gaps(spark):
     """Two passages of a pair, with other words between them on either side or both."""
     rng = random.Random(11)
@@ -212,7 +215,7 @@ def test_passages_with_gaps(spark):
         rows += [(2 * i, " ".join(fresh(30) + one + fresh(here) + two + fresh(30))), (2 * i + 1, " ".join(fresh(30) + one + fresh(there) + two + fresh(30)))]
         places[2 * i + 1] = set(range(30, 90)) | set(range(90 + there, 150 + there))
     got = defaultdict(set)
-    for r in shared_passages(docs(spark, rows)).collect():
+    for r in shared_passages(docs(spark, rows)).where("repeat").collect():
         assert r["source_id"] == r["doc_id"] - 1 and r["similarity"] >= 0.75
         got[r["doc_id"]] |= set(range(r["first_word"], r["end_word"]))
     assert all(places[i] <= got[i] for i in places)
@@ -228,7 +231,7 @@ def test_passages_of_common_lines(spark):
         one, two = fresh(30), fresh(30)
         rows += [make(fresh(40), line, fresh(40)) for line in (one, two) for _ in range(8)]
         pairs += [make(fresh(20), one, two, fresh(20)) for _ in range(2)]
-    got = shared_passages(docs(spark, list(enumerate(rows + pairs)))).collect()
+    got = shared_passages(docs(spark, list(enumerate(rows + pairs)))).where("repeat").collect()
     assert {(r["doc_id"], r["source_id"], r["first_word"], r["end_word"], r["similarity"]) for r in got} == {(len(rows) + i + 1, len(rows) + i, 20, 80, 1.0) for i in range(0, 24, 2)}
 
 
@@ -241,5 +244,43 @@ def test_passages_with_even_edits(spark):
         passage = fresh(70)
         edited = [fresh(1)[0] if j % 8 == 7 else word for j, word in enumerate(passage)]
         rows += [(2 * i, " ".join(fresh(30) + passage + fresh(30))), (2 * i + 1, " ".join(fresh(30) + edited + fresh(30)))]
-    got = shared_passages(docs(spark, rows)).collect()
+    got = shared_passages(docs(spark, rows)).where("repeat").collect()
     assert {(r["doc_id"], r["source_id"]) for r in got} == {(2 * i + 1, 2 * i) for i in range(20)}
+
+
+def test_passages_against_brute_force(spark):
+    """A corpus with one passage in 5 % of the texts, another in a third, common lines, copies, edited passages and a very long text: every document with an exact repeat of 50 words is listed with all its repeated words, and all that is listed is similar."""
+    rng = random.Random(17)
+    fresh = lambda n: [f"{rng.randrange(10**7)}" for _ in range(n)]
+    rare, common, lines = fresh(64), fresh(55), [fresh(26) for _ in range(6)]
+    rows = []
+    for i in range(160):
+        parts = [fresh(rng.randrange(5, 120))]
+        if i % 20 == 0:
+            parts += [rare, fresh(rng.randrange(30))]
+        if i % 3 == 0:
+            parts += [common, fresh(rng.randrange(30))]
+        parts += [x for x in rng.sample(lines, 3) if rng.random() < 0.6]
+        if i % 7 == 0:
+            edited = list(common)
+            for _ in range(rng.randrange(1, 6)):
+                edited[rng.randrange(55)] = fresh(1)[0]
+            parts += [edited]
+        rows.append((i, " ".join(x for p in parts for x in p)))
+    rows += [(500 + i, rows[i * 9][1]) for i in range(6)] + [(600, " ".join(fresh(40_000) + rare + fresh(20_000))), (601, None), (602, "")]
+    words = {i: (t or "").split() for i, t in rows}
+    holders = defaultdict(set)
+    for i, w in words.items():
+        for j in range(len(w) - 49):
+            holders[tuple(w[j : j + 50])].add(i)
+    repeated = defaultdict(set)
+    for i, w in words.items():
+        for j in range(len(w) - 49):
+            if len(holders[tuple(w[j : j + 50])]) > 1:
+                repeated[i] |= set(range(j, j + 50))
+    got, listed = shared_passages(docs(spark, rows)).collect(), defaultdict(set)
+    for r in got:
+        a, b = words[r["doc_id"]][r["first_word"] : r["end_word"]], words[r["source_id"]][r["source_first"] : r["source_end"]]
+        assert min(len(a), len(b)) >= 50 and r["similarity"] >= 0.75 and r["similarity"] == pytest.approx(1 - edit_distance(a, b) / max(len(a), len(b)))
+        listed[r["doc_id"]] |= set(range(r["first_word"], r["end_word"]))
+    assert len(repeated) > 60 and all(repeated[i] <= listed[i] for i in repeated)
