@@ -82,16 +82,15 @@ def _relabelled(found: DataFrame | None, ends: DataFrame, n: int, scratch: Scrat
 ROUNDS, OPEN = 5, 2
 #: By how much the choice of leaders is shaken, more with every round.
 SHAKE = 0.02
-#: Nodes of a list from which on the last step parts it by a second order, and nodes of a block of a list that one task pairs.
-LONG, BLOCK = 64, 1024
+#: Nodes of a block of a list that one task pairs.
+BLOCK = 1024
 
 
-def linked_components(posts: DataFrame, verify: Callable[[DataFrame, int], DataFrame], scratch: Scratch, near: Column | None = None, fringe: Column | None = None, second: DataFrame | None = None) -> DataFrame:
+def linked_components(posts: DataFrame, verify: Callable[[DataFrame, int], DataFrame], scratch: Scratch, near: Column | None = None, fringe: Column | None = None) -> DataFrame:
     """(node, root) of all linked nodes, where links are the pairs in one list that ``verify`` keeps.
 
     ``posts`` (token, node, n), stored, lists the nodes of every token, with anything about a node in n; ``verify`` gives those of
     stored pairs (a, b), so many, that are similar; pairs against ``near``, a condition on their n and m, can't be.
-    ``second`` (node, also): tokens of another order, of which linked nodes share one too.
 
     ``fringe``, a number of a node's n, is the larger the fewer nodes may be like it; leaders have a small one.
 
@@ -132,32 +131,22 @@ def linked_components(posts: DataFrame, verify: Callable[[DataFrame, int], DataF
         found = scratch.table(verify(pairs, scratch.rows(f"pairs-{turn}")), f"links-{turn}")
         links = found if links is None else links.union(found)
         labels = components(links, scratch, f"labels-{turn}")
-    rest = scratch.table(listed_pairs(lists, scratch, near, second), "pairs-rest")
+    rest = scratch.table(listed_pairs(lists, near), "pairs-rest")
     found = scratch.table(verify(rest, scratch.rows("pairs-rest")), "links-rest")
     return components(links.union(found), scratch, "labels") if scratch.rows("links-rest") else labels
 
 
-def listed_pairs(lists: DataFrame, scratch: Scratch, near: Column | None, second: DataFrame | None) -> DataFrame:
-    """(a, b): distinct pairs of nodes with different labels in one list of stored ``lists`` (token, node, n, label, all: the list's nodes).
+def listed_pairs(lists: DataFrame, near: Column | None) -> DataFrame:
+    """(a, b): distinct pairs of nodes with different labels in one list of ``lists`` (token, node, n, label, all: the list's nodes).
 
-    A list of over LONG nodes is parted by the tokens of a second order: its pairs share one of
-    those too. What is still long is dealt as blocks against blocks of BLOCK nodes, so a task
-    pairs no more than two blocks, however long the list.
+    A list is dealt as blocks against blocks of BLOCK nodes, so a task pairs no more than two
+    blocks, however long the list.
     """
-    cols = ["token", "node", "n", "label", "all"]
-    short = lists.select(*cols)
-    if second is not None and not lists.where(F.col("all") > LONG).isEmpty():
-        parted = lists.where(F.col("all") > LONG).drop("all").join(second, "node").withColumn("token", F.xxhash64("token", "also")).drop("also")
-        parted = scratch.table(parted.distinct(), "parted")
-        sizes = parted.groupBy("token").agg(F.count(F.lit(1)).alias("all"), (F.min("label") < F.max("label")).alias("open")).where("open").drop("open")
-        sizes = scratch.table(sizes, "parted-sizes", entries=F.sum("all"))
-        parted = join_groups(parted, sizes, "token", "all", counts=(scratch.rows("parted-sizes"), scratch.seen["parted-sizes"]["entries"] or 0))
-        short = scratch.table(short.where(F.col("all") <= LONG).unionByName(parted.select(*cols)), "parted-lists")
     blocks = F.ceil(F.col("all") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    left = short.select("token", own.alias("i"), every.alias("j"), "node", "n", "label")
-    right = short.select("token", every.alias("i"), own.alias("j"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
+    left = lists.select("token", own.alias("i"), every.alias("j"), "node", "n", "label")
+    right = lists.select("token", every.alias("i"), own.alias("j"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
     rest = left.join(right, ["token", "i", "j"]).where((F.col("node") < F.col("b")) & (F.col("label") != F.col("other")))
     rest = rest if near is None else rest.where(near)
     return rest.select(F.col("node").alias("a"), "b").distinct()

@@ -38,16 +38,17 @@ def hot_keys(rows: DataFrame, key: str, n: int) -> DataFrame | None:
     return rows.sparkSession.createDataFrame(got, found.schema) if got else None
 
 
-def join_salted(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None, salt_by: str) -> DataFrame:
+def join_salted(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None, salt_by: str, only: bool = False) -> DataFrame:
     """Join ``rows`` to ``table``, one row per key, whose rows may be too large to be broadcast.
 
     Rows of the ``hot_keys`` are dealt by a hash of ``salt_by``, and their rows of ``table``
-    are repeated as often: at most 1 / HOT_SHARE repeats in all.
+    are repeated as often: at most 1 / HOT_SHARE repeats in all. ``only``: all keys of ``rows`` are hot.
     """
     if hot is None:
         return rows.join(table, key)
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.pmod(F.xxhash64(salt_by), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    spread = table.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    how = "inner" if only else "left"
+    dealt = rows.join(F.broadcast(hot), key, how).withColumn("salt", F.pmod(F.xxhash64(salt_by), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    spread = table.join(F.broadcast(hot), key, how).withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     return dealt.join(spread, [key, "salt"]).drop("salt")
 
 

@@ -260,14 +260,13 @@ def link_classes(texts: DataFrame, scratch: Scratch, k: int = 5, percent: int =
     dealt = send(texts.mapInArrow(lean(deal_tokens(parts, k, percent, hot, weights)), MESSAGE), parts)
     answers = send(dealt.mapInArrow(lean(shared_tokens(parts)), MESSAGE), parts)
     nodes = scratch.table(answers.mapInArrow(lean(nodes_of(percent)), _NODES), "nodes")
-    live = scratch.table(nodes.where("prefix is not null"), "live")
+    live = nodes.where("prefix is not null")
     posts = live.select("node", "n", F.expr("octet_length(shared) div 8 AS known"), F.posexplode("prefix").alias("at", "token"))
     posts = posts.selectExpr("token", "node", "named_struct('all', n, 'known', known, 'rest', known - at) AS n")
     n, m = F.col("n"), F.col("m")
     near = (n["all"] * 100 >= m["all"] * percent) & (m["all"] * 100 >= n["all"] * percent) & (F.least(n["rest"], m["rest"]) * (100 + percent) >= (n["all"] + m["all"]) * percent)
     test = lambda pairs, n: verify(pairs, n, live, percent, scratch)
-    second = live.select("node", F.explode("second").alias("also"))
-    roots = linked_components(scratch.table(posts, "posts"), test, scratch, near, (n["all"] - n["known"]) / n["all"], second)
+    roots = linked_components(scratch.table(posts, "posts"), test, scratch, near, (n["all"] - n["known"]) / n["all"])
     return nodes.select("node", "n"), roots
 
 
