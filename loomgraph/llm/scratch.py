@@ -62,6 +62,10 @@ class Scratch:
         for name in names:
             self._remove(self.path(name))
 
+    def release(self) -> None:
+        """Have the driver notice which shuffles nothing refers to any more, so that executors delete their files now and not at some later collection."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def keep(self, *names: str) -> None:
         """Drop all tables but these, which a lazy result still reads."""
         context = self.spark.sparkContext
