@@ -260,7 +260,6 @@ def link_classes(texts: DataFrame, scratch: Scratch, k: int = 5, percent: int =
     dealt = send(texts.mapInArrow(lean(deal_tokens(parts, k, percent, hot, weights)), MESSAGE), parts)
     answers = send(dealt.mapInArrow(lean(shared_tokens(parts)), MESSAGE), parts)
     nodes = scratch.table(answers.mapInArrow(lean(nodes_of(percent)), _NODES), "nodes")
-    scratch.release()
     live = nodes.where("prefix is not null")
     posts = live.select("node", "n", F.expr("octet_length(shared) div 8 AS known"), F.posexplode("prefix").alias("at", "token"))
     posts = posts.selectExpr("token", "node", "named_struct('all', n, 'known', known, 'rest', known - at) AS n")

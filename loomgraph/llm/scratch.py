@@ -11,6 +11,8 @@ _BYTES_PER_PART = 32 << 20
 #: Spark's estimate for what it has no size of is near 2 ** 63.
 _UNKNOWN = 1 << 54
 _BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+#: Whether a query's shuffle files go as soon as it ends, and not when the driver's JVM next collects garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,8 +52,15 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def table(self, df: DataFrame, name: str, compression: str = "snappy", **watch: Column) -> DataFrame:
+        """``df`` written and reread. What was shuffled for it is deleted when it is written: nothing reads it again."""
         seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("rows"), *[x.alias(k) for k, x in watch.items()]).write.mode("overwrite").option("compression", compression).parquet(self.path(name))
+        rows = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[x.alias(k) for k, x in watch.items()])
+        before = self.spark.conf.get(_CLEAN, "false")
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            rows.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
+        finally:
+            self.spark.conf.set(_CLEAN, before)
         self.seen[name] = dict(seen.get)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
@@ -62,10 +71,6 @@ class Scratch:
         for name in names:
             self._remove(self.path(name))
 
-    def release(self) -> None:
-        """Have the driver notice which shuffles nothing refers to any more, so that executors delete their files now and not at some later collection."""
-        self.spark.sparkContext._jvm.System.gc()
-
     def keep(self, *names: str) -> None:
         """Drop all tables but these, which a lazy result still reads."""
         context = self.spark.sparkContext
