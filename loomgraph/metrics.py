@@ -18,6 +18,7 @@ class Metric:
     name: str
     value: int
     kind: str = "count"
+    labels: tuple[tuple[str, str], ...] = ()
 
 
 class MetricsSet:
@@ -27,9 +28,23 @@ class MetricsSet:
         self._metrics: list[Metric] = []
         self._lock = Lock()
 
-    def add(self, task: str, name: str, value: int, kind: str | None = None) -> None:
+    def add(self, task: str, name: str, value: int, kind: str | None = None, **labels: str) -> None:
         with self._lock:
-            self._metrics.append(Metric(task, name, int(value), kind or (name if name in ORDER else "count")))
+            self._metrics.append(Metric(task, name, int(value), kind or (name if name in ORDER else "count"), tuple(sorted(labels.items()))))
+
+    def counter(self, task: str, name: str, **labels: str) -> "Counter":
+        """A counter that only grows."""
+        return Counter(self, task, name, "count", labels)
+
+    def gauge(self, task: str, name: str, **labels: str) -> "Gauge":
+        """A value that is set, or kept at its greatest."""
+        return Gauge(self, task, name, "gauge", labels)
+
+    def _put(self, metric: Metric) -> None:
+        """``metric`` in place of that of the same task, name, kind and labels."""
+        with self._lock:
+            same = lambda m: (m.task, m.name, m.kind, m.labels) == (metric.task, metric.name, metric.kind, metric.labels)
+            self._metrics = [m for m in self._metrics if not same(m)] + [metric]
 
     def timer(self, task: str) -> "Timer":
         return Timer(self, task)
@@ -78,6 +93,29 @@ class MetricsSet:
         return spark.createDataFrame(rows, "task_name string, metric_name string, metric_value long")
 
 
+class Counter:
+    def __init__(self, metrics: MetricsSet, task: str, name: str, kind: str, labels: dict[str, str]):
+        self.metrics, self.task, self.name, self.kind, self.labels, self.value, self._lock = metrics, task, name, kind, tuple(sorted(labels.items())), 0, Lock()
+
+    def _to(self, value: int) -> None:
+        self.value = value
+        self.metrics._put(Metric(self.task, self.name, value, self.kind, self.labels))
+
+    def add(self, n: int = 1) -> None:
+        with self._lock:
+            self._to(self.value + n)
+
+
+class Gauge(Counter):
+    def set(self, value: int) -> None:
+        with self._lock:
+            self._to(value)
+
+    def set_max(self, value: int) -> None:
+        with self._lock:
+            self._to(max(self.value, value))
+
+
 class Timer:
     """Adds start, end and elapsed nanoseconds of a ``with`` block."""
 

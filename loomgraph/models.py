@@ -83,11 +83,51 @@ class ServiceChat:
         self.post, self.url, self.model, self.tools, self.options = post, url, model, tools, options
 
     def reply(self, prompt: str) -> Iterator[str]:
-        body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], **self.options} | ({"tools": self.tools} if self.tools else {})
+        return self.chat([{"role": "user", "content": prompt}])
+
+    def chat(self, messages: list[dict]) -> Iterator[str]:
+        """The answer to a whole conversation: messages (role, content), as ``chat_request`` makes them."""
+        body = {"model": self.model, "messages": messages, **self.options} | ({"tools": self.tools} if self.tools else {})
         choice = self.post(f"{self.url}/chat/completions", body)["choices"][0]
         yield json.dumps(choice["message"]["tool_calls"]) if choice.get("finish_reason") == "tool_calls" else choice["message"]["content"]
 
 
+def sample_token(logits: np.ndarray, rng: np.random.Generator, temperature: float = 1.0, top_k: int | None = None, top_p: float | None = None) -> int:
+    """A token for the scores of a vocabulary: the best at temperature 0, else one by its probability, among the ``top_k`` best, the fewest that hold ``top_p``, or of those first the one and then the other."""
+    if temperature <= 0:
+        return int(np.argmax(logits))
+    z = np.asarray(logits, float) / temperature
+    p = np.exp(z - z.max())
+    order = np.argsort(-p, kind="stable")
+    if top_k is not None:
+        order = order[:top_k]
+    if top_p is not None:
+        share = np.cumsum(p[order]) / p[order].sum()
+        order = order[: int(np.searchsorted(share, top_p)) + 1]
+    return int(rng.choice(order, p=p[order] / p[order].sum()))
+
+
+class TableChat:
+    """A local model over a table of scores: after a word, the scores of the next; it ends at ``end`` or after ``most`` words. Same seed, same answer."""
+
+    def __init__(self, scores: dict[str, dict[str, float]], end: str = "", most: int = 64, seed: int = 0, **sampling):
+        self.scores, self.end, self.most, self.seed, self.sampling = scores, end, most, seed, sampling
+
+    def reply(self, prompt: str) -> Iterator[str]:
+        rng = np.random.default_rng(self.seed)
+        words = prompt.rpartition("<|im_start|>user\n")[2].partition("<|im_end|>")[0].split()
+        word = words[-1] if words else ""
+        for i in range(self.most):
+            following = self.scores.get(word)
+            if not following:
+                return
+            names = sorted(following)
+            word = names[sample_token(np.array([following[x] for x in names]), rng, **self.sampling)]
+            if word == self.end:
+                return
+            yield word if i == 0 else " " + word
+
+
 def embed_texts(df: DataFrame, embedder: Embedder, text: str = "text", out: str = "embeddings", keep: list[str] | None = None) -> DataFrame:
     """``df`` with the vector of ``text`` in its place; string columns stay (or those in ``keep``). Batches go to the model as Arrow sends them."""
     kept = keep if keep is not None else [c for c, kind in df.dtypes if kind == "string" and c != text]

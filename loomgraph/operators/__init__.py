@@ -1,7 +1,7 @@
 """Operators: pure functions of DataFrames."""
 
 from .chunking import chunk_documents
-from .messages import extend_chunks, fold_chat, has_message_columns, parse_tool_calls, prepare_messages, prompt, route_messages, summarize
+from .messages import chat_request, extend_chunks, fold_chat, has_message_columns, parse_tool_calls, prepare_messages, prompt, route_messages, summarize
 from .registry import OPERATORS, OperatorConfig, dispatch, tool_catalog, tool_schema
 from .relational import (
     assert_not_null,

@@ -20,6 +20,6 @@ def chunk_documents(df: DataFrame, pk: str, text: str, size: int = 512, overlap:
         df = df.select(*columns_of_types(df))
     step = size - overlap
     n = F.when(F.length(text) > size, F.ceil((F.length(text) - overlap) / F.lit(step))).otherwise(1).cast("int")
-    rows = df.withColumn("_i", F.explode(F.sequence(F.lit(0), n - 1)))
+    rows = df.withColumn("_chunk_number", F.explode(F.sequence(F.lit(0), n - 1)))
     others = [c for c in df.columns if c not in (text, chunk_id)]
-    return rows.select(F.concat_ws("_", F.col(pk).cast("string"), F.col("_i").cast("string")).alias(chunk_id), *others, F.substring(F.col(text), F.col("_i") * step + 1, F.lit(size)).alias(text))
+    return rows.select(F.concat_ws("_", F.col(pk).cast("string"), F.col("_chunk_number").cast("string")).alias(chunk_id), *others, F.substring(F.col(text), F.col("_chunk_number") * step + 1, F.lit(size)).alias(text))

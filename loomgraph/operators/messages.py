@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import GENERATION_PROMPT, chat_line, clean_tool_calls, render_template, timestamp_now
+from ..functions.text import GENERATION_PROMPT, chat_line, clean_tool_calls, message_role, render_template, timestamp_now
 from ..subjects import BATCH, HIDDEN, ROW, visible, with_batches
 
 PARSER = "message_parser_processor"
@@ -46,11 +46,30 @@ def prepare_messages(history: DataFrame | None, query: DataFrame, system: str =
     return rows[0].unionByName(rows[1])
 
 
-def prompt(df: DataFrame, order: list[str], keys: list[str] | None = None, generate: bool = False) -> DataFrame:
-    """The chat template over all rows (per ``keys``) in order, as ``prompt``."""
+def prompt(df: DataFrame, order: list[str], keys: list[str] | None = None, generate: bool = False, tools: list[str] | None = None, documents: DataFrame | None = None) -> DataFrame:
+    """The chat template over all rows (per ``keys``) in order, as ``prompt``.
+
+    ``tools``, JSON schemas, and ``documents`` (text, in their own order; a small table) stand before the
+    messages, each as a system message of its own.
+    """
     lines = df.withColumn("_line", chat_line(F.col("role"), F.col("content")))
     text = ordered_text("_line", order)
-    return lines.groupBy(*(keys or [])).agg((F.concat(text, F.lit(GENERATION_PROMPT)) if generate else text).alias("prompt"))
+    text = F.concat(text, F.lit(GENERATION_PROMPT)) if generate else text
+    made = lines.groupBy(*(keys or [])).agg(text.alias("prompt"))
+    if documents is not None:
+        held = with_batches(documents).agg(ordered_text("text", list(HIDDEN), "\n").alias("_documents"))
+        said = chat_line(F.lit("system"), F.concat(F.lit("<documents>\n"), F.col("_documents"), F.lit("\n</documents>")))
+        made = made.crossJoin(F.broadcast(held)).withColumn("prompt", F.concat(said, "prompt")).drop("_documents")
+    if tools:
+        said = chat_line(F.lit("system"), F.lit("<tools>\n" + "\n".join(tools) + "\n</tools>"))
+        made = made.withColumn("prompt", F.concat(said, "prompt"))
+    return made
+
+
+def chat_request(df: DataFrame, order: list[str], keys: list[str] | None = None) -> DataFrame:
+    """(keys ..., request): the messages in order as a JSON list of {"role", "content"}, with the roles that chat services know."""
+    one = F.to_json(F.struct(message_role(F.col("role")).alias("role"), F.coalesce("content", F.lit("")).alias("content")))
+    return df.withColumn("_json", one).groupBy(*(keys or [])).agg(F.concat(F.lit("["), ordered_text("_json", order, ","), F.lit("]")).alias("request"))
 
 
 def summarize(df: DataFrame, columns: list[str] | None = None, rows: int | None = None, legacy_stride: bool = False, order: list[str] | None = None, stamp: Column | None = None) -> DataFrame:

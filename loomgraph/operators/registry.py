@@ -28,6 +28,7 @@ _ARGUMENTS = {
 _ANSWER = 'The question or answer for the user. Format lhs_arg value as JSON according to the schema {"role": "assistant", "content": "`RESPONSE`"} where `RESPONSE` is where you put your question or answer for the user'
 
 
+#: The names of the fields, which tool calls and config tables use.
 @dataclass
 class OperatorConfig:
     """What an operator is called with; a one-row subject or a tool call's arguments."""
@@ -109,8 +110,13 @@ def _inline(spark: SparkSession, args: str) -> DataFrame:
     found = json.loads(args)
     found = found if isinstance(found, list) else [found]
     kinds = {str: "string", bool: "boolean", int: "long", float: "double"}
-    schema = ", ".join(f"`{k}` {kinds.get(type(v), 'array<double>')}" for k, v in found[0].items())
-    return read_json_values(spark, found, schema)
+    types: dict[str, set[str]] = {}
+    for one in found:
+        for k, v in one.items():
+            types.setdefault(k, set()).update(() if v is None else [kinds.get(type(v), "array<double>")])
+    wide = lambda t: next(iter(t)) if len(t) == 1 else "double" if t == {"long", "double"} else "string"
+    values = [{k: str(one[k]) if one.get(k) is not None and wide(t) == "string" else one.get(k) for k, t in types.items()} for one in found]
+    return read_json_values(spark, values, ", ".join(f"`{k}` {wide(t)}" for k, t in types.items()))
 
 
 def tool_schema(name: str) -> str | None:

@@ -96,6 +96,8 @@ def top_k(df: DataFrame, score: str, k: int, partition: str | None = None, tie:
     by = [F.col(score).asc() if ascending else F.col(score).desc(), *([F.col(tie)] if tie else [])]
     if partition is None:
         return df.orderBy(*by).limit(k)
+    if "rank" in df.columns:
+        raise ValueError("The table has a column rank already.")
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(partition).orderBy(*by))).where(F.col("rank") <= k)
 
 
@@ -115,8 +117,8 @@ def distinct_sorted(df: DataFrame, column: str) -> DataFrame:
 
 def collect_partitions(df: DataFrame) -> list[list]:
     """Rows by partition, in order; for results that leave the engine."""
-    rows = df.withColumn("_p", F.spark_partition_id()).collect()
+    rows = df.withColumn("_partition_number", F.spark_partition_id()).collect()
     out: dict[int, list] = {}
     for r in rows:
-        out.setdefault(r["_p"], []).append(tuple(r)[:-1])
+        out.setdefault(r["_partition_number"], []).append(tuple(r)[:-1])
     return [out[p] for p in sorted(out)]

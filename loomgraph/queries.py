@@ -9,36 +9,17 @@ from . import operators as op
 from .functions import chat_line, clean_tool_calls, cosine, message_role, norm
 from .metrics import aggregate_metrics
 from .operators.messages import ordered_text
-from .plans import retrieve
-from .session import AddRows, Publish, RuntimeEnv, SessionBuilder, Subscribe, TaskPlan
+from .query_base import ORACLE, QUERIES, query, table
 from .sources import read_csv, write_csv
 from .storage import shared_folder
-from .subjects import Subject, assign_batches, first_batch, last_batch, visible
+from .subjects import assign_batches, first_batch, last_batch, numbered, visible
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-#: Query vectors of the retrieval queries: the first so many rows of the table, a query set of fixed size.
-N_QUERIES = 5
+#: The query set of the searches: every row whose id is divisible by this.
+EVERY = 50
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query_id"), "embedding")
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 _COSINE = "round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6)"
@@ -56,24 +37,25 @@ def chunk_no_overlap(spark, sf_dir):
     return op.chunk_documents(table(spark, sf_dir, "documents"), "doc_id", "text", 512, 0)
 
 
-@query(f"SELECT q.vec_id AS query_id, e.vec_id, {_COSINE} AS score FROM embeddings q, embeddings e WHERE q.vec_id < {N_QUERIES}")
+@query(f"SELECT q.vec_id AS query_id, e.vec_id, {_COSINE} AS score FROM embeddings q, embeddings e WHERE q.vec_id % {EVERY} = 0")
 def cosine_similarity(spark, sf_dir):
     pairs = table(spark, sf_dir, "embeddings").crossJoin(F.broadcast(_queries(spark, sf_dir).withColumnRenamed("embedding", "q")))
     return pairs.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
 
 
-@query(f"SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 3) + 0.0 AS score FROM embeddings q, embeddings e WHERE q.vec_id < {N_QUERIES}")
+@query(f"SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 3) + 0.0 AS score FROM embeddings q, embeddings e WHERE q.vec_id % {EVERY} = 0")
 def similarity_scores(spark, sf_dir):
     scores = op.similarity_scores(_queries(spark, sf_dir), table(spark, sf_dir, "embeddings"), "query_id", "vec_id", "embedding", "embedding")
     return scores.withColumn("score", F.round(F.col("score").cast("double"), 3) + 0.0)
 
 
-_RANKED = f"SELECT q.vec_id AS query_id, e.vec_id, {_COSINE} AS score FROM embeddings q, embeddings e WHERE q.vec_id < {N_QUERIES}"
+_RANKED = f"SELECT q.vec_id AS query_id, e.vec_id, {_COSINE} AS score FROM embeddings q, embeddings e WHERE q.vec_id % {EVERY} = 0"
 
 
-@query(f"SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM ({_RANKED})")
+@query(f"SELECT query_id, vec_id, score, row_number() OVER (ORDER BY score DESC, key) - 1 AS place FROM (SELECT *, query_id * 1000000000 + vec_id AS key FROM ({_RANKED}))")
 def sort_scores(spark, sf_dir):
-    return op.top_k(cosine_similarity(spark, sf_dir), "score", 1 << 30, "query_id", "vec_id")
+    scores = cosine_similarity(spark, sf_dir).withColumn("key", F.col("query_id") * 1_000_000_000 + F.col("vec_id"))
+    return numbered(op.sort_scores(scores, "score", "key"), "place").drop("key")
 
 
 @query(f"SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM ({_RANKED}) QUALIFY rank <= 3")
@@ -199,10 +181,14 @@ def distinct_sorted(spark, sf_dir):
     return op.distinct_sorted(table(spark, sf_dir, "documents"), "source")
 
 
-@query("SELECT doc_id, lang FROM documents WHERE lang IN ('de', 'fr') AND source IN ('src1', 'src2') AND NOT contains(text, 'the')")
+@query("SELECT doc_id, lang FROM documents WHERE lang IN ('de', 'fr') AND source IN ('src1', 'src2')")
 def filter_rows(spark, sf_dir):
-    docs = op.filter_in(table(spark, sf_dir, "documents"), lang=["de", "fr"], source=["src1", "src2"])
-    return docs.join(op.filter_contains(docs, "text", "the").select("doc_id"), "doc_id", "left_anti").select("doc_id", "lang")
+    return op.filter_in(table(spark, sf_dir, "documents"), lang=["de", "fr"], source=["src1", "src2"]).select("doc_id", "lang")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE contains(text, 'the')")
+def filter_substring(spark, sf_dir):
+    return op.filter_contains(table(spark, sf_dir, "documents"), "text", "the").select("doc_id", "lang")
 
 
 @query("""SELECT metric_name, CASE metric_name WHEN 'start_timestamp' THEN min(v) WHEN 'end_timestamp' THEN max(v) ELSE sum(v) END::BIGINT AS metric_value
@@ -243,31 +229,19 @@ def row_counts(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("n"))
 
 
-_RAG = f"""WITH c AS ({_CHUNKS.format(size=512, overlap=64, step=448)}),
+_RAG = f"""WITH c AS (SELECT *, i AS nth FROM ({_CHUNKS.format(size=512, overlap=64, step=448).replace("SELECT doc_id ||", "SELECT i, doc_id ||")})),
 s AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM ({_RANKED}) QUALIFY rank <= 3)
-SELECT query_id, '[' || string_agg('{{"chunk_id":"' || chunk_id || '"}}', ',' ORDER BY rank) || ']' AS content
-FROM s JOIN c ON c.doc_id = s.vec_id AND c.chunk_id = c.doc_id || '_0' GROUP BY query_id"""
+SELECT query_id, count(*) AS chunks, string_agg(chunk_id || ' ' || text, chr(10) ORDER BY rank, nth) AS content FROM s JOIN c ON c.doc_id = s.vec_id GROUP BY query_id"""
 
 
 @query(_RAG)
 def rag_pipeline(spark, sf_dir):
-    """Retrieval: chunk the documents, rank vectors against the queries, join the texts, sum up the three best."""
+    """Retrieval: rank the documents' vectors against the queries, and join all chunks of the three best documents, with their texts."""
     chunks = op.chunk_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
-    first = chunks.where(F.endswith("chunk_id", F.lit("_0"))).select("chunk_id", F.col("doc_id").alias("document_id"), "text")
-    vectors = table(spark, sf_dir, "embeddings").select(F.concat(F.lpad("vec_id", 12, "0"), F.lit("_0")).alias("chunk_id"), F.col("embedding").alias("embeddings"))
-    queries = _queries(spark, sf_dir).withColumnRenamed("embedding", "embeddings")
-    keyed = first.withColumn("shown", F.col("chunk_id")).withColumn("chunk_id", F.concat(F.lpad("document_id", 12, "0"), F.lit("_0")))
-    found = retrieve(keyed.select("chunk_id", F.col("shown").alias("document_id"), "text"), vectors, queries)
-    found = found.withColumn("json", F.to_json(F.struct(F.col("document_id").alias("chunk_id"))))
-    return found.groupBy("query_id").agg(F.concat(F.lit("["), ordered_text("json", ["rank"], ","), F.lit("]")).alias("content"))
-
-
-@query()
-def superstep_addrows(spark, sf_dir):
-    """Two supersteps of three tasks that add a row to each batch of one subject: rows per batch at the end."""
-    start = spark.createDataFrame([(i, f"title{i}", b, i) for b in range(3) for i in range(4)], "ids int, title string, _batch_id long, _row_id long")
-    adders = [AddRows(f"p{i}", {"ids": 0, "title": "new"}, [Publish("state")], [Subscribe("state")]) for i in (1, 2, 3)]
-    built = SessionBuilder("s").with_tasks([TaskPlan(f"t{i}", [f"p{i}"]) for i in (1, 2, 3)]).with_processors(adders).with_runtime_envs([RuntimeEnv()])
-    session = built.with_state([Subject("state", start.limit(0))]).with_max_iter(2).build(spark)
-    session.run("state", start, "replace")
-    return session.state["state"].df.groupBy("_batch_id").agg(F.count(F.lit(1)).alias("rows"))
+    best = op.top_k_similar(_queries(spark, sf_dir), table(spark, sf_dir, "embeddings"), 3, "query_id", "vec_id", "embedding", "embedding")
+    found = op.join_inner(best.drop("score"), chunks, "vec_id", "doc_id")
+    found = found.select("query_id", "rank", F.split_part("chunk_id", F.lit("_"), F.lit(-1)).cast("int").alias("nth"), F.concat_ws(" ", "chunk_id", "text").alias("said"))
+    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks"), ordered_text("said", ["rank", "nth"], "\n").alias("content"))
+
+
+from . import state_queries  # noqa: E402, F401

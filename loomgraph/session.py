@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .metrics import MetricsSet
-from .operators.messages import extend_chunks, has_message_columns, route_messages
-from .sources.readers import read_csv_text, read_json_values
-from .sources.writers import to_csv_text, to_json_objects
+from .operators.messages import extend_chunks, has_message_columns, route_messages, summarize
+from .sources.readers import ipc_metadata, read_csv_text, read_ipc_stream, read_json_values
+from .sources.writers import to_csv_text, to_ipc_stream, to_json_objects
 from .storage import store
 from .subjects import BATCH, HIDDEN, ROW, Subject, last_batch, same_schema, visible, with_batches
 
@@ -64,7 +66,7 @@ class Publish:
         if self.how == "extend":
             return self._added(old, new)
         if self.how == "replace":
-            return Subject(old.name, store(new.select(*old.df.columns))[0])
+            return Subject.stored(old.name, new.select(*old.df.columns))
         if self.how == "replace_last":
             kept = old.df.where(F.col(BATCH) < old.next_batch - 1)
             return self._added(Subject(old.name, kept, old.next_batch - 1), new)
@@ -73,7 +75,7 @@ class Publish:
     @staticmethod
     def _added(old: Subject, new: DataFrame) -> Subject:
         shifted = new.withColumn(BATCH, F.col(BATCH) + old.next_batch)
-        return Subject(old.name, store(old.df.unionByName(shifted.select(*old.df.columns)))[0])
+        return Subject.stored(old.name, shifted.select(*old.df.columns), old)
 
 
 @dataclass
@@ -86,6 +88,15 @@ class Message:
     df: DataFrame
     publish: Publish
 
+    def to_ipc(self) -> bytes:
+        """The table as an Arrow stream whose schema names the message."""
+        return to_ipc_stream(self.df, {"name": self.name, "subject": self.subject, "publisher": self.publisher, "how": self.publish.how, "column": self.publish.column or ""})
+
+    @classmethod
+    def from_ipc(cls, spark: SparkSession, data: bytes) -> Message:
+        said = ipc_metadata(data)
+        return cls(said["name"], said["subject"], said["publisher"], read_ipc_stream(spark, data), Publish(said["subject"], said["how"], said["column"] or None))
+
     def routed(self) -> list[Message]:
         """The messages that rows (name, publisher, subject, values) stand for; itself, if it has other columns. Such control tables are small."""
         if not {"name", "publisher", "subject", "values"} <= set(self.df.columns):
@@ -181,6 +192,21 @@ class MessageAggregator(Aggregator):
         return has_message_columns(m.df)
 
 
+class Summary(Processor):
+    """The one table that is left of its input, besides what it forwards, as one ``tool`` message on the first publication's subject."""
+
+    def __init__(self, name: str, columns: list[str] | None = None, rows: int | None = None, publications=(), subscriptions=(), forward=()):
+        super().__init__(name, publications, subscriptions, forward)
+        self.columns, self.rows = columns, rows
+
+    def process(self, inbox, session, task):
+        left = [m for k, m in inbox.items() if k not in self.forward]
+        if len(left) != 1:
+            raise ValueError(f"{self.name} sums up one message, not {len(left)}.")
+        subject = self.publications[0].subject
+        return self.forwarded(inbox) | {subject: self.message(subject, summarize(left[0].df, self.columns, self.rows, stamp=F.lit("")))}
+
+
 @dataclass
 class TaskPlan:
     task_name: str
@@ -227,19 +253,19 @@ class SessionBuilder:
         return self
 
     def build(self, spark: SparkSession) -> Session:
-        for part, what in ((self.plans, "tasks"), (self.processors, "a processor"), (self.runtime_envs, "runtime environments"), (self.state, "state")):
+        for part, what in ((self.plans, "tasks"), (self.processors, "processors"), (self.runtime_envs, "runtime environments"), (self.state, "subjects")):
             if part is None:
-                raise ValueError(f"Please add {what} before attempting to build the session.")
+                raise ValueError(f"The session {self.name} has no {what} yet.")
         planned = {p for plan in self.plans for p in plan.processor_names}
         used = [p for p in self.processors if p.name in planned]
         subjects = {x.subject for p in used for x in [*p.publications, *p.subscriptions] if x.subject}
         for wanted, given, text in (
-            (planned, {p.name for p in self.processors}, "processors {} and plan processor names {}"),
-            ({p.runtime_env for p in self.plans}, {e.name for e in self.runtime_envs}, "runtime environments {} and plan runtime environment names {}"),
-            (subjects, {s.name for s in self.state}, "state {} and plan subjects and subscription names {}"),
+            (planned, {p.name for p in self.processors}, "processors"),
+            ({p.runtime_env for p in self.plans}, {e.name for e in self.runtime_envs}, "runtime environments"),
+            (subjects, {s.name for s in self.state}, "subjects"),
         ):
             if wanted != given:
-                raise ValueError(f"Mismatch between provided {text.format(sorted(given), sorted(wanted))}.")
+                raise ValueError(f"The {text} of session {self.name} and of its tasks differ: missing {sorted(wanted - given)}, not used {sorted(given - wanted)}.")
         return Session(spark, self)
 
 
@@ -329,8 +355,7 @@ class Session:
             for seen in self.updated.values():
                 seen.update(dict.fromkeys(seen, False))
             return None
-        with ThreadPoolExecutor(max_workers=min(8, len(ready))) as pool:
-            made = list(pool.map(lambda t: self._run(self.tasks[t]), ready))
+        made = self._side_by_side(ready)
         for t in ready:
             self.updated[t].update(dict.fromkeys(self.updated[t], False))
         made = [m for x in made for m in x]
@@ -339,6 +364,29 @@ class Session:
         self.iter += 1
         return own
 
+    def _side_by_side(self, ready: list[str]) -> list[list[Message]]:
+        """The messages of tasks that run at the same time. If one fails, the Spark jobs of the others are cancelled, and its error is raised."""
+        tag = f"loomgraph-{uuid.uuid4().hex}"
+
+        def run(name: str) -> list[Message]:
+            self.spark.sparkContext.addJobTag(tag)
+            try:
+                return self._run(self.tasks[name])
+            finally:
+                self.spark.sparkContext.removeJobTag(tag)
+
+        with ThreadPoolExecutor(max_workers=min(8, len(ready))) as pool:
+            running = [pool.submit(inheritable_thread_target(self.spark)(run), t) for t in ready]
+            done, rest = wait(running, return_when=FIRST_EXCEPTION)
+            failed = next((f.exception() for f in done if f.exception()), None)
+            while failed and rest:
+                # a task may be between two jobs
+                self.spark.sparkContext.cancelJobsWithTag(tag)
+                _, rest = wait(rest, timeout=0.5)
+            if failed:
+                raise failed
+        return [f.result() for f in running]
+
     def stream(self, messages: list[Message] = ()) -> Iterator[dict[str, Message]]:
         """Supersteps until no task is ready or ``max_iter`` is reached; yields the session's own outputs where there are any."""
         messages = list(messages)

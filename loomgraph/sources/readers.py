@@ -1,5 +1,6 @@
 """Scans of files, bytes and values."""
 
+import csv
 import io
 import json
 
@@ -25,17 +26,23 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 def read_csv_text(spark: SparkSession, text: str | bytes, schema: T.StructType | str | None = None, sep: str = ",", header: bool = True, lenient: bool = False) -> DataFrame:
     """CSV that the driver holds: values that come with a request, not data at scale. With ``lenient`` a table whose columns don't fit adds no rows."""
     text = text.decode() if isinstance(text, bytes) else text
-    lines = [x for x in text.splitlines() if x]
+    records = [x for x in csv.reader(io.StringIO(text, newline=""), delimiter=sep) if x]
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    width = len(next(iter(lines), "").split(sep))
-    if kind is not None and lines and (width != len(kind) or header and lines[0].split(sep) != kind.names):
+    if kind is not None and records and (len(records[0]) != len(kind) or header and records[0] != kind.names):
         if lenient:
             return spark.createDataFrame([], kind)
-        raise ValueError(f"The CSV has columns {lines[0]!r}, the schema has {kind.names}.")
-    body = lines[1:] if header and kind is not None else lines
+        raise ValueError(f"The CSV has columns {records[0]!r}, the schema has {kind.names}.")
+    # a record may hold quoted separators and line ends
+    again = io.StringIO()
+    body = []
+    for x in records[1:] if header and kind is not None else records:
+        csv.writer(again, delimiter=sep, lineterminator="").writerow(x)
+        body.append(again.getvalue())
+        again.seek(0)
+        again.truncate()
     rows = spark.createDataFrame([(x,) for x in body], "value string")
     if kind is not None:
-        parsed = rows.select(F.from_csv("value", kind.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"sep": sep, "mode": "PERMISSIVE" if lenient else "FAILFAST"}).alias("row"))
+        parsed = rows.select(F.from_csv("value", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kind), {"sep": sep, "escape": '"', "mode": "PERMISSIVE" if lenient else "FAILFAST"}).alias("row"))
         return parsed.select("row.*")
     import pandas as pd
 
@@ -50,7 +57,8 @@ def read_json_lines(spark: SparkSession, source: str | bytes, schema: T.StructTy
         return reader.json(source)
     lines = [x for x in source.decode().splitlines() if x.strip()]
     if schema is None:
-        schema = spark.range(1).select(F.schema_of_json(F.lit(json.dumps(json.loads(lines[0]))))).first()[0] if lines else "value string"
+        # of all lines, as for files
+        schema = spark.read.json(spark.sparkContext.parallelize(lines)).schema if lines else "value string"
     rows = spark.createDataFrame([(x,) for x in lines], "value string")
     return rows.select(F.from_json("value", schema, {"mode": "PERMISSIVE" if lenient else "FAILFAST"}).alias("row")).select("row.*")
 
@@ -95,6 +103,12 @@ def read_ipc_stream(spark: SparkSession, data: bytes) -> DataFrame:
         return _arrow(spark, reader.read_all())
 
 
+def ipc_metadata(data: bytes) -> dict[str, str]:
+    """What goes with the schema of an Arrow stream."""
+    with ipc.open_stream(data) as reader:
+        return {k.decode(): v.decode() for k, v in (reader.schema.metadata or {}).items()}
+
+
 def read_record_batches(spark: SparkSession, batches: list[pa.RecordBatch]) -> DataFrame:
     """Record batches, or a reader of them."""
     return _arrow(spark, pa.Table.from_batches(list(batches)))

@@ -25,12 +25,13 @@ def _batches(df: DataFrame) -> list[pa.RecordBatch]:
     return [plain.slice(a, b - a).combine_chunks().to_batches()[0] for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
 
-def to_ipc_stream(df: DataFrame) -> bytes:
+def to_ipc_stream(df: DataFrame, metadata: dict[str, str] | None = None) -> bytes:
+    """An Arrow stream of the table's batches; ``metadata`` goes with its schema."""
     batches = _batches(df)
     if not batches:
         raise ValueError("There is nothing to write: the table has no record batches.")
     out = io.BytesIO()
-    with ipc.new_stream(out, batches[0].schema) as writer:
+    with ipc.new_stream(out, batches[0].schema.with_metadata(metadata)) as writer:
         for batch in batches:
             writer.write_batch(batch)
     return out.getvalue()

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.models import HashEmbedder, ScriptedChat, ServiceChat, ServiceEmbedder
 from loomgraph.plans import SessionRegistry, chat_session, document_session, make_session, tool_session
-from loomgraph.session import AddRows, Aggregator, Message, MessageAggregator, Publish, RuntimeEnv, SessionBuilder, Subscribe, TaskPlan, config_of, responses
+from loomgraph.session import AddRows, Aggregator, FunctionProcessor, Message, MessageAggregator, Publish, RuntimeEnv, SessionBuilder, Subscribe, TaskPlan, config_of, responses
 from loomgraph.streaming import similarity_stream, superstep_stream, windowed_counts
 from loomgraph.subjects import Subject, visible
 
@@ -25,13 +25,12 @@ def builder(spark, shared):
 
 def test_sequential_supersteps(spark):
     session = builder(spark, True).build(spark)
-    session.max_iter = 3
     said = session.run("state_1", batches(spark), "replace")
-    assert [next(iter(x.values())).df.count() for x in said] == [6, 7]
+    assert [next(iter(x.values())).df.count() for x in said] == [6, 7, 8]
     state = session.state["state_1"]
-    assert (state.count_batches(), state.count_rows()) == (192, 1200)
-    assert session.metrics.output_rows() == 3 * (15 + 69 + 312) + 6 + 7
-    assert session.iter == 3 and session.metrics_info().where("task_name = 'All' and metric_name = 'output_rows'").first()["metric_value"] == session.metrics.output_rows()
+    assert (state.count_batches(), state.count_rows()) == (768, 5376)
+    assert session.metrics.output_rows() == 3 * (15 + 69 + 312 + 1392) + 6 + 7 + 8
+    assert session.iter == 4 and session.metrics_info().where("task_name = 'All' and metric_name = 'output_rows'").first()["metric_value"] == session.metrics.output_rows()
 
 
 def test_parallel_supersteps_and_tracker(spark, tmp_path):
@@ -65,20 +64,46 @@ def test_info_tables_and_values(spark):
 
 
 def test_mismatches_are_told(spark):
-    with pytest.raises(ValueError, match="Please add a processor"):
+    with pytest.raises(ValueError, match="has no processors yet"):
         SessionBuilder("s").with_tasks([]).build(spark)
     b = builder(spark, True)
     b.processors = b.processors[1:]
-    with pytest.raises(ValueError, match=r"Mismatch between provided processors .* and plan processor names"):
+    with pytest.raises(ValueError, match=r"processors of session session_1 .* missing \['p1'\]"):
         b.build(spark)
     b = builder(spark, True).with_runtime_envs([RuntimeEnv("x")])
-    with pytest.raises(ValueError, match="runtime environments"):
+    with pytest.raises(ValueError, match=r"runtime environments .* not used \['x'\]"):
         b.build(spark)
     b = builder(spark, True).with_state([])
-    with pytest.raises(ValueError, match="state"):
+    with pytest.raises(ValueError, match="subjects"):
         b.build(spark)
 
 
+def test_a_failed_task_stops_the_others(spark):
+    import time
+
+    def fails(**tables):
+        raise ValueError("no")
+
+    def waits(state):
+        slow = F.udf(lambda x: time.sleep(20) or x, "int")
+        return {"other": visible(state).limit(1).withColumn("ids", slow("ids"))}
+
+    steps = [FunctionProcessor("a", fails, [Publish("other")], [Subscribe("state")]), FunctionProcessor("b", waits, [Publish("other")], [Subscribe("state")])]
+    state = [Subject(n, batches(spark, 1, 1)) for n in ("state", "other")]
+    session = SessionBuilder("s").with_tasks([TaskPlan("a", ["a"]), TaskPlan("b", ["b"])]).with_processors(steps).with_runtime_envs([RuntimeEnv()]).with_state(state).build(spark)
+    start = time.time()
+    with pytest.raises(ValueError, match="no"):
+        session.run("state", batches(spark), "replace")
+    assert time.time() - start < 18 and session.state["other"].count_rows() == 1
+
+
+def test_extend_writes_new_rows_only(spark):
+    one = Subject("t", batches(spark))
+    for n in range(1, 4):
+        one = Publish("t").apply(one, batches(spark, 1, 2))
+        assert len(one.paths) == n + 1 and one.count_rows() == 12 + 2 * n and one.count_batches() == 3 + n
+
+
 def test_chat(spark):
     session = chat_session(spark)
     said = session.run("messages", spark.createDataFrame([("user", "hello you", "t")], "role string, content string, timestamp string"))

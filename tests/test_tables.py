@@ -35,6 +35,9 @@ def test_csv(spark, tmp_path):
     with pytest.raises(ValueError):
         io.read_csv_text(spark, "a,b,c\nx,1,2\n", "a string, b int")
     assert io.read_csv_text(spark, "a,b,c\nx,1,2\n", "a string, b int", lenient=True).count() == 0
+    held = "a,b\n\"x, y\",1\n\"two\nlines \"\"said\"\"\",2\n"
+    assert [tuple(r) for r in io.read_csv_text(spark, held, "a string, b int").collect()] == [("x, y", 1), ('two\nlines "said"', 2)]
+    assert io.read_csv_text(spark, '"a, b";c\n1;2\n', "`a, b` int, c int", sep=";").count() == 1
     assert io.to_csv_text(df.coalesce(1)).splitlines() == ["t,n", "'a,b',NULL", "c,1"]
 
 
@@ -42,6 +45,7 @@ def test_json(spark, tmp_path):
     df = table(spark, 1, 2)
     assert io.read_json_lines(spark, io.to_json_lines(df).encode(), "ids int, title string").count() == 2
     assert io.read_json_lines(spark, b'{"a": 1}\n').first()["a"] == 1
+    assert io.read_json_lines(spark, b'{"a": 1}\n{"a": 2.5, "b": "x"}\n').dtypes == [("a", "double"), ("b", "string")]
     assert io.read_json_values(spark, '[{"a": "x", "b": 1}]', "a string, b int").first() == ("x", 1)
     for bad in ('{"a": 1}', '[{"a": "x"}]'):
         with pytest.raises(ValueError):
