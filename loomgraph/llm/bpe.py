@@ -28,11 +28,25 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in range(33, 127) or b in range(161, 173) or b in range(174, 256) else chr(next(spare)) for b in range(256)]
 
 
+#: First and last of the code points that Unicode 17 and 18 made letters or numbers; the tokenizers library's classes are those of Unicode 16.
+LATER = """
+558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7ce-a7cf a7d2-a7d2 a7d4-a7d4 a7dd-a7dd a7e2-a7e2 a7f1-a7f1 ab6c-ab6d 107bb-107bf
+10940-10959 10ec5-10ec7 10ed9-10eee 11b0a-11b0a 11db0-11ddb 11de0-11de9 11df1-11df1 1246f-1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3
+16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168-1b168 1d6a6-1d6a6 1df1f-1df24 1df2b-1df81
+1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e-2b81e 2cea2-2cead 323b0-33479
+3d000-3fc3f
+"""
+#: Capital letters of Unicode 16 and 17, which the library lower-cases and Python does not, first and last, and the first's small letter.
+CAPITALS = "1c89-1c89-1c8a a7cb-a7cb-264 a7cc-a7cc-a7cd a7ce-a7ce-a7cf a7d2-a7d2-a7d3 a7d4-a7d4-a7d5 a7da-a7da-a7db a7dc-a7dc-19b 10d50-10d65-10d70 16ea0-16eb8-16ebb"
+_LATER = "[" + "".join(f"{chr(int(a, 16))}-{chr(int(b, 16))}" for a, b in (x.split("-") for x in LATER.split())) + "]"
+_SMALL = {c: small + c - first for first, last, small in ((int(y, 16) for y in x.split("-")) for x in CAPITALS.split()) for c in range(first, last + 1)}
+_RARE = regex.compile("[" + "".join(map(chr, _SMALL)) + _LATER[1:]).search
+
+
 class WordBpe:
     """A BPE with word ends from a tokenizer file: NFC, lower case, a split pattern whose matches are the words, bytes as letters, merges.
 
-    Letters and digits are those of the ``regex`` module's Unicode tables; a character that they
-    class otherwise than the tokenizers library's tables may be cut otherwise. The file's added
+    Letters and numbers are those of Unicode 16, small letters those of Unicode 17, as the tokenizers library has them. The file's added
     tokens stand for themselves wherever their strings occur in the raw text.
     """
 
@@ -43,6 +57,11 @@ class WordBpe:
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         pattern = pattern.replace(r"\s", r"\p{White_Space}")
         self.words = regex.compile(pattern).findall
+        # texts with later letters, which are next to none, are cut by a pattern that leaves them out of its classes
+        exact = pattern.replace(r"[^\p{White_Space}\p{L}\p{N}]", rf"(?:[^\p{{White_Space}}\p{{L}}\p{{N}}]|{_LATER})")
+        for kind in (r"[\p{L}]", r"[\p{N}]"):
+            exact = exact.replace(f"|{kind}", f"|(?:(?!{_LATER}){kind})")
+        self.exact_words = regex.compile(exact).findall
         self.end = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
         self.made = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in model["merges"]]
@@ -71,6 +90,8 @@ class WordBpe:
         if not text.isascii():
             # lower case of each character alone: a sigma stays one at a word's end
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if _RARE(text):
+                return self.exact_words(text.translate(_SMALL).lower())
         return self.words(text.lower())
 
     def merge(self, words: list[str]) -> list[list[int]]:

@@ -2,6 +2,7 @@
 
 from collections.abc import Iterator
 from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -13,48 +14,54 @@ from .hot import join_groups
 from .lean import lean
 from .scratch import Scratch, parts_for
 
-#: Blocks of a direction, unit vectors per block: CODE ** BLOCKS filters. A vector is in a filter whose
-#: direction it exceeds by LEVEL standard deviations of a random direction's score, and in its LEAST best at least.
-BLOCKS, CODE, LEVEL, LEAST = 4, 64, 4.7, 32
+#: Blocks of a direction; unit vectors per block, from and to, so that there are ROOM filters per vector: code ** BLOCKS.
+#: A vector is in each filter whose direction it exceeds by so much that random vectors are in MEAN on average, and in its LEAST best at least.
+BLOCKS, CODES, ROOM, MEAN, LEAST = 4, (64, 512), 320, 22, 32
 #: Vectors of a component that are compared at a time.
 BLOCK = 512
 
 
+def code_size(n: int) -> tuple[int, int]:
+    """Unit vectors per block for ``n`` vectors, and filters that a vector is in at least: lists stay as short as ``n`` grows, and recall as high."""
+    size = int(min(max(CODES[0], np.ceil((ROOM * n) ** (1 / BLOCKS))), CODES[1]))
+    return size, int(LEAST * np.sqrt(size / CODES[0]))
+
+
 @lru_cache(maxsize=8)
-def _code(dim: int, seed: int = 20) -> tuple[np.ndarray, np.ndarray]:
+def _code(dim: int, size: int, seed: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """(rotation into padded dimensions, block code) for vectors of ``dim``."""
     rng = np.random.default_rng([seed, dim])
     wide = max(4 * BLOCKS, -(-dim // BLOCKS) * BLOCKS)
     turn = np.linalg.qr(rng.standard_normal((wide, wide)))[0][:dim]
-    code = rng.standard_normal((BLOCKS, CODE, wide // BLOCKS))
+    code = rng.standard_normal((BLOCKS, size, wide // BLOCKS))
     return turn, code / np.linalg.norm(code, axis=2, keepdims=True) / np.sqrt(BLOCKS)
 
 
-def decode(vectors: np.ndarray) -> list[np.ndarray]:
+def decode(vectors: np.ndarray, size: int = CODES[0], least: int = LEAST) -> list[np.ndarray]:
     """The filters of every unit vector: all directions that it exceeds, or its best few if those are fewer.
 
     A direction's score is the sum of its four blocks'. The sums of blocks 1 and 2 and of 3
     and 4 are pruned by what the other half could add, and only what is left is combined.
     """
     n, dim = vectors.shape
-    turn, code = _code(dim)
+    turn, code = _code(dim, size)
     blocks = (vectors @ turn).reshape(n, BLOCKS, -1)
     score = np.einsum("nbd,bcd->nbc", blocks, code)
     front = (score[:, 0, :, None] + score[:, 1, None, :]).reshape(n, -1)
     back = (score[:, 2, :, None] + score[:, 3, None, :]).reshape(n, -1)
-    level = LEVEL / np.sqrt(turn.shape[1])
+    level = NormalDist().inv_cdf(1 - MEAN * least / LEAST / size**BLOCKS) / np.sqrt(turn.shape[1])
     out = []
     for a, b in zip(front, back, strict=True):
         bar = level
         while True:
             i, j = np.flatnonzero(a >= bar - b.max()), np.flatnonzero(b >= bar - a.max())
             x, y = np.nonzero(a[i][:, None] + b[j][None, :] >= bar)
-            if len(x) >= LEAST:
+            if len(x) >= least:
                 break
             bar -= 0.1 * level
-        found = i[x] * CODE**2 + j[y]
-        if bar < level and len(found) > LEAST:
-            found = found[np.argsort(-(a[i[x]] + b[j[y]]), kind="stable")[:LEAST]]
+        found = i[x] * size**2 + j[y]
+        if bar < level and len(found) > least:
+            found = found[np.argsort(-(a[i[x]] + b[j[y]]), kind="stable")[:least]]
         out.append(found)
     return out
 
@@ -66,18 +73,23 @@ def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.r_[0, np.cumsum(lengths)]
 
 
-def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _filters(size: int, least: int):
     """(node, vector) to (token, node): a token names a filter and the dimension."""
-    for batch in batches:
-        nodes = batch.column(0).to_numpy()
-        for i in range(0, batch.num_rows, 256):
-            flat, ends = _unit(batch.column(1).slice(i, 256))
-            dims = np.diff(ends)
-            for dim in np.unique(dims):
-                rows = np.flatnonzero(dims == dim)
-                x = np.stack([flat[ends[r] : ends[r + 1]] for r in rows])
-                lists = decode(x / np.linalg.norm(x, axis=1, keepdims=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists) + (int(dim) << 24)), pa.array(np.repeat(nodes[i + rows], [len(y) for y in lists]))], ["token", "node"])
+    step = max(1, 256 * CODES[0] ** 2 // size**2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column(0).to_numpy()
+            for i in range(0, batch.num_rows, step):
+                flat, ends = _unit(batch.column(1).slice(i, step))
+                dims = np.diff(ends)
+                for dim in np.unique(dims):
+                    rows = np.flatnonzero(dims == dim)
+                    x = np.stack([flat[ends[r] : ends[r + 1]] for r in rows])
+                    lists = decode(x / np.linalg.norm(x, axis=1, keepdims=True), size, least)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists) + (int(dim) << 36)), pa.array(np.repeat(nodes[i + rows], [len(y) for y in lists]))], ["token", "node"])
+
+    return run
 
 
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -132,12 +144,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """(id, n_links, component_id, kept): a row per row of ``vectors``.
 
     Two vectors link when their cosine in doubles is ``least`` or more. Candidates share a
-    filter; every candidate that decides a component is verified. ``n_links`` counts
+    filter; every candidate that decides a component is verified. ``n_links`` then counts
     all other vectors of the component that are that close, by blocks of a component against
-    blocks, so links are counted once and no pair is listed. Filters are random, so a pair can be
+    blocks, so links are counted once, also those that share no filter, and no pair is listed. Filters are random, so a pair can be
     missed if no path of found links joins it: README has the recall.
 
-    Equal vectors are one node (64-bit hash) and link with each other. Vectors that are null,
+    Equal vectors are one node (two 64-bit hashes) and link with each other. Vectors that are null,
     empty or zero, or hold null or non-finite components, link with nothing and stay. Only
     vectors of one length are compared. Null ids link but are nobody's component_id; rows that
     repeat an id are vectors of their own. No rows give none; other columns are not read.
@@ -145,10 +157,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     scratch = Scratch(vectors.sparkSession, "embeddings")
     v = F.col(vector_col).cast("array<double>")
     sound = F.coalesce(F.col(vector_col).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = scratch.table(vectors.select(F.col(id_col).cast("long").alias("id"), F.when(sound, F.xxhash64(v)).alias("node"), F.when(sound, F.col(vector_col)).alias("vector")), "rows")
+    rows = scratch.table(vectors.select(F.col(id_col).cast("long").alias("id"), F.when(sound, F.struct(F.xxhash64(v).alias("a"), F.xxhash64(F.lit(7), v).alias("b"))).alias("both"), F.when(sound, F.col(vector_col)).alias("vector")), "rows")
+    # of vectors with one number the second hash tells those apart that differ, and gives all but the first another number
+    numbers = rows.where("both is not null").groupBy("both").agg(F.count(F.lit(1)).alias("n")).groupBy("both.a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = [r[0] for r in numbers.select("a").collect()]
+    node = F.when(F.col("both.a").isin(twice), F.col("both.b")).otherwise(F.col("both.a")) if twice else F.col("both.a")
+    rows = rows.select("id", node.alias("node"), "vector")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members"), F.first("vector").alias("vector"))
     nodes = scratch.table(nodes, "nodes")
-    posts = nodes.select("node", "vector").repartition(parts_for(nodes), "node").mapInArrow(lean(_filters), "token long, node long").withColumn("n", F.lit(1).cast("long"))
+    size, few = code_size(scratch.rows("nodes"))
+    posts = nodes.select("node", "vector").repartition(parts_for(nodes), "node").mapInArrow(lean(_filters(size, few)), "token long, node long").withColumn("n", F.lit(1).cast("long"))
 
     def verify(pairs: DataFrame, n: int) -> DataFrame:
         a, b = nodes.select(F.col("node").alias("a"), F.col("vector").alias("u")), nodes.select(F.col("node").alias("b"), F.col("vector").alias("v"))

@@ -35,18 +35,25 @@ def _merge(keep: str):
             given = np.r_[0, np.cumsum(~table["id"].is_null().to_numpy())]
             ends = np.r_[starts[1:], len(place)]
             # ids are sorted in the order of preference with nulls last, so the first of an entry is its best
-            best = table["id"].combine_chunks().take(pa.array(starts)).to_pylist()
-            members = np.add.reduceat(table["members"].to_numpy(), starts).tolist()
-            assert all(x is not None or given[b] == given[a] for x, a, b in zip(best, starts, ends, strict=True)), "a run is out of order"
-            found = [[int(place[i]), raw[i].tobytes(), x, m] for i, x, m in zip(starts, best, members, strict=True)]
-            if held and held[:2] == found[0][:2]:
-                ids = [x for x in (held[2], found[0][2]) if x is not None]
-                found[0][2:] = [better(ids, default=None), held[3] + found[0][3]]
+            best = table["id"].combine_chunks().take(pa.array(starts))
+            members = np.add.reduceat(table["members"].to_numpy(), starts)
+            assert ((given[ends] == given[starts]) | best.is_valid().to_numpy(zero_copy_only=False)).all(), "a run is out of order"
+            entry = lambda i: [int(place[starts[i]]), raw[starts[i]].tobytes(), best[i].as_py(), int(members[i])]
+            # the first entry may go on the one held from the batch before, and the last is held for the next; all between stay in Arrow
+            first = entry(0)
+            if held and held[:2] == first[:2]:
+                ids = [x for x in (held[2], first[2]) if x is not None]
+                first[2:] = [better(ids, default=None), held[3] + first[3]]
             elif held:
-                found.insert(0, held)
-            held = found.pop()
-            if found:
-                yield _batch(found)
+                yield _batch([held])
+            if len(starts) == 1:
+                held = first
+                continue
+            yield _batch([first])
+            if len(starts) > 2:
+                at = pa.array(starts[1:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(place[starts[1:-1]]), digest.take(at), best.slice(1, len(starts) - 2), pa.array(members[1:-1])], ["place", "digest", "id", "members"])
+            held = entry(len(starts) - 1)
         if held:
             yield _batch([held])
 
@@ -74,6 +81,7 @@ def merge_tree(digests: DataFrame, scratch: Scratch, keep: str = "largest", fan_
     got. After the last round a place holds all entries of its digests. A digest is collapsed
     before each exchange, so a hot one sends a place at most ``2 ** fan_bits`` entries.
     Rounds are ``log(places) / fan_bits``, and each moves at most one entry per run and digest.
+    The runs that a place gets are merged by Spark's sort, which spills, and collapsed as they stream by.
     """
     count = parts_for(digests)
     bits = max(1, (count - 1).bit_length())
@@ -85,7 +93,7 @@ def merge_tree(digests: DataFrame, scratch: Scratch, keep: str = "largest", fan_
     for low in range(0, bits, fan_bits):
         mask = ((1 << min(fan_bits, bits - low)) - 1) << low
         place = F.col("place").bitwiseAND(F.lit(~mask)).bitwiseOR(lead.bitwiseAND(F.lit(mask)))
-        runs = runs.withColumn("place", place).repartition(1 << bits, "place")
+        runs = runs.withColumn("place", place).withColumn("to", place.cast("int")).repartitionById(1 << bits, "to").drop("to")
         runs = runs.sortWithinPartitions("place", "digest", better).mapInArrow(merge, _RUN)
     return scratch.table(runs.select("digest", F.col("id").alias("keep_id"), F.col("members").alias("group_size")), "merged")
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-#: Newton steps at most, and the relative error of every source's tokens at which they end.
-STEPS, CLOSE = 80, 1e-9
+#: Newton steps at most and in one job, and the relative error of every source's tokens at which they end.
+STEPS, AT_ONCE, CLOSE = 80, 4, 1e-9
 #: Documents in a cell that are ranked together, about; sizes in a band.
 CELL, BAND = 4096, 64
 _FIXES = 3
@@ -43,7 +43,8 @@ def tilt(cells: DataFrame, targets: DataFrame, cap: float, scratch: Scratch) ->
     Of all document rates between 0 and ``cap`` whose expected tokens meet the target, those
     nearest to 1 in relative entropy are ``min(cap, exp(tilt * size / mean size))``. Newton's method solves
     the convex dual; every step is one aggregate of ``cells`` (key, size, docs: one per source and
-    size) and a bracket that shrinks each step keeps it safe. A null tilt means: all rates at cap.
+    size) and a bracket that shrinks each step keeps it safe. AT_ONCE steps are one job; STEPS halve the bracket to
+    the precision of doubles, so an error left after them raises. A null tilt means: all rates at cap.
     """
     mean = F.col("total") / F.col("docs")
     state = targets.where("total > 0").select("key", "target", mean.alias("mean"), (F.col("target") >= cap * F.col("total") * (1 - 1e-12)).alias("full"))
@@ -61,11 +62,16 @@ def tilt(cells: DataFrame, targets: DataFrame, cap: float, scratch: Scratch) ->
         newton = F.col("tilt") - (F.col("got") - F.col("target")) / F.when(F.col("slope") > 0, F.col("slope"))
         error = F.when(F.col("full"), 0.0).otherwise(F.abs(F.col("got") / F.col("target") - 1))
         moved = F.when(error <= CLOSE, F.col("tilt")).when((newton > F.col("low")) & (newton < F.col("high")), newton).otherwise((F.col("low") + F.col("high")) / 2)
-        state = scratch.table(new.select("key", "target", "mean", "full", moved.alias("tilt"), "low", "high", error.alias("error")), f"tilt-{step}")
-        scratch.drop(f"tilt-{step - 1}")
-        worst = state.agg(F.max("error")).first()[0]
+        state = new.select("key", "target", "mean", "full", moved.alias("tilt"), "low", "high", error.alias("error"))
+        if step % AT_ONCE:
+            continue
+        state = scratch.table(state, f"tilt-{step}", worst=F.max("error"))
+        scratch.drop(f"tilt-{step - AT_ONCE}")
+        worst = scratch.seen[f"tilt-{step}"]["worst"]
         if worst is None or worst <= CLOSE:
             break
+    else:
+        raise RuntimeError(f"The mix is off its targets by a share of {worst} after {STEPS} steps.")
     return state.select("key", "mean", F.when(~F.col("full"), F.col("tilt")).alias("tilt"))
 
 
@@ -129,12 +135,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, i
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as ``mix`` takes it, all columns kept."""
+    """The mix itself: every row of ``docs`` as often as ``mix`` takes it, all columns kept. Rows that repeat id and text are told apart by their other columns."""
     scratch = Scratch(docs.sparkSession, "mixed")
     text = F.coalesce(F.col(text_col), F.lit(""))
     cols = [F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size"), F.xxhash64(F.col(id_col), text).alias("luck")]
     slim = scratch.table(docs.select(F.lit(0).alias("id"), *cols), "rows")
     placed, plan = _placed(slim, weights, cap, scratch, docs.select(F.struct("*").alias("row"), *cols))
+    placed = placed.withColumn("tie", F.xxhash64(F.to_json("row")))
     return _copies(placed, plan).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
@@ -150,6 +157,6 @@ def _placed(rows: DataFrame, weights, cap: int, scratch: Scratch, whole: DataFra
 def _copies(placed: DataFrame, plan: DataFrame) -> DataFrame:
     cell = ["key", "size", "salt"]
     joined = placed.join(plan.withColumnRenamed("copies", "of_cell"), cell)
-    nth = F.row_number().over(Window.partitionBy(*cell).orderBy("luck"))
+    nth = F.row_number().over(Window.partitionBy(*cell).orderBy("luck", *[c for c in ("tie",) if c in placed.columns]))
     more = (nth <= F.col("of_cell") % F.col("docs")).cast("long")
     return joined.withColumn("copies", F.floor(F.col("of_cell") / F.col("docs")) + more)

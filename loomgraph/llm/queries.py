@@ -25,7 +25,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rotate_perspectives(_read(spark, sf_dir, "conversations")).selectExpr("conv_id", "perspective", "part", "n_turns", "rendered", "array_join(transform(spans, s -> concat(s.first, '-', s.end)), ',') AS spans", "n_masked")
+    return rotate_perspectives(_read(spark, sf_dir, "conversations")).selectExpr("conv_id", "perspective", "part", "piece", "n_turns", "rendered", "array_join(transform(spans, s -> concat(s.first, '-', s.end)), ',') AS spans", "n_masked")
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,20 +68,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_ngram_jaccard, op3_bpe, op4_substring_dedup, op5_sharding, op6_embedding_near_dedup, op7_exact_dedup, op8_mixing, op9_warc, op10_toxicity)}
 
+
+def _crc(value: str, bits: int = 8) -> str:
+    """SQL of ``value`` after so many steps of the checksum's register, four at a time: what the low four bits bring is looked up."""
+    low = list(range(16))
+    for _ in range(4):
+        low = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in low]
+    return value if bits == 0 else _crc(f"xor(({value}) >> 4, ({low}::UBIGINT[])[(({value}) & 15) + 1])", bits - 4)
+
+
 ORACLE = {
     "op1_chat_perspectives": r"""
-WITH t AS (SELECT conv_id, turn, trim(coalesce(role, '')) AS speaker, coalesce(text, '') AS text, turn // 128 AS part FROM conversations),
+WITH u AS (SELECT conv_id, turn, trim(translate(coalesce(role, ''), chr(13) || chr(10), '  ')) AS speaker, coalesce(text, '') AS text, turn // 128 AS part FROM conversations),
+t AS (SELECT *, ((row_number() OVER (PARTITION BY conv_id, part ORDER BY turn, speaker, text) - 1) // 128)::INT AS piece FROM u),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker NOT IN ('', 'system')),
-r AS (SELECT t.conv_id, perspective, part, turn, speaker, text, speaker = perspective AS own,
+r AS (SELECT t.conv_id, perspective, part, piece, turn, speaker, text, speaker = perspective AS own,
         '<|im_start|>' || CASE WHEN speaker = perspective THEN 'assistant' || chr(10) WHEN speaker = 'system' THEN 'system' || chr(10)
           WHEN speaker = '' THEN 'user' || chr(10) ELSE 'user name=' || replace(speaker, '<|', '< |') || chr(10) END AS head,
         replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS body
       FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
-o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, speaker, text ROWS UNBOUNDED PRECEDING) AS upto FROM r)
-SELECT conv_id, perspective, part, count(*)::INT AS n_turns, string_agg(head || body, '' ORDER BY turn, speaker, text) AS rendered,
+o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part, piece ORDER BY turn, speaker, text ROWS UNBOUNDED PRECEDING) AS upto FROM r)
+SELECT conv_id, perspective, part, piece, count(*)::INT AS n_turns, string_agg(head || body, '' ORDER BY turn, speaker, text) AS rendered,
   coalesce(string_agg((upto - length(body))::BIGINT || '-' || upto::BIGINT, ',' ORDER BY turn, speaker, text) FILTER (own), '') AS spans,
   coalesce(sum(length(body)) FILTER (own), 0)::INT AS n_masked
-FROM o GROUP BY conv_id, perspective, part""",
+FROM o GROUP BY conv_id, perspective, part, piece""",
     "op2_ngram_jaccard": r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
@@ -92,6 +102,20 @@ l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.d
 r AS (SELECT DISTINCT a AS doc_id, a AS reached FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reached = l.a),
 c AS (SELECT doc_id, min(reached) AS least FROM r GROUP BY doc_id)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(c.least, s.doc_id) AS component_id FROM s LEFT JOIN c ON s.doc_id = c.doc_id""",
+    # the checksum takes every byte, the next two digits of the text's hex, through the polynomial 0xEDB88320
+    "op5_sharding": """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, text, [4294967295::UBIGINT] || list_transform(range(0, len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::UBIGINT) AS b FROM t),
+d AS (SELECT doc_id, (strlen(text) + 16)::BIGINT AS size, ('0x' || md5(text)[1:15])::BIGINT AS key, xor(list_reduce(b, lambda acc, x: CRC), 4294967295)::BIGINT AS text_crc32 FROM b),
+s AS (SELECT *, ((sum(size) OVER (ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) - size) * 40 // sum(size) OVER ())::INT AS shard FROM d)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY key, doc_id) - 1 AS slot, NULL::INT AS grown_shard FROM s""".replace("CRC", _crc("xor(acc, x)")),
+    "op6_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+g AS (SELECT * FROM v WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+r AS (SELECT DISTINCT a AS vec_id, a AS reached FROM l UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.reached = l.a),
+c AS (SELECT vec_id, min(reached) AS least FROM r GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, coalesce(least, v.vec_id) AS component_id, coalesce(least, v.vec_id) = v.vec_id AS kept FROM v LEFT JOIN c ON v.vec_id = c.vec_id LEFT JOIN n ON v.vec_id = n.vec_id""",
     "op7_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",

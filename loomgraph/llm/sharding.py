@@ -39,9 +39,9 @@ def range_partition(records: DataFrame, ranges: int) -> tuple[DataFrame, list]:
     """``records`` (key, id, weight: long) with its range (``part``), and the (part, weight, rows) of every range in order.
 
     Keys are drawn with odds proportional to weight by a hash of the record, so that reruns
-    agree; about SAMPLES * ranges of them come to the driver at any size of input. Quantiles of
-    the draw split the keys. Ranges over OVERFULL times the mean are drawn from again, so much
-    more densely, and subdivided, until none is left that has two different keys.
+    agree: about SAMPLES * ranges of them. Quantiles of the draw split the keys; only these, one
+    per range, come to the driver. Ranges over OVERFULL times the mean are drawn from again, so
+    much more densely, and subdivided, until none is left that has two different keys.
     """
     total = records.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
     if not total:
@@ -52,14 +52,12 @@ def range_partition(records: DataFrame, ranges: int) -> tuple[DataFrame, list]:
         rate = SAMPLES * ranges / total
         luck = F.pmod(F.xxhash64("key", "id", F.lit(turn)), F.lit(1 << 40)) / F.lit(float(1 << 40))
         drawn = parts.where(F.col("part").isin([p for p, _ in over]) & (luck < F.col("weight") * rate))
-        own: dict[int, list] = {}
-        for part, key, low in drawn.select("part", "key", "id").distinct().collect():
-            own.setdefault(part, []).append((key, low))
-        fresh = []
-        for part, weight in over:
-            found = sorted(own.get(part, []))
-            cuts = max(2, round(weight * ranges / total))
-            fresh += [found[len(found) * i // cuts] for i in range(1, cuts) if found]
+        cuts = records.sparkSession.createDataFrame([(part, max(2, round(weight * ranges / total))) for part, weight in over], "part int, cuts long")
+        drawn = drawn.select("part", "key", "id").distinct().join(F.broadcast(cuts), "part")
+        own = Window.partitionBy("part").orderBy("key", "id")
+        drawn = drawn.select("key", "id", "cuts", (F.row_number().over(own) - 1).alias("nth"), F.count(F.lit(1)).over(Window.partitionBy("part")).alias("n"))
+        # the first record of each quantile but the lowest
+        fresh = [(r["key"], r["id"]) for r in drawn.where("nth * cuts div n > (nth - 1) * cuts div n and nth > 0").select("key", "id").collect()]
         before = len(splitters)
         splitters = sorted({*splitters, *fresh})
         parts = records.withColumn("part", _ranges(splitters)("key", "id"))

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .lean import lean
 from .words import text_batches, word_hashes
 
-#: Labelled rows that the chain is fitted on, about, at any size of input; words it may weigh; and folds.
-SAMPLE, FEATURES, FOLDS = 12_000, 1024, 5
+#: Labelled rows that the chain is fitted on, about, at any size of input; rows of every category among them, if there are so many; words it may weigh; and folds.
+SAMPLE, EACH, FEATURES, FOLDS = 12_000, 1_000, 4096, 5
 #: Categories in the order of the chain: a column of the labels table, and the value that means yes.
 CATEGORIES = {"low_quality": ("quality", 0), "toxic": ("toxic", 1)}
 _TABLE_BITS = 22
@@ -101,84 +101,104 @@ class Chain:
         return p
 
 
-def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The threshold with the best F1, halfway to the next lower probability; over 1 if there is no yes."""
+def _best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The threshold with the best F1 of weighted rows, halfway to the next lower probability; over 1 if there is no yes."""
     if not y.any():
         return 2.0
     order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    hits = np.cumsum((y * weight)[order])
+    f1 = 2 * hits / (np.cumsum(weight[order]) + hits[-1])
     last = np.r_[p[order][1:] != p[order][:-1], True]
     i = int(np.argmax(np.where(last, f1, -1)))
     return float((p[order[i]] + (p[order[i + 1]] if i + 1 < len(y) else 0.0)) / 2)
 
 
-def fit_chain(sets: list[np.ndarray], labels: np.ndarray, names: list[str], features: int = FEATURES, folds: int = FOLDS) -> tuple[Chain, np.ndarray]:
+def _chosen(row: np.ndarray, col: np.ndarray, n_words: int, labels: np.ndarray, use: np.ndarray, features: int) -> np.ndarray:
+    """The words, rising, whose share among the rows in ``use`` differs by category the most: in 5 of them at least, by 3 standard errors at least."""
+    pick = use[row]
+    row, col = row[pick], col[pick]
+    best = np.zeros(n_words)
+    for j in range(labels.shape[1]):
+        known = use & ~np.isnan(labels[:, j])
+        yes = known & (labels[:, j] == 1)
+        a, b = yes.sum(), (known & ~yes).sum()
+        if a and b:
+            inside, all_ = np.bincount(col, yes[row], n_words), np.bincount(col, known[row], n_words)
+            share = all_ / (a + b)
+            best = np.maximum(best, np.abs(inside / a - (all_ - inside) / b) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / a + 1 / b)))
+    best[np.bincount(col, minlength=n_words) < 5] = 0
+    chosen = np.sort(np.argsort(-best, kind="stable")[:features])
+    return chosen[best[chosen] > 3]
+
+
+def fit_chain(sets: list[np.ndarray], labels: np.ndarray, names: list[str], weight: np.ndarray | None = None, features: int = FEATURES, folds: int = FOLDS) -> tuple[Chain, np.ndarray]:
     """A chain over documents (distinct word hashes each) with labels (rows, categories; 0, 1, or nan: unknown), and its out-of-fold probabilities.
 
     The words weighed are those in 5 documents or more whose share differs by category the most.
     A later category's model gets the earlier ones' probabilities as inputs; in training those
-    come from models that did not see the row, in ``folds`` folds.
+    come from models that did not see the row, in ``folds`` folds: neither their weights nor their
+    choice of words. ``weight`` is how many rows a row stands for; it counts in the thresholds.
     """
     n, k = labels.shape
+    weight = np.ones(n) if weight is None else weight
     row = np.repeat(np.arange(n), [len(x) for x in sets])
     words, col = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True)
-    count = np.bincount(col, minlength=len(words))
-    best = np.zeros(len(words))
-    for j in range(k):
-        yes, known = labels[:, j] == 1, ~np.isnan(labels[:, j])
-        a, b = yes.sum(), (known & ~yes).sum()
-        if a and b:
-            inside, all_ = np.bincount(col, yes[row], len(words)), np.bincount(col, known[row], len(words))
-            share = all_ / (a + b)
-            best = np.maximum(best, np.abs(inside / a - (all_ - inside) / b) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / a + 1 / b)))
-    best[count < 5] = 0
-    chosen = np.sort(np.argsort(-best, kind="stable")[:features])
-    chosen = chosen[best[chosen] > 3]
-    slot = np.full(len(words) + 1, -1)
-    slot[chosen] = np.arange(len(chosen))
-    keep = slot[col] >= 0
-    row, col, m = row[keep], slot[col[keep]], len(chosen)
     fold = np.random.default_rng(7).integers(0, folds, n)
+
+    def sparse(use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words chosen from the rows in ``use``, and where they are in all rows."""
+        chosen = _chosen(row, col, len(words), labels, use, features)
+        slot = np.full(len(words) + 1, -1)
+        slot[chosen] = np.arange(len(chosen))
+        keep = slot[col] >= 0
+        return chosen, row[keep], slot[col[keep]]
+
+    whole, parts = sparse(np.ones(n, bool)), [sparse(fold != f) for f in range(folds)]
+    m = len(whole[0])
     outside = np.zeros((n, k))
-    chain = Chain(list(names), words[chosen], np.zeros((k, m)), np.zeros((k, k)), np.zeros(k), np.full(k, 2.0))
+    chain = Chain(list(names), words[whole[0]], np.zeros((k, m)), np.zeros((k, k)), np.zeros(k), np.full(k, 2.0))
     for j in range(k):
         known = ~np.isnan(labels[:, j])
 
-        def fitted(use, j=j):
+        def fitted(part, use, j=j):
+            chosen, row, col = part
             if not use.any():
-                return np.zeros(m + j + 1)
+                return np.zeros(len(chosen) + j + 1)
             back = np.cumsum(use) - 1
             pick = use[row]
-            return fit_logistic(back[row[pick]], col[pick], outside[use, :j], labels[use, j], m)
+            return fit_logistic(back[row[pick]], col[pick], outside[use, :j], labels[use, j], len(chosen))
 
-        for f in range(folds):
-            w = fitted(known & (fold != f))
-            there = fold == f
-            z = np.bincount(row, w[:m][col], n) + outside[:, :j] @ w[m:-1] + w[-1]
+        for f, part in enumerate(parts):
+            w = fitted(part, known & (fold != f))
+            there, size = fold == f, len(part[0])
+            z = np.bincount(part[1], w[:size][part[2]], n) + outside[:, :j] @ w[size:-1] + w[-1]
             outside[there, j] = 1 / (1 + np.exp(-np.clip(z[there], -30, 30)))
-        w = fitted(known)
+        w = fitted(whole, known)
         chain.weights[j], chain.earlier[j, :j], chain.bias[j] = w[:m], w[m:-1], w[-1]
         if known.any():
-            chain.threshold[j] = _best_threshold(outside[known, j], labels[known, j] == 1)
+            chain.threshold[j] = _best_threshold(outside[known, j], labels[known, j] == 1, weight[known])
     return chain, outside
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories: dict = CATEGORIES, sample: int = SAMPLE) -> Chain:
     """A chain fitted on about ``sample`` labelled documents, drawn by a hash of the id; all labelled ones if there are fewer.
 
+    Of every category about EACH rows are drawn at least, so a rare one is not lost; they count for less in the thresholds.
     A null label says nothing of its category. Labels without a document, and null ids, are
     passed over; a document with several labels counts with each. With no labels at all every
     probability is a half and nothing is toxic.
     """
     columns = [F.when(F.col(c).isNotNull(), (F.col(c) == v).cast("double")).alias(f"label{i}") for i, (c, v) in enumerate(categories.values())]
     known = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), *columns)
-    share = min(1.0, sample / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    totals = known.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(f"label{i}"), F.lit(0.0)) for i in range(len(columns))]).first()
+    share = min(1.0, sample / max(1, totals[0]))
+    shares = [F.when(F.col(f"label{i}") == 1, min(1.0, max(share, EACH / max(1.0, n)))) for i, n in enumerate(totals[1:])]
+    drawn = known.withColumn("share", F.greatest(F.lit(share), F.lit(share), *shares))
+    drawn = drawn.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < F.floor(F.col("share") * (1 << 30))).withColumn("weight", share / F.col("share")).drop("share")
     # about SAMPLE rows of a few numbers: small by construction
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(drawn), "id")
-    rows = rows.select("id", *[f"label{i}" for i in range(len(columns))], "text")
-    kind = "id long, " + ", ".join(f"label{i} double" for i in range(len(columns))) + ", words binary"
+    rows = rows.select("id", "weight", *[f"label{i}" for i in range(len(columns))], "text")
+    kind = "id long, weight double, " + ", ".join(f"label{i} double" for i in range(len(columns))) + ", words binary"
     names = list(categories)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         got = got.sort_by([("id", "ascending"), ("words", "ascending")])
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in got["words"]]
         table = np.column_stack([got[f"label{i}"].to_numpy(zero_copy_only=False).astype(float) for i in range(len(names))])
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_chain(sets, table, names)[0])])], ["chain"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_chain(sets, table, names, got["weight"].to_numpy())[0])])], ["chain"])
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next(batches, None)

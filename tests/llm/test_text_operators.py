@@ -140,6 +140,18 @@ def test_bpe_is_the_librarys(spark):
     assert bpe_encode(docs(spark, []), VOCABULARY).count() == 0
 
 
+def test_bpe_on_every_code_point():
+    tokenizers = pytest.importorskip("tokenizers")
+    known, own = tokenizers.Tokenizer.from_file(VOCABULARY), WordBpe(VOCABULARY)
+    texts = [f"a{c}1{c}{c} {c}b" for c in map(chr, [*range(1, 0xD800), *range(0xE000, 0x110000)])]
+    for i in range(0, len(texts), 1 << 16):
+        some = texts[i : i + (1 << 16)]
+        theirs = known.encode_batch(some, add_special_tokens=False)
+        ours = own.encoded(some)
+        wrong = [t for t, a, (b, _) in zip(some, theirs, ours, strict=True) if struct.pack(f"<{len(a.ids)}I", *a.ids) != b]
+        assert not wrong
+
+
 def test_bpe_words_are_kept_and_let_go():
     bpe = WordBpe(VOCABULARY)
     once = bpe.encoded(["hello hello world"])
