@@ -74,7 +74,7 @@ def _crc(value: str, bits: int = 8) -> str:
     low = list(range(16))
     for _ in range(4):
         low = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in low]
-    return value if bits == 0 else _crc(f"xor(({value}) >> 4, ({low}::UBIGINT[])[(({value}) & 15) + 1])", bits - 4)
+    return value if bits == 0 else _crc(f"xor(({value}) >> 4, ({low}::UBIGINT[])[((({value}) & 15) + 1)::BIGINT])", bits - 4)
 
 
 ORACLE = {
