@@ -14,7 +14,7 @@ from .lean import lean
 from .words import text_batches, word_hashes
 
 #: Labelled rows that the chain is fitted on, about, at any size of input; rows of every category among them, if there are so many; words it may weigh; and folds.
-SAMPLE, EACH, FEATURES, FOLDS = 12_000, 1_000, 4096, 5
+SAMPLE, EACH, FEATURES, FOLDS = 12_000, 1_000, 1024, 5
 #: Categories in the order of the chain: a column of the labels table, and the value that means yes.
 CATEGORIES = {"low_quality": ("quality", 0), "toxic": ("toxic", 1)}
 _TABLE_BITS = 22
@@ -134,7 +134,7 @@ def _chosen(row: np.ndarray, col: np.ndarray, n_words: int, labels: np.ndarray,
 def fit_chain(sets: list[np.ndarray], labels: np.ndarray, names: list[str], weight: np.ndarray | None = None, features: int = FEATURES, folds: int = FOLDS) -> tuple[Chain, np.ndarray]:
     """A chain over documents (distinct word hashes each) with labels (rows, categories; 0, 1, or nan: unknown), and its out-of-fold probabilities.
 
-    The words weighed are those in 5 documents or more whose share differs by category the most.
+    The words weighed are those in 5 documents or more, ``features`` of them at most, whose share differs by category the most.
     A later category's model gets the earlier ones' probabilities as inputs; in training those
     come from models that did not see the row, in ``folds`` folds: neither their weights nor their
     choice of words. ``weight`` is how many rows a row stands for; it counts in the thresholds.
