@@ -69,12 +69,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_ngram_jaccard, op3_bpe, op4_substring_dedup, op5_sharding, op6_embedding_near_dedup, op7_exact_dedup, op8_mixing, op9_warc, op10_toxicity)}
 
 
-def _crc(value: str, bits: int = 8) -> str:
-    """SQL of ``value`` after so many steps of the checksum's register, four at a time: what the low four bits bring is looked up."""
-    low = list(range(16))
-    for _ in range(4):
-        low = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in low]
-    return value if bits == 0 else _crc(f"xor(({value}) >> 4, ({low}::UBIGINT[])[((({value}) & 15) + 1)::BIGINT])", bits - 4)
+_POLYNOMIAL, _BLOCK = 0xEDB88320, 256
+
+
+def _zeros(register: int, bits: int) -> int:
+    """The checksum's register after so many zero bits."""
+    for _ in range(bits):
+        register = register >> 1 ^ (_POLYNOMIAL if register & 1 else 0)
+    return register
+
+
+def _moved(register: str, bits: int) -> str:
+    """SQL of _zeros: what the lowest bits bring is looked up, four at a time; the others shift."""
+    among = min(bits, 32)
+    looked = [f"({[_zeros(x << at, bits) for x in range(16)]}::UBIGINT[])[((({register}) >> {at}) & 15)::BIGINT + 1]" for at in range(0, among, 4)]
+    found = looked.pop()
+    for x in [*looked, *([f"({register}) >> {bits}"] if among < 32 else [])]:
+        found = f"xor({found}, {x})"
+    return found
+
+
+def _lead() -> str:
+    """Hex of the four bytes that bring an empty register to all ones, where the checksum begins."""
+    register = 0xFFFFFFFF
+    for _ in range(32):
+        register = ((register ^ _POLYNOMIAL) << 1 | 1) if register >> 31 else register << 1
+    return register.to_bytes(4, "little").hex().upper()
 
 
 ORACLE = {
@@ -102,13 +122,17 @@ l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.d
 r AS (SELECT DISTINCT a AS doc_id, a AS reached FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reached = l.a),
 c AS (SELECT doc_id, min(reached) AS least FROM r GROUP BY doc_id)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(c.least, s.doc_id) AS component_id FROM s LEFT JOIN c ON s.doc_id = c.doc_id""",
-    # the checksum takes every byte, the next two digits of the text's hex, through the polynomial 0xEDB88320
+    # the checksum goes over blocks of the text's hex, zeros before the first, and over the blocks' own registers
     "op5_sharding": """
-WITH t AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
-b AS (SELECT doc_id, text, [4294967295::UBIGINT] || list_transform(range(0, len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::UBIGINT) AS b FROM t),
-d AS (SELECT doc_id, (strlen(text) + 16)::BIGINT AS size, ('0x' || md5(text)[1:15])::BIGINT AS key, xor(list_reduce(b, lambda acc, x: CRC), 4294967295)::BIGINT AS text_crc32 FROM b),
+WITH t AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text, 'LEAD' || hex(encode(coalesce(text, ''))) AS h FROM documents),
+z AS (SELECT row, lpad(h, (ceil(len(h) / (2 * BLOCK)) * 2 * BLOCK)::INT, '0') AS h FROM t),
+k AS (SELECT row, nth, h[nth * 2 * BLOCK + 1:(nth + 1) * 2 * BLOCK] AS h FROM (SELECT row, h, unnest(range(0, len(h) // (2 * BLOCK))) AS nth FROM z)),
+b AS (SELECT row, nth, [0::UBIGINT] || list_transform(range(0, BLOCK), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::UBIGINT) AS b FROM k),
+r AS (SELECT row, nth, list_reduce(b, lambda acc, x: BYTE) AS r FROM b),
+c AS (SELECT row, xor(list_reduce(list(r ORDER BY nth), lambda acc, x: xor(x, SKIP)), 4294967295)::BIGINT AS crc FROM r GROUP BY row),
+d AS (SELECT doc_id, (strlen(text) + 16)::BIGINT AS size, ('0x' || md5(text)[1:15])::BIGINT AS key, crc AS text_crc32 FROM t JOIN c ON t.row = c.row),
 s AS (SELECT *, ((sum(size) OVER (ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) - size) * 40 // sum(size) OVER ())::INT AS shard FROM d)
-SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY key, doc_id) - 1 AS slot, NULL::INT AS grown_shard FROM s""".replace("CRC", _crc("xor(acc, x)")),
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY key, doc_id) - 1 AS slot, NULL::INT AS grown_shard FROM s""".replace("LEAD", _lead()).replace("BLOCK", str(_BLOCK)).replace("BYTE", _moved("xor(acc, x)", 8)).replace("SKIP", _moved("acc", 8 * _BLOCK)),
     "op6_embedding_near_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 g AS (SELECT * FROM v WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
