@@ -7,19 +7,23 @@ from pyspark.sql import SparkSession
 
 from .plans import PLANS, SessionRegistry
 from .sources import to_json_objects
+from .subjects import Subject
 
 
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="loomgraph", description=__doc__)
     parser.add_argument("route", choices=["chat", "subjects_info", "tasks_info", "metrics_info", "put_state", "get_state"])
     parser.add_argument("--user", default="user")
-    parser.add_argument("--plan", default="Chat", choices=sorted(set(PLANS) - {"ToolChat"}))
+    parser.add_argument("--plan", default="Chat", choices=sorted(PLANS))
+    parser.add_argument("--table", action="append", default=[], metavar="NAME=PATH", help="a Parquet table for the tools of ToolChat")
     parser.add_argument("--path", required=True, help="folder of the saved sessions")
     parser.add_argument("--data", default="{}", help="JSON: content, subject_name, text (CSV), how, format")
     given = parser.parse_args(args)
     data = json.loads(given.data)
-    registry = SessionRegistry(SparkSession.builder.getOrCreate(), given.path)
-    session = registry.session(given.user, given.plan)
+    spark = SparkSession.builder.getOrCreate()
+    registry = SessionRegistry(spark, given.path)
+    tables = [Subject(name, spark.read.parquet(path)) for name, path in (x.split("=", 1) for x in given.table)]
+    session = registry.session(given.user, given.plan, **({"tables": tables} if given.plan == "ToolChat" else {}))
     try:
         session = registry.read(given.user, given.plan)
     except Exception as e:

@@ -3,12 +3,16 @@
 import csv
 import io
 import json
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.ipc as ipc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
+
+from ..subjects import BATCH, ROW
 
 
 def _mode(lenient: bool) -> str:
@@ -77,25 +81,68 @@ def read_json_values(spark: SparkSession, values: str | list, schema: T.StructTy
     return rows.select(F.inline(F.from_json("value", T.ArrayType(kind), {"mode": "FAILFAST"})))
 
 
+def _signed(schema: pa.Schema) -> pa.Schema:
+    """Unsigned types as the next wider signed ones, lists of a fixed size as lists."""
+    wider = {pa.uint8(): pa.int16(), pa.uint16(): pa.int32(), pa.uint32(): pa.int64(), pa.uint64(): pa.decimal128(20, 0)}
+    fields = []
+    for f in schema:
+        kind = f.type
+        if pa.types.is_fixed_size_list(kind) or pa.types.is_list(kind):
+            kind = pa.list_(wider.get(kind.value_type, kind.value_type))
+        fields.append(pa.field(f.name, wider.get(kind, kind)))
+    return pa.schema(fields)
+
+
 def _arrow(spark: SparkSession, table: pa.Table) -> DataFrame:
     if table.num_rows == 0:
         raise ValueError("The Arrow source has no record batches.")
     batches = [i for i, b in enumerate(table.to_batches()) for _ in range(b.num_rows)]
-    table = table.append_column("_batch_id", pa.array(batches, pa.int64())).append_column("_row_id", pa.array(range(table.num_rows), pa.int64()))
-    narrow = {pa.uint8(): pa.int16(), pa.uint16(): pa.int32(), pa.uint32(): pa.int64(), pa.uint64(): pa.decimal128(20, 0)}
-    fields = []
-    for f in table.schema:
-        kind = f.type
-        if pa.types.is_fixed_size_list(kind) or pa.types.is_list(kind):
-            kind = pa.list_(narrow.get(kind.value_type, kind.value_type))
-        fields.append(pa.field(f.name, narrow.get(kind, kind)))
-    return spark.createDataFrame(table.cast(pa.schema(fields)))
+    table = table.append_column(BATCH, pa.array(batches, pa.int64())).append_column(ROW, pa.array(range(table.num_rows), pa.int64()))
+    return spark.createDataFrame(table.cast(_signed(table.schema)))
+
+
+def _parsed(schema: pa.Schema):
+    """(path, content, before) of whole files to their rows, with batch numbers from ``before`` on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            for content, before in zip(given.column(1), given.column(2).to_pylist(), strict=True):
+                at = 0
+                with ipc.open_file(content.as_buffer()) as reader:
+                    for i in range(reader.num_record_batches):
+                        batch = reader.get_batch(i).cast(schema)
+                        n = batch.num_rows
+                        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([before + i] * n, pa.int64()), pa.array(range(at, at + n), pa.int64())], [*schema.names, BATCH, ROW])
+                        at += n
+
+    return run
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, content) to (path, schema, batches, rows)."""
+    for given in batches:
+        for path, content in zip(given.column(0), given.column(1), strict=True):
+            with ipc.open_file(content.as_buffer()) as reader:
+                kind, n = reader.schema.serialize().to_pybytes(), reader.num_record_batches
+                yield pa.RecordBatch.from_pydict({"path": [path.as_py()], "kind": [kind], "n": [n], "rows": [sum(reader.get_batch(i).num_rows for i in range(n))]})
 
 
 def read_ipc_file(spark: SparkSession, path: str) -> DataFrame:
-    """An Arrow IPC file on the driver; its record batches are the batches. Parquet is the way to data at scale."""
-    with ipc.open_file(path) as reader:
-        return _arrow(spark, reader.read_all())
+    """An Arrow IPC file, or a folder of them, that all machines reach; record batches are the batches, files follow by path.
+
+    The executors parse the files, each as a whole: one of over 2 GB raises. All must have the
+    first one's columns and types. A folder or file without rows raises.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    found = files.mapInArrow(_described, "path string, kind binary, n long, rows long").where("rows > 0")
+    first = found.orderBy("path").limit(1).collect()
+    if not first:
+        raise ValueError("The Arrow source has no record batches.")
+    schema = _signed(ipc.read_schema(pa.BufferReader(first[0]["kind"])))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = files.join(found.select("path", before.alias("before")), "path")
+    kinds = T.StructType([*from_arrow_schema(schema), T.StructField(BATCH, T.LongType()), T.StructField(ROW, T.LongType())])
+    return placed.mapInArrow(_parsed(schema), kinds)
 
 
 def read_ipc_stream(spark: SparkSession, data: bytes) -> DataFrame:

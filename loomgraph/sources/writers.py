@@ -38,12 +38,21 @@ def to_ipc_stream(df: DataFrame, metadata: dict[str, str] | None = None) -> byte
 
 
 def write_ipc_file(df: DataFrame, path: str) -> None:
+    """An Arrow file of the table's batches at any path that Spark can write to."""
     batches = _batches(df)
     if not batches:
         raise ValueError("There is nothing to write: the table has no record batches.")
-    with ipc.new_file(path, batches[0].schema) as writer:
+    made = io.BytesIO()
+    with ipc.new_file(made, batches[0].schema) as writer:
         for batch in batches:
             writer.write_batch(batch)
+    context = df.sparkSession.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(context._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(made.getvalue()))
+    finally:
+        out.close()
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True, quote: str = "'", null_value: str = "NULL") -> None:

@@ -41,12 +41,9 @@ def _one(spark: SparkSession, value, name: str, kind: str = "string") -> DataFra
 
 @query(_NATION)
 def ipc_file(spark, sf_dir):
-    import tempfile
-
-    # a file of the driver's own: this scan and sink are of one machine, as their format is
-    with tempfile.NamedTemporaryFile(suffix=".arrow") as f:
-        io.write_ipc_file(_nation(spark, sf_dir), f.name)
-        return io.read_ipc_file(spark, f.name).drop(BATCH, ROW)
+    path = state_path(spark)
+    io.write_ipc_file(_nation(spark, sf_dir), path)
+    return io.read_ipc_file(spark, path).drop(BATCH, ROW)
 
 
 @query("SELECT ids, title, batch FROM (SELECT n_nationkey::INT AS ids, n_name AS title, dense_rank() OVER (ORDER BY n_regionkey) - 1 AS batch FROM nation)")

@@ -50,8 +50,9 @@ def first_row(df: DataFrame) -> DataFrame:
 
 
 def concat_batches(df: DataFrame) -> DataFrame:
-    """All rows in one batch, in order."""
-    return with_batches(df).withColumn(ROW, F.col(BATCH) * (1 << 40) + F.col(ROW)).withColumn(BATCH, F.lit(0).cast("long"))
+    """All rows in one batch, in order, numbered from 0."""
+    df = with_batches(df)
+    return numbered(df.orderBy(*HIDDEN).drop(ROW), ROW).withColumn(BATCH, F.lit(0).cast("long")).select(*df.columns)
 
 
 def replace_first_value(df: DataFrame, column: str, value: Column) -> DataFrame:

@@ -192,6 +192,12 @@ def test_command_line(spark, tmp_path, capsys):
     main(["put_state", "--path", str(tmp_path), "--data", '{"subject_name": "messages", "text": "role,content,timestamp\\nuser,x,t"}'])
     main(["subjects_info", "--path", str(tmp_path)])
     assert '"num_rows": 3' in capsys.readouterr().out
+    spark.createDataFrame([("a", 0.5)], "id string, score float").write.parquet(str(tmp_path / "scores"))
+    tools = ["--plan", "ToolChat", "--path", str(tmp_path / "s"), "--table", f"scores={tmp_path / 'scores'}"]
+    main(["chat", *tools, "--data", '{"content": "no tool"}'])
+    assert "no tool" in capsys.readouterr().out
+    main(["get_state", *tools, "--data", '{"subject_name": "scores"}'])
+    assert '"score": 0.5' in capsys.readouterr().out
 
 
 def test_stateless_operators_take_streams(spark, tmp_path):

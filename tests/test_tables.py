@@ -20,6 +20,19 @@ def test_ipc_round_trips(spark, tmp_path):
         io.to_ipc_stream(df.limit(0))
 
 
+def test_ipc_files_of_a_folder(spark, tmp_path):
+    df, folder = table(spark), tmp_path / "f"
+    for i, batches in enumerate(([0, 1], [2])):
+        io.write_ipc_file(df.where(df["_batch_id"].isin(batches)), str(folder / f"{i}.arrow"))
+    back = io.read_ipc_file(spark, str(folder))
+    assert sorted((r["ids"], r["title"], r["_batch_id"]) for r in back.collect()) == sorted((r["ids"], r["title"], r["_batch_id"]) for r in df.collect())
+    assert back.select("_batch_id", "_row_id").distinct().count() == 12
+    with pa.OSFile(str(tmp_path / "none.arrow"), "wb") as f:
+        pa.ipc.new_file(f, pa.schema([("a", pa.uint8())])).close()
+    with pytest.raises(ValueError):
+        io.read_ipc_file(spark, str(tmp_path / "none.arrow"))
+
+
 def test_unsigned_values_are_widened(spark):
     batch = pa.RecordBatch.from_arrays([pa.array([2**31], pa.uint32()), pa.array([2**64 - 1], pa.uint64())], ["a", "b"])
     assert tuple(map(int, visible(io.read_record_batches(spark, [batch])).first())) == (2**31, 2**64 - 1)
