@@ -3,6 +3,7 @@
 import hashlib
 import heapq
 import json
+import re
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +42,9 @@ LATER = """
 CAPITALS = "1c89-1c89-1c8a a7cb-a7cb-264 a7cc-a7cc-a7cd a7ce-a7ce-a7cf a7d2-a7d2-a7d3 a7d4-a7d4-a7d5 a7da-a7da-a7db a7dc-a7dc-19b 10d50-10d65-10d70 16ea0-16eb8-16ebb"
 _LATER = "[" + "".join(f"{chr(int(a, 16))}-{chr(int(b, 16))}" for a, b in (x.split("-") for x in LATER.split())) + "]"
 _SMALL = {c: small + c - first for first, last, small in ((int(y, 16) for y in x.split("-")) for x in CAPITALS.split()) for c in range(first, last + 1)}
-_RARE = regex.compile("[" + "".join(map(chr, _SMALL)) + _LATER[1:]).search
+_RARE = np.zeros(0x110000, bool)
+for _first, _last in [*((int(a, 16), int(b, 16)) for a, b in (x.split("-") for x in LATER.split())), *((c, c) for c in _SMALL)]:
+    _RARE[_first : _last + 1] = True
 
 
 class WordBpe:
@@ -57,6 +61,8 @@ class WordBpe:
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         pattern = pattern.replace(r"\s", r"\p{White_Space}")
         self.words = regex.compile(pattern).findall
+        # of ASCII texts in lower case the same, by the quicker module
+        self.ascii_words = re.compile(pattern.replace(r"\p{White_Space}", r"\t-\r ").replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")).findall
         # texts with later letters, which are next to none, are cut by a pattern that leaves them out of its classes
         exact = pattern.replace(r"[^\p{White_Space}\p{L}\p{N}]", rf"(?:[^\p{{White_Space}}\p{{L}}\p{{N}}]|{_LATER})")
         for kind in (r"[\p{L}]", r"[\p{N}]"):
@@ -67,12 +73,16 @@ class WordBpe:
         self.made = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in model["merges"]]
         self.rank_of = {a << 20 | b: rank for rank, (a, b, _) in enumerate(self.made)}
         letters = _byte_letters()
-        self.first = [self.vocab[x] for x in letters]
-        self.shift = self.vocab[letters[0] + self.end] - self.first[0]
+        self.first = np.array([self.vocab[x] for x in letters])
+        self.shift = self.vocab[letters[0] + self.end] - self.vocab[letters[0]]
         assert all(self.vocab[x + self.end] - self.vocab[x] == self.shift for x in letters)
+        # ranks of pairs of letters, the second one also at a word's end
+        seconds = [*self.first.tolist(), *(self.first + self.shift).tolist()]
+        self.first_ranks = np.array([[self.rank_of.get(a << 20 | b, -1) for b in seconds] for a in self.first.tolist()])
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else lambda text: [text]
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
+        self.named = pa.array([self.names.get(i, "").encode() for i in range(max(self.names) + 1)], pa.binary())
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.old: dict[str, tuple[bytes, bytes]] = {}
         self.met, self.n_met = np.zeros(1 << 22, bool), 0
@@ -90,40 +100,39 @@ class WordBpe:
         if not text.isascii():
             # lower case of each character alone: a sigma stays one at a word's end
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            if _RARE(text):
+            if _RARE[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].any():
                 return self.exact_words(text.translate(_SMALL).lower())
-        return self.words(text.lower())
+            return self.words(text.lower())
+        return self.ascii_words(text.lower())
 
-    def merge(self, words: list[str]) -> list[list[int]]:
-        """Token ids of every word.
+    def merge(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        """Of every word the token ids as bytes, and the decoded tokens.
 
         All words' symbols lie in one row with gaps between words. An index maps each pair that
         has a rank to all its positions. The least active rank is merged wherever its pair still
         stands, from the left; the pairs that this makes join the index. A merge's token occurs
         in later ranks only, so each rank comes up once.
         """
-        symbol: list[int] = []
-        begins = []
-        for word in words:
-            begins.append(len(symbol))
-            symbol += map(self.first.__getitem__, word.encode("utf-8", "surrogatepass"))
-            symbol[-1] += self.shift
-        begins.append(len(symbol))
-        n = len(symbol)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for i in begins[1:]:
-            after[i - 1] = -1
-        for i in begins[:-1]:
-            before[i] = -1
+        if not words:
+            return []
+        coded = [x.encode("utf-8", "surrogatepass") for x in words]
+        letter = np.frombuffer(b"".join(coded), np.uint8).astype(np.int64)
+        last = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded))) - 1
+        n = len(letter)
+        ends = np.zeros(n, np.int64)
+        ends[last] = 1
+        symbol = (self.first[letter] + self.shift * ends).tolist()
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[last], before[0], before[last[:-1] + 1] = -1, -1, -1
+        after, before = after.tolist(), before.tolist()
         rank_of, made = self.rank_of.get, self.made
-        places: dict[int, list[int]] = {}
-        ranks = map(rank_of, [a << 20 | b for a, b in zip(symbol, symbol[1:], strict=False)])
-        for i, rank in enumerate(ranks):
-            if rank is not None and after[i] >= 0:
-                if rank in places:
-                    places[rank].append(i)
-                else:
-                    places[rank] = [i]
+        ranks = np.where(ends[:-1] == 1, -1, self.first_ranks[letter[:-1], letter[1:] + 256 * ends[1:]])
+        at = np.flatnonzero(ranks >= 0)
+        at = at[np.argsort(ranks[at], kind="stable")]
+        ranks = ranks[at]
+        begins = np.flatnonzero(np.r_[True, ranks[1:] != ranks[:-1]][: len(ranks)])
+        listed, bounds = at.tolist(), [*begins.tolist(), len(at)]
+        places: dict[int, list[int]] = {rank: listed[a:b] for rank, a, b in zip(ranks[begins].tolist(), bounds, bounds[1:], strict=False)}
         active = list(places)
         heapq.heapify(active)
         while active:
@@ -155,7 +164,12 @@ class WordBpe:
                         else:
                             places[found] = [h]
                             heapq.heappush(active, found)
-        return [[x for x in symbol[a:b] if x >= 0] for a, b in zip(begins, begins[1:])]
+        left = np.array(symbol, np.int64)
+        ids = left[left >= 0].astype("<u4")
+        bounds = np.r_[0, np.cumsum(left >= 0)[last]]
+        decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), self.named.take(pa.array(ids))), b" ").to_pylist()
+        raw, bounds = ids.tobytes(), (4 * bounds).tolist()
+        return list(zip([raw[a:b] for a, b in zip(bounds, bounds[1:])], decoded, strict=True))
 
     def learn(self, pieces: set[str]) -> dict[str, tuple[bytes, bytes]]:
         """The encodings of ``pieces`` that ``known`` lacks: ids as bytes, and the decoded tokens.
@@ -170,13 +184,12 @@ class WordBpe:
             self.known[x] = self.old[x]
         fresh.difference_update(self.known)
         plain = [x for x in fresh if x not in self.added]
-        names = self.names
-        found = {word: (struct.pack(f"<{len(ids)}I", *ids), " ".join([names[i] for i in ids]).encode()) for word, ids in zip(plain, self.merge(plain), strict=True)}
+        found = dict(zip(plain, self.merge(plain), strict=True))
         found |= {word: (struct.pack("<I", self.added[word]), word.encode()) for word in fresh if word in self.added}
         marks = np.fromiter(map(hash, found), np.int64, len(found)) & (len(self.met) - 1)
-        for word, again in zip(list(found), self.met[marks].tolist(), strict=True):
-            if again:
-                self.known[word] = found[word]
+        listed = list(found)
+        for i in np.flatnonzero(self.met[marks]).tolist():
+            self.known[listed[i]] = found[listed[i]]
         self.met[marks] = True
         self.n_met += len(found)
         if self.n_met > len(self.met) // 4:
@@ -195,11 +208,12 @@ class WordBpe:
         cut = [self.pieces(x) for x in texts]
         pieces = set().union(*cut)
         found = self.learn(pieces)
-        known = {x: found[x] if x in found else self.known[x] for x in pieces}
+        known = {x: self.known[x] for x in pieces.difference(found)}
+        known.update(found)
         out = []
         for pieces in cut:
-            pairs = [known[x] for x in pieces]
-            out.append((b"".join([x for x, _ in pairs]), b" ".join([x for _, x in pairs])))
+            ids, names = zip(*map(known.__getitem__, pieces), strict=True) if pieces else ((), ())
+            out.append((b"".join(ids), b" ".join(names)))
         return out
 
 
