@@ -1,8 +1,9 @@
 """Words and shingles of whole Arrow batches as 64-bit hashes, without a Python object per word.
 
-A word is a run of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z. A word's hash is
-``sum(table[byte] * BASE**offset)`` modulo 2**64, finished by a bijective mixer; a shingle's is
-the same over its words' hashes. Two different words or shingles meet with odds of about 2**-64.
+A word is a run of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z. A word is read in pieces
+of 8 bytes; its hash is the mixed sum of its pieces, each mixed with a key of its place, and of its
+length. A shingle's is the same over its words' hashes. No sum is linear in the bytes, so no word
+is built from another that meets it; two different words or shingles meet with odds of about 2**-64.
 """
 
 from collections.abc import Iterator
@@ -23,20 +24,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _table() -> np.ndarray:
-    own = np.arange(256, dtype=np.uint64)
-    own[65:91] += np.uint64(32)
-    return mix(own * _BASE + np.uint64(77))
-
-
-_TABLE = _table()
-
-
-def _powers(n: int) -> np.ndarray:
-    return np.cumprod(np.r_[np.uint64(1), np.full(max(n, 1) - 1, _BASE, np.uint64)], dtype=np.uint64)
-
-
-_POWERS = _powers(4096)
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[65:91] += np.uint64(32)
+_SHIFT = np.arange(0, 64, 8, dtype=np.uint64)
 
 
 def text_batches(column: pa.Array, chunk: int = _CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -57,10 +47,11 @@ def text_batches(column: pa.Array, chunk: int = _CHUNK) -> Iterator[tuple[int, n
         i = j
 
 
-def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all rows, and the place of each row's first word among them (one more entry than rows)."""
+def word_spans(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first bytes, lengths) of the words of all rows, and the place of each row's first word among them (one more entry than rows)."""
+    none = np.zeros(0, np.int64)
     if len(raw) == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+        return np.zeros(0, np.uint64), none, none, np.zeros(len(ends), np.int64)
     solid = ~_SPACE[raw]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
@@ -68,14 +59,26 @@ def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     begins[cut] = solid[cut]
     starts = np.flatnonzero(begins)
     if len(starts) == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
-    lengths = np.diff(np.r_[starts, len(raw)])
-    inside = np.arange(starts[0], len(raw)) - np.repeat(starts, lengths)
-    top = int(inside.max()) + 1
-    powers = _POWERS if top <= len(_POWERS) else _powers(top)
-    value = _TABLE[raw[starts[0] :]] * powers[inside]
-    value[~solid[starts[0] :]] = 0
-    return mix(np.add.reduceat(value, starts - starts[0])), np.searchsorted(starts, ends)
+        return np.zeros(0, np.uint64), none, none, np.zeros(len(ends), np.int64)
+    solid, at = solid[starts[0] :], starts - starts[0]
+    room = np.diff(np.r_[at, len(solid)])
+    lengths = np.add.reduceat(solid.view(np.uint8), at, dtype=np.int64)
+    inside = np.arange(len(solid)) - np.repeat(at, room)
+    value = _LOWER[raw[starts[0] :]] << _SHIFT[inside & 7]
+    value[~solid] = 0
+    pieces = np.flatnonzero((inside & 7) == 0)
+    nth = inside[pieces] >> 3
+    keys = mix(np.arange(1, int(nth.max()) + 2, dtype=np.uint64) * _BASE)
+    mixed = mix(np.add.reduceat(value, pieces) ^ keys[nth])
+    mixed[~solid[pieces]] = 0
+    total = np.add.reduceat(mixed, np.searchsorted(pieces, at))
+    return mix(total + lengths.astype(np.uint64) * _BASE), starts, lengths, np.searchsorted(starts, ends)
+
+
+def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all rows, and the place of each row's first word among them (one more entry than rows)."""
+    words, _, _, first = word_spans(raw, ends)
+    return words, first
 
 
 _STEP = [np.uint64((2 * i + 1) * int(_BASE) % 2**64) for i in range(64)]

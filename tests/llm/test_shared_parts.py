@@ -2,12 +2,14 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from loomgraph.llm import graph, hot, identity
 from loomgraph.llm.graph import components, linked_components, listed_pairs
 from loomgraph.llm.ngram_join import ngram_classes
 from loomgraph.llm.scratch import Scratch
+from loomgraph.llm.words import word_hashes, word_spans
 
 
 def roots_of(edges):
@@ -80,3 +82,34 @@ def test_links_of_lists_are_all_found(spark):
     scratch = Scratch(spark, "t")
     got = linked_components(scratch.table(posts, "posts"), lambda pairs, n: pairs.join(good, ["a", "b"]), scratch)
     assert {r[0]: r[1] for r in got.collect()} == roots_of(links)
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+def test_long_words_that_meet_in_every_polynomial_hash_are_apart(spark, rows):
+    for n in (1024, 2048, 4096):
+        word = thue_morse(n)
+        other = word.translate(str.maketrans("ab", "ba"))
+        raw = np.frombuffer(f"{word} {other}".encode(), np.uint8)
+        a, b = word_hashes(raw, np.array([0, len(raw)]))[0]
+        assert a != b
+        docs = spark.createDataFrame([(1, word), (2, other), (3, word.upper())], "doc_id long, text string")
+        assert rows(ngram_classes(docs), "doc_id", "component_id") == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_words_have_one_hash_wherever_they_stand():
+    rng = random.Random(5)
+    letters = ["a", "B", "\x00", "é", "z" * 8, "q" * 7]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    texts = [rng.choice("\t\n ").join(rng.choices(words, k=rng.randrange(0, 12))) + rng.choice(["", " ", "\r\n"]) for _ in range(300)]
+    raw = [t.encode() for t in texts]
+    ends = np.cumsum([0, *map(len, raw)])
+    hashes, starts, lengths, first = word_spans(np.frombuffer(b"".join(raw), np.uint8), ends)
+    low = bytes(x + 32 if 65 <= x <= 90 else x for x in b"".join(raw))
+    known = {}
+    for h, a, n in zip(hashes.tolist(), starts.tolist(), lengths.tolist(), strict=True):
+        assert known.setdefault(low[a : a + n], h) == h
+    assert len(set(known.values())) == len(known) > 300
+    assert [len(t.split()) for t in (x.decode() for x in raw)] == np.diff(first).tolist()
