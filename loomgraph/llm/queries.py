@@ -1,17 +1,20 @@
 """The registered queries of the training-data operators, each over its whole table, and their SQL."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .chat import rotate_perspectives
 from .embedding_dedup import near_duplicates
 from .exact_dedup import exact_dedup
+from .hard_negatives import mine
 from .mixing import mix
 from .ngram_join import ngram_classes
 from .scratch import Scratch
 from .sharding import shard
 from .substring_dedup import shared_passages
 from .toxicity import score, train
+from .vector_codes import compress
 from .warc import read_archives, write_archives
 
 def vocabulary() -> str:
@@ -66,7 +69,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_ngram_jaccard, op3_bpe, op4_substring_dedup, op5_sharding, op6_embedding_near_dedup, op7_exact_dedup, op8_mixing, op9_warc, op10_toxicity)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine(_read(spark, sf_dir, "embeddings"), relabel=F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_ngram_jaccard, op3_bpe, op4_substring_dedup, op5_sharding, op6_embedding_near_dedup, op7_exact_dedup, op8_mixing, op9_warc, op10_toxicity, op11_vector_codes, op12_hard_negatives)}
 
 
 _POLYNOMIAL, _BLOCK = 0xEDB88320, 256
@@ -97,6 +108,12 @@ def _lead() -> str:
     return register.to_bytes(4, "little").hex().upper()
 
 
+_ASSIGN = """a{i} AS (SELECT vec_id, label, p.part, any_value(x) AS x, min(list_sum(list_transform(list_zip(x, c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT * 64 + entry) AS key
+  FROM p JOIN b{i} ON p.part = b{i}.part GROUP BY vec_id, label, p.part)"""
+_MEANS = """,
+m{i} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY place) AS c FROM (SELECT part, key % 64 AS entry, place, sum(x[place + 1])::BIGINT AS s, count(*) AS n FROM a{i}, range(len(x)) AS r(place) GROUP BY ALL) GROUP BY ALL),
+b{j} AS (SELECT b{i}.part, b{i}.entry, coalesce(m{i}.c, b{i}.c) AS c FROM b{i} LEFT JOIN m{i} USING (part, entry))"""
+
 ORACLE = {
     "op1_chat_perspectives": r"""
 WITH u AS (SELECT conv_id, turn, trim(translate(coalesce(role, ''), chr(13) || chr(10), '  ')) AS speaker, coalesce(text, '') AS text, turn // 128 AS part FROM conversations),
@@ -148,4 +165,21 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')
 m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS best FROM p)
 SELECT page_id, n::BIGINT AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN best IS NULL OR page_id IS NOT DISTINCT FROM best THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id IS DISTINCT FROM best THEN best END AS refers_to FROM m""",
+    # two rounds of one step: an entry's key is its distance * 64 + its index, so the least key is the nearest, of equals the lower
+    "op11_vector_codes": """
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, label, part, v[part * (len(v) // 16) + 1:(part + 1) * (len(v) // 16)] AS x FROM v, range(16) AS r(part)),
+b0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p QUALIFY entry < 64),
+STEPS
+z AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS s FROM b2),
+e AS (SELECT vec_id, label, string_agg(lower(printf('%02x', key % 64)), '' ORDER BY part) AS code, sum(key // 64)::BIGINT AS error FROM a2 GROUP BY vec_id, label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, s AS codebooks_sha256 FROM e, z""".replace("STEPS", ",\n".join(_ASSIGN.format(i=i) + (_MEANS.format(i=i, j=i + 1) if i < 2 else "") for i in range(3)) + ","),
+    "op12_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS n FROM s WHERE same QUALIFY n <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b)::INT AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.a = s.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score QUALIFY rank <= 3""",
 }
