@@ -19,8 +19,16 @@ _NONE = np.iinfo(np.int64).min
 _BLOCK = "dim int, ids binary, labels binary, vectors binary"
 
 
-def pack_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, label, vector) to blocks of one length, rising by id."""
+def pack_candidates(size: int) -> Callable:
+    """(id, label, vector) to blocks of ``size`` vectors of one length, rising by id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _candidates(batches, size)
+
+    return run
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     held: dict[int, list[pa.RecordBatch]] = {}
 
     def block(dim: int) -> pa.RecordBatch:
@@ -32,9 +40,9 @@ def pack_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     for batch in batches:
         for dim, rows in by_length(batch, 2):
-            for i in range(0, rows.num_rows, CANDIDATES):
-                rest = rows.slice(i, CANDIDATES)
-                room = CANDIDATES - sum(x.num_rows for x in held.get(dim, []))
+            for i in range(0, rows.num_rows, size):
+                rest = rows.slice(i, size)
+                room = size - sum(x.num_rows for x in held.get(dim, []))
                 held.setdefault(dim, []).append(rest.slice(0, room))
                 if rest.num_rows >= room:
                     yield block(dim)
@@ -44,12 +52,20 @@ def pack_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield block(dim)
 
 
-def pack_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, label, vector, scores of its positives) to blocks of one length; missing scores are the least long."""
+def pack_anchors(size: int) -> Callable:
+    """(key, id, label, vector, scores of its positives) to blocks of ``size`` vectors of one length; missing scores are the least long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _anchors(batches, size)
+
+    return run
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for dim, rows in by_length(batch, 3):
-            for i in range(0, rows.num_rows, ANCHORS):
-                part = rows.slice(i, ANCHORS)
+            for i in range(0, rows.num_rows, size):
+                part = rows.slice(i, size)
                 keys, ids, labels = (part.column(c).to_numpy() for c in range(3))
                 x = whole_numbers(part.column(3)).astype(np.int32) if dim else np.zeros((len(ids), 0), np.int32)
                 given = part.column(4).to_pylist()
@@ -172,7 +188,7 @@ def _best_of_all(met: DataFrame, k: int) -> DataFrame:
     return met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def mine(vectors: DataFrame, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", every: int = 50, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, relabel: Column | None = None) -> DataFrame:
+def mine(vectors: DataFrame, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", every: int = 50, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, relabel: Column | None = None, block: int = CANDIDATES, anchor_block: int = ANCHORS) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score): for the best ``positives`` of every anchor, the
     best ``negatives`` rows of other labels that score from ``low`` to ``high`` hundredths of what the positive scores.
 
@@ -190,13 +206,13 @@ def mine(vectors: DataFrame, id_col: str = "vec_id", label_col: str = "label", v
     label = F.col(label_col) if relabel is None else relabel
     rows = vectors.where(F.col(id_col).isNotNull() & sound(F.col(vector_col)) & in_range(F.col(vector_col)))
     rows = rows.select(F.col(id_col).cast("long").alias("id"), label.cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("vector")).where("label is not null")
-    blocks = scratch.table(rows.mapInArrow(lean(pack_candidates), _BLOCK), "candidates")
+    blocks = scratch.table(rows.mapInArrow(lean(pack_candidates(min(block, CANDIDATES))), _BLOCK), "candidates")
     own = scratch.table(rows.where(F.col("id") % every == 0).withColumn("key", F.monotonically_increasing_id()), "anchors")
     # anchors of many small files meet in full blocks
-    tasks = 1 + scratch.rows("anchors") // (16 * ANCHORS)
+    tasks = 1 + scratch.rows("anchors") // (16 * anchor_block)
 
     def passed(anchors: DataFrame, name: str, k: int, choose: Callable) -> DataFrame:
-        packed = scratch.table(anchors.repartition(tasks).mapInArrow(lean(pack_anchors), _ANCHOR), f"{name}-blocks", bytes=F.sum(_size()))
+        packed = scratch.table(anchors.repartition(tasks).mapInArrow(lean(pack_anchors(anchor_block)), _ANCHOR), f"{name}-blocks", bytes=F.sum(_size()))
         met = None
         for wave in _waves(packed, scratch.seen[f"{name}-blocks"]["bytes"] or 0):
             pairs = blocks.crossJoin(F.broadcast(wave.select(*[F.col(c).alias(f"{c}_a") for c in _names(_ANCHOR)])))

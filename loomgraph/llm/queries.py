@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .chat import rotate_perspectives
+from .context_mixing import score_texts
 from .embedding_dedup import near_duplicates
 from .exact_dedup import exact_dedup
 from .hard_negatives import mine
@@ -77,7 +78,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(_read(spark, sf_dir, "embeddings"), relabel=F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_ngram_jaccard, op3_bpe, op4_substring_dedup, op5_sharding, op6_embedding_near_dedup, op7_exact_dedup, op8_mixing, op9_warc, op10_toxicity, op11_vector_codes, op12_hard_negatives)}
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_ngram_jaccard, op3_bpe, op4_substring_dedup, op5_sharding, op6_embedding_near_dedup, op7_exact_dedup, op8_mixing, op9_warc, op10_toxicity, op11_vector_codes, op12_hard_negatives, op13_lm_scoring)}
 
 
 _POLYNOMIAL, _BLOCK = 0xEDB88320, 256

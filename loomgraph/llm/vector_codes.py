@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .hot import join_groups
 from .lean import lean
 from .scratch import Scratch
-from .vector_blocks import in_range, sound, whole_numbers
+from .vector_blocks import SCALE, in_range, sound, whole_numbers
 
 #: Parts of a vector, entries of a part's codebook, and rounds.
 PARTS, ENTRIES, ROUNDS = 16, 64, 2
@@ -111,8 +111,8 @@ def compress(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     dim = len(first[0][0]) if first else 0
     fits = F.col("fits") & (F.size("vector") == dim)
     # as many vectors as a codebook has entries
-    seeds = np.array([r[0] for r in rows.where(fits).orderBy(*order).select("vector").limit(entries).collect()], np.float64).reshape(-1, dim)
-    seeds = np.floor(seeds * 256).astype(np.int64)
+    least = [r[0] for r in rows.where(fits).orderBy(*order).select("vector").limit(entries).collect()]
+    seeds = np.floor(np.array(least, np.float64).reshape(len(least), dim) * SCALE).astype(np.int64)
     at = cuts(dim, parts)
     books = [seeds[:, at[p] : at[p + 1]].copy() for p in range(parts)]
     none = F.lit(None).cast("binary")
