@@ -167,12 +167,12 @@ def _negatives(k: int, slots: int, low: int, high: int) -> Callable:
 
 
 def _waves(blocks: DataFrame, bytes_: int) -> list[DataFrame]:
-    """The anchor blocks in parts of WAVE_BYTES or so, each proven to be of twice that at most before any is broadcast."""
+    """The anchor blocks in parts of WAVE_BYTES or so, each proven to be of twice that or one block at most before any is broadcast."""
     n = max(1, -(-bytes_ // WAVE_BYTES))
     while n > 1:
         wave = F.pmod(F.xxhash64("keys"), F.lit(n))
-        top = blocks.groupBy(wave).agg(F.sum(_size()).alias("bytes")).agg(F.max("bytes")).first()[0] or 0
-        if top <= 2 * WAVE_BYTES:
+        sizes = blocks.groupBy(wave).agg(F.sum(_size()).alias("bytes"), F.count(F.lit(1)).alias("n"))
+        if sizes.where((F.col("bytes") > 2 * WAVE_BYTES) & (F.col("n") > 1)).isEmpty():
             return [blocks.where(wave == i) for i in range(n)]
         n *= 2
     return [blocks]
