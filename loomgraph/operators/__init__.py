@@ -1,7 +1,9 @@
 """Operators: pure functions of DataFrames."""
 
 from .chunking import chunk_documents
+from .intervals import interval_join
 from .messages import chat_request, extend_chunks, fold_chat, has_message_columns, parse_tool_calls, prepare_messages, prompt, route_messages, summarize
+from .ordered import asof_join, running, sessions
 from .registry import OPERATORS, OperatorConfig, dispatch, tool_catalog, tool_schema
 from .relational import (
     assert_not_null,
@@ -21,6 +23,7 @@ from .relational import (
     top_k,
     union_tables,
 )
-from .similarity import similarity_scores, top_k_similar
+from .similarity import score_pairs, similarity_scores, top_k_similar
+from .vector_index import VectorIndex
 
 __all__ = [x for x in dir() if not x.startswith("_")]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import operators as op
-from .functions import chat_line, clean_tool_calls, cosine, message_role, norm
+from .functions import chat_line, clean_tool_calls, message_role, norm
 from .metrics import aggregate_metrics
 from .operators.messages import ordered_text
 from .query_base import ORACLE, QUERIES, query, table
@@ -39,8 +39,7 @@ def chunk_no_overlap(spark, sf_dir):
 
 @query(f"SELECT q.vec_id AS query_id, e.vec_id, {_COSINE} AS score FROM embeddings q, embeddings e WHERE q.vec_id % {EVERY} = 0")
 def cosine_similarity(spark, sf_dir):
-    pairs = table(spark, sf_dir, "embeddings").crossJoin(F.broadcast(_queries(spark, sf_dir).withColumnRenamed("embedding", "q")))
-    return pairs.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    return op.score_pairs(_queries(spark, sf_dir), table(spark, sf_dir, "embeddings"), "query_id", "vec_id", "embedding", "embedding")
 
 
 @query(f"SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 3) + 0.0 AS score FROM embeddings q, embeddings e WHERE q.vec_id % {EVERY} = 0")
@@ -244,4 +243,4 @@ def rag_pipeline(spark, sf_dir):
     return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks"), ordered_text("said", ["rank", "nth"], "\n").alias("content"))
 
 
-from . import state_queries  # noqa: E402, F401
+from . import scale_queries, state_queries  # noqa: E402, F401
