@@ -40,6 +40,8 @@ def render_template(template: str, **values: Column) -> Column:
 
 
 def chat_line(role: Column, content: Column) -> Column:
+    """A turn of the chat template. A null content is an empty one, a null role is ``user``, as ``message_role`` has it for chat services: no turn is lost."""
+    role, content = F.coalesce(role, F.lit("user")), F.coalesce(content, F.lit(""))
     head, middle, tail = CHAT_TEMPLATE.replace("{content}", "{role}").split("{role}")
     return F.concat(F.lit(head), role, F.lit(middle), content, F.lit(tail))
 

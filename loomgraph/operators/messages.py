@@ -1,6 +1,6 @@
 """Chat messages: folds, prompts, summaries, tool calls and routes."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import GENERATION_PROMPT, chat_line, clean_tool_calls, message_role, render_template, timestamp_now
@@ -37,13 +37,28 @@ def fold_chat(df: DataFrame, order: list[str] | None = None, keys: list[str] | N
     return extend_chunks(df, "content", order, keys)
 
 
-def prepare_messages(history: DataFrame | None, query: DataFrame, system: str = SYSTEM, **values: Column) -> DataFrame:
-    """The history, or else a system message from a template, then the user's query (content)."""
+def prepare_messages(history: DataFrame | None, query: DataFrame, system: str = SYSTEM, order: list[str] | None = None, keys: list[str] | None = None, **values: Column) -> DataFrame:
+    """(keys ..., turn, role, content): per ``keys`` the history, or else a system message from a template, then the user's queries (content).
+
+    ``turn`` numbers the rows of a key from 0, so nothing rests on the order in which a table is read: first the history by ``order``, without it by its
+    batches and rows, then the queries by theirs. Nulls stay. A key is one conversation, of a prompt's length; keys without a query are not asked for, and give no rows.
+    """
+    keys = keys or []
     spark = query.sparkSession
+    asked = query.select(*keys).distinct() if keys else spark.range(1).select()
     if history is None:
-        history = spark.range(1).select(F.lit("system").alias("role"), render_template(system, **values).alias("content"))
-    rows = [visible(history).select("role", "content"), visible(query).select(F.lit("user").alias("role"), "content")]
-    return rows[0].unionByName(rows[1])
+        history, order = asked.select(*keys, F.lit("system").alias("role"), render_template(system, **values).alias("content"), F.lit(0).alias("_first")), ["_first"]
+    elif keys:
+        history = history.join(asked, keys, "left_semi")
+
+    def placed(df: DataFrame, part: int, by: list[str] | None, role: Column) -> DataFrame:
+        df = df if by else with_batches(df)
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*(by or HIDDEN)))
+        return df.select(*keys, F.lit(part).alias("_part"), nth.alias("_nth"), role.alias("role"), "content")
+
+    rows = placed(history, 0, order, F.col("role")).unionByName(placed(query, 1, None, F.lit("user")))
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy("_part", "_nth")) - 1
+    return rows.withColumn("turn", turn.cast("long")).select(*keys, "turn", "role", "content").orderBy(*keys, "turn")
 
 
 def prompt(df: DataFrame, order: list[str], keys: list[str] | None = None, generate: bool = False, tools: list[str] | None = None, documents: DataFrame | None = None) -> DataFrame:

@@ -165,14 +165,24 @@ def role_mapping(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", message_role(role).alias("role"))
 
 
-@query("""SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) || '<|im_start|>assistant' || chr(10) AS prompt FROM conversations GROUP BY conv_id""")
+_SAID = "CASE WHEN conv_id % 7 = 0 AND turn % 2 = 1 THEN NULL ELSE text END"
+_WHO = "CASE WHEN conv_id % 5 = 0 AND turn % 2 = 0 THEN NULL ELSE role END"
+_LINE = f"'<|im_start|>' || coalesce({_WHO}, 'user') || chr(10) || coalesce({_SAID}, '') || '<|im_end|>' || chr(10)"
+
+
+def _turns(spark, sf_dir):
+    """Conversations some of whose turns have no role or no content."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_WHO).alias("role"), F.expr(_SAID).alias("content"))
+
+
+@query(f"SELECT conv_id, string_agg({_LINE}, '' ORDER BY turn) || '<|im_start|>assistant' || chr(10) AS prompt FROM conversations GROUP BY conv_id")
 def prompt_build(spark, sf_dir):
-    return op.prompt(table(spark, sf_dir, "conversations").withColumnRenamed("text", "content"), ["turn"], ["conv_id"], generate=True)
+    return op.prompt(_turns(spark, sf_dir), ["turn"], ["conv_id"], generate=True)
 
 
-@query("SELECT conv_id, turn, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS line FROM conversations")
+@query(f"SELECT conv_id, turn, {_LINE} AS line FROM conversations")
 def chat_lines(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", chat_line(F.col("role"), F.col("text")).alias("line"))
+    return _turns(spark, sf_dir).select("conv_id", "turn", chat_line(F.col("role"), F.col("content")).alias("line"))
 
 
 @query("SELECT DISTINCT source FROM documents")

@@ -225,10 +225,11 @@ def prompt_with_tools(spark, sf_dir):
     return op.prompt(table(spark, sf_dir, "conversations").withColumnRenamed("text", "content"), ["turn"], ["conv_id"], True, ['{"t":1}'], docs)
 
 
-@query("SELECT 'system' AS role, 'You know documents.' AS content UNION ALL SELECT 'user', text FROM conversations WHERE turn = 0")
+@query("""SELECT conv_id, 0::BIGINT AS turn, 'system' AS role, 'You know documents.' AS content FROM conversations WHERE turn = 0
+UNION ALL SELECT conv_id, 1 + turn, 'user', nullif(text, '') FROM conversations""")
 def prepare_messages(spark, sf_dir):
-    first = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("text").alias("content"))
-    return op.prepare_messages(None, first, "You know {what}.", what=F.lit("documents"))
+    asked = table(spark, sf_dir, "conversations").select("conv_id", F.nullif(F.col("text"), F.lit("")).alias("content"), F.lit(0).cast("long").alias(BATCH), F.col("turn").alias(ROW))
+    return op.prepare_messages(None, asked, "You know {what}.", keys=["conv_id"], what=F.lit("documents"))
 
 
 @query("SELECT doc_id, 'Document ' || doc_id || ' in ' || lang || '.' AS text FROM documents")

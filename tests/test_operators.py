@@ -150,6 +150,16 @@ def test_extend_chunks_and_prompts(spark):
     assert op.extend_chunks(df.limit(0), "content", ["n"]).count() == 0
 
 
+def test_no_turn_is_lost_and_order_is_kept(spark):
+    turns = spark.createDataFrame([(1, 3, "user", None), (1, 1, None, "b"), (1, 2, "assistant", "c"), (1, 0, "system", "a"), (2, 0, "user", "z")], "k int, n int, role string, content string").repartition(4)
+    made = {r["k"]: r["prompt"] for r in op.prompt(turns, ["n"], ["k"]).collect()}
+    assert made[1] == "<|im_start|>system\na<|im_end|>\n<|im_start|>user\nb<|im_end|>\n<|im_start|>assistant\nc<|im_end|>\n<|im_start|>user\n<|im_end|>\n"
+    asked = spark.createDataFrame([(1, "q2", 0, 2), (1, None, 0, 1), (3, "q", 0, 0)], "k int, content string, _batch_id long, _row_id long").repartition(3)
+    got = [tuple(r) for r in op.prepare_messages(turns, asked, order=["n"], keys=["k"]).collect()]
+    assert got == [(1, 0, "system", "a"), (1, 1, None, "b"), (1, 2, "assistant", "c"), (1, 3, "user", None), (1, 4, "user", None), (1, 5, "user", "q2"), (3, 0, "user", "q")]
+    assert [tuple(r) for r in op.prepare_messages(None, asked, "x{k}", keys=["k"], k=F.col("k").cast("string")).where("turn = 0").collect()] == [(1, 0, "system", "x1"), (3, 0, "system", "x3")]
+
+
 def test_roles_and_text_functions(spark):
     df = spark.createDataFrame([(x,) for x in ("system", "user", "assistant", "tool_call", "function", "tool", "?")], "r string").coalesce(1)
     assert [r[0] for r in df.select(fn.message_role(F.col("r"))).collect()] == ["system", "user", "assistant", "tool", "function", "function", "user"]
