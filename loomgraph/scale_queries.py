@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import operators as op
+from . import sources as io
 from .query_base import query, table
+from .storage import state_path
 
 #: Orders as visits in January 2024, when the events are: each begins at a minute its key decides and lasts for minutes to days.
 _VISITS = """v AS (SELECT o_orderkey, o_custkey AS user_id, TIMESTAMP '2024-01-01' + to_minutes((o_orderkey * 37 % 43200)::INT) AS begins,
@@ -96,3 +98,11 @@ def top_k_indexed(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return op.VectorIndex(vectors, "vec_id", "embedding").search(queries, "query_id", "embedding", 3)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem")
+def arrow_files(spark, sf_dir):
+    """Lines written as Arrow files by the tasks that hold them, and four of their columns read back, some record batches a task."""
+    path = state_path(spark)
+    io.write_arrow(table(spark, sf_dir, "lineitem"), path)
+    return io.scan_arrow(spark, path, ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"], split=1 << 18)
