@@ -1,5 +1,7 @@
 """Operators: pure functions of DataFrames."""
 
+from .aggregates import estimate_counts, grouping_distinct, merge_sketches, sketches
+from .bloom import bloom_anti_join, bloom_semi_join, build_bloom
 from .chunking import chunk_documents
 from .intervals import interval_join
 from .messages import chat_request, extend_chunks, fold_chat, has_message_columns, parse_tool_calls, prepare_messages, prompt, route_messages, summarize

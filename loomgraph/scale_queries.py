@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from . import operators as op
 from . import sources as io
 from .query_base import query, table
-from .storage import state_path
+from .storage import state_path, store
 
 #: Orders as visits in January 2024, when the events are: each begins at a minute its key decides and lasts for minutes to days.
 _VISITS = """v AS (SELECT o_orderkey, o_custkey AS user_id, TIMESTAMP '2024-01-01' + to_minutes((o_orderkey * 37 % 43200)::INT) AS begins,
@@ -106,3 +106,41 @@ def arrow_files(spark, sf_dir):
     path = state_path(spark)
     io.write_arrow(table(spark, sf_dir, "lineitem"), path)
     return io.scan_arrow(spark, path, ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"], split=1 << 18)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 480000)")
+def bloom_lines_of_dear_orders(spark, sf_dir):
+    """The lines of the few dear orders: a filter of these keys keeps other lines out of the exchange."""
+    dear = table(spark, sf_dir, "orders").where("o_totalprice > 480000").select(F.col("o_orderkey").alias("l_orderkey"))
+    return op.bloom_semi_join(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), dear, ["l_orderkey"])
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'error')")
+def bloom_orders_without_errors(spark, sf_dir):
+    """The orders of those who saw no error."""
+    errors = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").alias("o_custkey"))
+    return op.bloom_anti_join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), errors, ["o_custkey"])
+
+
+@query("""SELECT event_type, count(*) AS rows, count(DISTINCT user_id) AS users, TRUE AS users_hold, TRUE AS medians_hold, TRUE AS counts_hold FROM (FROM events UNION ALL SELECT * REPLACE ('all' AS event_type) FROM events) GROUP BY event_type""")
+def sketch_rollup(spark, sf_dir):
+    """Sketches of each day and type are stored, then merged by type and over all; whether distinct users, the median and every user's count are as near to the truth as promised."""
+    events = _events(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    daily, _ = store(op.sketches(events, ["day", "event_type"], "user_id", "value", "user_id"))
+    whole = F.lit("all").alias("event_type")
+    merged, _ = store(op.merge_sketches(daily, ["event_type"]).unionByName(op.merge_sketches(daily.withColumn("event_type", whole), ["event_type"])))
+    both = events.unionByName(events.withColumn("event_type", whole))
+    truth = both.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    guesses = op.estimate_counts(merged, truth, ["event_type"], "user_id").join(truth, ["event_type", "user_id"]).join(merged.select("event_type", "rows"), "event_type")
+    users = guesses.groupBy("event_type").agg(F.count(F.lit(1)).alias("users"), F.bool_and(F.col("estimate") >= F.col("n")).alias("above"), F.avg((F.col("estimate") <= F.col("n") + 0.002 * F.col("rows")).cast("double")).alias("near"))
+    said = merged.select("event_type", "rows", F.hll_sketch_estimate("distinct").alias("guess"), F.kll_sketch_get_quantile_double("quantiles", F.lit(0.5)).alias("median"))
+    ranks = both.select("event_type", "value").join(said.select("event_type", "median"), "event_type").groupBy("event_type").agg(F.avg((F.col("value") < F.col("median")).cast("double")).alias("below"), F.avg((F.col("value") <= F.col("median")).cast("double")).alias("upto"))
+    out = said.join(users, "event_type").join(ranks, "event_type")
+    near = F.abs(F.col("guess") - F.col("users")) <= 1 + 0.06 * F.col("users")
+    return out.select("event_type", "rows", "users", near.alias("users_hold"), ((F.col("below") <= 0.52) & (F.col("upto") >= 0.48)).alias("medians_hold"), (F.col("above") & (F.col("near") >= 0.97)).alias("counts_hold"))
+
+
+@query("""SELECT l_returnflag, l_linestatus, l_linenumber, grouping(l_returnflag, l_linestatus, l_linenumber)::INT AS grouping, count(*) AS rows, sum(l_quantity) AS quantity, count(DISTINCT l_suppkey) AS distinct_l_suppkey, count(DISTINCT l_partkey) AS distinct_l_partkey
+FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus, l_linenumber)""")
+def cube_with_distinct_counts(spark, sf_dir):
+    return op.grouping_distinct(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"], ["l_suppkey", "l_partkey"], {"quantity": F.col("l_quantity")})
