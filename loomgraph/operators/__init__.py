@@ -26,6 +26,7 @@ from .relational import (
     union_tables,
 )
 from .similarity import score_pairs, similarity_scores, top_k_similar
+from .text_index import RankedIndex, SubstringIndex
 from .vector_index import VectorIndex
 
 __all__ = [x for x in dir() if not x.startswith("_")]

@@ -144,3 +144,26 @@ def sketch_rollup(spark, sf_dir):
 FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus, l_linenumber)""")
 def cube_with_distinct_counts(spark, sf_dir):
     return op.grouping_distinct(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"], ["l_suppkey", "l_partkey"], {"quantity": F.col("l_quantity")})
+
+
+_WORDS = "list_filter(string_split_regex(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+
+@query("""SELECT conv_id, turn, doc_id FROM (SELECT conv_id, turn, substr(text, 3, 7) AS said FROM conversations WHERE conv_id % 50 = 0) c JOIN documents d ON contains(d.text, c.said)""")
+def substrings_by_index(spark, sf_dir):
+    """Which documents hold seven characters of each turn of every 50th conversation."""
+    turns = table(spark, sf_dir, "conversations").where("conv_id % 50 = 0").select(F.struct("conv_id", "turn").alias("key"), F.substring("text", 3, 7).alias("said"))
+    found = op.SubstringIndex(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").contains(turns, "key", "said")
+    return found.select("key.conv_id", "key.turn", "doc_id")
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), p AS (SELECT doc_id, len(w) AS size, unnest(w) AS word FROM d),
+f AS (SELECT doc_id, size, word, count(*) AS times FROM p GROUP BY ALL), i AS (SELECT word, ln(1 + ((SELECT count(*) FROM d) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM f GROUP BY word),
+q AS (SELECT conv_id, turn, unnest(list_distinct({_WORDS.format("text")})) AS word FROM conversations WHERE conv_id % 50 = 0),
+s AS (SELECT conv_id, turn, doc_id, round(sum(idf * times * 2.2 / (times + 1.2 * (0.25 + 0.75 * size / (SELECT avg(len(w)) FROM d)))), 6) AS score FROM q JOIN f USING (word) JOIN i USING (word) GROUP BY ALL)
+SELECT conv_id, turn, doc_id, score, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, doc_id)::INT AS rank FROM s QUALIFY rank <= 10""")
+def ranked_text_search(spark, sf_dir):
+    """The ten documents that rank best for each turn of every 50th conversation."""
+    turns = table(spark, sf_dir, "conversations").where("conv_id % 50 = 0").select(F.struct("conv_id", "turn").alias("key"), "text")
+    found = op.RankedIndex(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").search(turns, "key", "text")
+    return found.select("key.conv_id", "key.turn", "doc_id", "score", "rank")
