@@ -8,6 +8,7 @@ from . import operators as op
 from . import sources as io
 from .query_base import query, table
 from .storage import state_path, store
+from .streaming import dedup_stream, run_stream, session_stream, use_rocks, windowed_counts
 
 #: Orders as visits in January 2024, when the events are: each begins at a minute its key decides and lasts for minutes to days.
 _VISITS = """v AS (SELECT o_orderkey, o_custkey AS user_id, TIMESTAMP '2024-01-01' + to_minutes((o_orderkey * 37 % 43200)::INT) AS begins,
@@ -167,3 +168,44 @@ def ranked_text_search(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").where("conv_id % 50 = 0").select(F.struct("conv_id", "turn").alias("key"), "text")
     found = op.RankedIndex(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").search(turns, "key", "text")
     return found.select("key.conv_id", "key.turn", "doc_id", "score", "rank")
+
+
+def _streamed(spark, rows, make, n=3):
+    """What a stream gives to which ``rows`` (ts, ...) come in ``n`` parts, in the order of their times; it is stopped after each part and started again from its checkpoint."""
+    whole, path, out, checkpoint = (state_path(spark) for _ in range(4))
+    rows.repartitionByRange(n, "ts").withColumn("nth", F.spark_partition_id()).write.partitionBy("nth").parquet(whole)
+    for i in range(n):
+        spark.read.parquet(whole).where(F.col("nth") == i).select(*rows.columns).write.mode("append").parquet(path)
+        made = make(spark.readStream.schema(rows.schema).parquet(path))
+        run_stream(made, out, checkpoint).awaitTermination()
+    return spark.read.schema(made.schema).parquet(out).select(*made.columns)
+
+
+def _stamped(spark, sf_dir):
+    return _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("""WITH m AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM m)
+SELECT user_id, epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS last, count(*) AS events FROM s GROUP BY user_id, session HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def stream_sessions(spark, sf_dir):
+    """Sessions of users on a stream that is restarted halfway: those that the watermark has closed."""
+    use_rocks(spark)
+    return _streamed(spark, _stamped(spark, sf_dir).select("user_id", "ts"), lambda s: session_stream(s, "user_id", "ts", 6 * 3600))
+
+
+@query("SELECT event_id, user_id FROM events")
+def stream_dedup(spark, sf_dir):
+    """Events each of which is sent twice, on a stream that is restarted halfway."""
+    rows = _stamped(spark, sf_dir).select("event_id", "user_id", "ts")
+    twice = rows.unionByName(rows.withColumn("ts", F.col("ts") + F.expr("interval 2 minutes")))
+    return _streamed(spark, twice, lambda s: dedup_stream(s, ["event_id"], "ts")).select("event_id", "user_id")
+
+
+@query("""SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start, event_type, count(*) AS rows, round(sum(value), 4) AS total FROM events
+WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL""")
+def stream_windows(spark, sf_dir):
+    """Hourly counts on a stream that is restarted halfway: the hours that the watermark has closed."""
+    rows = _stamped(spark, sf_dir).select("ts", "event_type", "value")
+    made = _streamed(spark, rows, lambda s: windowed_counts(s, "ts", "event_type"))
+    return made.select(F.unix_micros("start").alias("start"), "event_type", "rows", F.round("total", 4).alias("total"))
