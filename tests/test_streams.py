@@ -62,11 +62,11 @@ def test_sessions_survive_a_failure(spark, tmp_path):
 
 def test_repeats_are_dropped_once(spark, tmp_path):
     folder, checkpoint, out = (str(tmp_path / x) for x in ("in", "checkpoint", "out"))
-    for rows in ([(1, at(0)), (1, at(1)), (2, at(2))], [(2, at(3)), (None, at(4)), (None, at(5)), (3, at(6))], [(1, at(300)), (1, at(301))]):
+    for rows in ([(1, at(0)), (1, at(1)), (2, at(2))], [(2, at(3)), (None, at(4)), (None, at(5)), (3, at(6))], [(9, at(200))], [(1, at(300)), (1, at(301))]):
         spark.createDataFrame(rows, "k long, ts timestamp").coalesce(1).write.mode("append").parquet(folder)
         stream = spark.readStream.schema("k long, ts timestamp").parquet(folder)
         run_stream(dedup_stream(stream, ["k"], "ts"), out, checkpoint).awaitTermination()
-    assert sorted(str(r["k"]) for r in spark.read.parquet(out).collect()) == ["1", "1", "2", "3", "None"]
+    assert sorted(str(r["k"]) for r in spark.read.parquet(out).collect()) == ["1", "1", "2", "3", "9", "None"]
 
 
 @pytest.mark.parametrize("gap", [0, 3])
