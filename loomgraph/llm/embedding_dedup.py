@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import linked_components
-from .hot import join_groups
+from .hot import hot_keys, join_groups, join_salted
 from .lean import lean
 from .scratch import Scratch, parts_for
 
@@ -73,6 +73,12 @@ def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.r_[0, np.cumsum(lengths)]
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; divided by their largest component first, so that no square under- or overflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _filters(size: int, least: int):
     """(node, vector) to (token, node): a token names a filter and the dimension."""
     step = max(1, 256 * CODES[0] ** 2 // size**2)
@@ -86,7 +92,7 @@ def _filters(size: int, least: int):
                 for dim in np.unique(dims):
                     rows = np.flatnonzero(dims == dim)
                     x = np.stack([flat[ends[r] : ends[r + 1]] for r in rows])
-                    lists = decode(x / np.linalg.norm(x, axis=1, keepdims=True), size, least)
+                    lists = decode(unit(x), size, least)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists) + (int(dim) << 36)), pa.array(np.repeat(nodes[i + rows], [len(y) for y in lists]))], ["token", "node"])
 
     return run
@@ -94,6 +100,7 @@ def _filters(size: int, least: int):
 
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Cosines of rows of doubles with rows."""
+    x, y = (v / np.abs(v).max(axis=1, keepdims=True) for v in (x, y))
     return np.einsum("nd,nd->n", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
 
 
@@ -119,7 +126,7 @@ def _count(least: float):
         side, members = rows["side"].to_numpy(), rows["members"].to_numpy()
         flat, ends = _unit(rows["vector"].combine_chunks())
         x = flat.reshape(len(side), -1)
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        x = unit(x)
         own, other = side == 0, side == 1
         links = ((x[own] @ x[other].T) >= least) @ members[other]
         return pa.RecordBatch.from_arrays([pa.array(rows["node"].to_numpy()[own]), pa.array(links.astype(np.int64))], ["node", "links"])
@@ -170,7 +177,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     def verify(pairs: DataFrame, n: int) -> DataFrame:
         a, b = nodes.select(F.col("node").alias("a"), F.col("vector").alias("u")), nodes.select(F.col("node").alias("b"), F.col("vector").alias("v"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "u", "v").mapInArrow(lean(_close(least)), "a long, b long")
+        # a leader may be in a third of the pairs
+        met = join_salted(pairs.join(a, "a"), b, "b", hot_keys(pairs, "b", n), "a")
+        return met.select("a", "b", "u", "v").mapInArrow(lean(_close(least)), "a long, b long")
 
     roots = scratch.table(linked_components(scratch.table(posts, "posts"), verify, scratch), "roots")
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -181,9 +190,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     right = inside.select("root", every.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "node", "members", "vector")
     dealt = left.unionByName(right).repartition(parts_for(nodes), "root", "i", "j").sortWithinPartitions("root", "i", "j")
     links = dealt.mapInArrow(lean(_count(least)), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-    first = roots.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component"))
-    classes = nodes.select("node", "members", "least").join(roots, "node", "left").join(first, "root", "left").join(links, "node", "left")
-    classes = classes.select("node", "members", (F.coalesce("links", "members") - 1).alias("n_links"), F.coalesce("component", "least").alias("component"))
+    first = roots.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("size"))
+    # most vectors are in no component: they go no further, instead of meeting under a null root
+    linked = join_groups(roots, scratch.table(first, "first"), "root", "size").select("node", "component")
+    linked = nodes.select("node", "members").join(linked, "node").join(links, "node").select("node", "members", (F.col("links") - 1).alias("n_links"), "component")
+    alone = nodes.join(roots, "node", "left_anti").select("node", "members", (F.col("members") - 1).alias("n_links"), F.col("least").alias("component"))
+    classes = linked.unionByName(alone)
     out = join_groups(rows.select("id", "node"), scratch.table(classes, "classes"), "node", "members", "left")
     scratch.keep("rows", "classes")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component"))

@@ -19,6 +19,14 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: st
     n, total = counts or groups.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
     if n <= SMALL_ROWS:
         return rows.join(F.broadcast(groups), key, how)
+    if how == "left":
+        # rows of no group stay where they are: a shuffle would bring them all to one task
+        none = rows.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in groups.schema if f.name != key])
+        return none.unionByName(_joined_groups(rows.where(F.col(key).isNotNull()), groups, key, size, how, total).select(*none.columns))
+    return _joined_groups(rows, groups, key, size, how, total)
+
+
+def _joined_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str, total: int | None) -> DataFrame:
     bar = max(1000, int((total or 0) * HOT_SHARE))
     hot = groups.where(F.col(size) > bar)
     if hot.isEmpty():

@@ -84,6 +84,34 @@ def test_embedding_edges(spark):
     assert near_duplicates(vectors(spark, [])).count() == 0
 
 
+def test_vectors_of_any_scale(spark):
+    """Tiny and huge components, whose squares no double holds, have a direction all the same."""
+    rows = spark.createDataFrame([(1, [1e-200] * 4), (2, [1e200] * 4), (3, [1e-200, 0.0, 0.0, 0.0]), (4, [1e-300, 1e-300, 1e-300, 1e-300])], "vec_id long, embedding array<double>")
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in near_duplicates(rows).collect()) == [(1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 2, 1)]
+
+
+def test_rows_of_no_group_do_not_meet(spark, monkeypatch):
+    """With no broadcast, rows without a key stay in the tasks that have them, and the components are the same."""
+    from loomgraph.llm import hot
+
+    monkeypatch.setattr(hot, "SMALL_ROWS", 2)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    for k, v in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.coalescePartitions.enabled", "false"), ("spark.sql.shuffle.partitions", "8")):
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 4000, 1, 16).select("id", F.when(F.col("id") % 4 == 0, F.col("id") % 40).alias("k"))
+        groups = rows.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+        parts = [r["count"] for r in hot.join_groups(rows, groups, "k", "n", "left").groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(parts) == 4000 and max(parts) < 5 * sorted(parts)[len(parts) // 2]
+        rng = np.random.default_rng(1)
+        given = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((300, 16)))] + [(1000 + i, None) for i in range(300)] + [(2000 + i, [1.0] * 15 + [0.001 * i]) for i in range(60)]
+        got = {r["vec_id"]: r for r in near_duplicates(vectors(spark, given)).collect()}
+        assert len(got) == 660 and {got[2000 + i]["component_id"] for i in range(60)} == {2000} and got[1000]["n_links"] == 0 and got[1000]["component_id"] == 1000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def mixable(spark, rows):
     return spark.createDataFrame([(i, t, s, 1, "k") for i, t, s in rows], "doc_id long, text string, source string, size int, key string")
 
