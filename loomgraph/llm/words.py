@@ -24,9 +24,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_LOWER = np.arange(256, dtype=np.uint64)
-_LOWER[65:91] += np.uint64(32)
-_SHIFT = np.arange(0, 64, 8, dtype=np.uint64)
+_SOLID = ~_SPACE
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Masks of the low 0 to 8 bytes.
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def text_batches(column: pa.Array, chunk: int = _CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -52,26 +54,26 @@ def word_spans(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     none = np.zeros(0, np.int64)
     if len(raw) == 0:
         return np.zeros(0, np.uint64), none, none, np.zeros(len(ends), np.int64)
-    solid = ~_SPACE[raw]
-    begins = solid.copy()
+    solid = _SOLID[raw]
+    begins, stops = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
-    cut = ends[:-1][ends[:-1] < len(raw)]
-    begins[cut] = solid[cut]
+    stops[:-1] &= ~solid[1:]
+    cut = ends[(ends > 0) & (ends < len(raw))]
+    begins[cut], stops[cut - 1] = solid[cut], solid[cut - 1]
     starts = np.flatnonzero(begins)
     if len(starts) == 0:
         return np.zeros(0, np.uint64), none, none, np.zeros(len(ends), np.int64)
-    solid, at = solid[starts[0] :], starts - starts[0]
-    room = np.diff(np.r_[at, len(solid)])
-    lengths = np.add.reduceat(solid.view(np.uint8), at, dtype=np.int64)
-    inside = np.arange(len(solid)) - np.repeat(at, room)
-    value = _LOWER[raw[starts[0] :]] << _SHIFT[inside & 7]
-    value[~solid] = 0
-    pieces = np.flatnonzero((inside & 7) == 0)
-    nth = inside[pieces] >> 3
+    lengths = np.flatnonzero(stops) + 1 - starts
+    count = (lengths + 7) >> 3
+    first = np.cumsum(count) - count
+    nth = np.arange(int(count.sum())) - np.repeat(first, count)
+    # eight bytes from each piece's first on, those behind the word's end cleared
+    low = np.zeros(len(raw) + 8, np.uint8)
+    low[: len(raw)] = _LOWER[raw]
+    value = np.ndarray((len(raw) + 1,), "<u8", low.data, 0, (1,))[np.repeat(starts, count) + 8 * nth]
+    value = value & _KEEP[np.minimum(np.repeat(lengths, count) - 8 * nth, 8)]
     keys = mix(np.arange(1, int(nth.max()) + 2, dtype=np.uint64) * _BASE)
-    mixed = mix(np.add.reduceat(value, pieces) ^ keys[nth])
-    mixed[~solid[pieces]] = 0
-    total = np.add.reduceat(mixed, np.searchsorted(pieces, at))
+    total = np.add.reduceat(mix(value ^ keys[nth]), first)
     return mix(total + lengths.astype(np.uint64) * _BASE), starts, lengths, np.searchsorted(starts, ends)
 
 
