@@ -51,10 +51,13 @@ def message_role(role: Column) -> Column:
     return F.when(role.isin("user", "system", "assistant"), role).when(role == "tool_call", "tool").when(role.isin("tool", "function"), "function").otherwise("user")
 
 
+def timestamp_text(at: Column) -> Column:
+    """A time as ``Thu Jan  1 00:00:00 1970``."""
+    return F.concat(F.date_format(at, "EEE MMM "), F.lpad(F.dayofmonth(at).cast("string"), 2, " "), F.date_format(at, " HH:mm:ss yyyy"))
+
+
 def timestamp_now() -> Column:
-    """Now as ``Thu Jan  1 00:00:00 1970``."""
-    now = F.current_timestamp()
-    return F.concat(F.date_format(now, "EEE MMM "), F.lpad(F.dayofmonth(now).cast("string"), 2, " "), F.date_format(now, " HH:mm:ss yyyy"))
+    return timestamp_text(F.current_timestamp())
 
 
 def human_size(n: Column) -> Column:

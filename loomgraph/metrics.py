@@ -4,7 +4,7 @@ import time
 from dataclasses import dataclass
 from threading import Lock
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Kinds in the order they are shown, and which of them keep the least or the greatest value.
@@ -137,3 +137,27 @@ def aggregate_metrics(df: DataFrame, name: str = "metric_name", value: str = "me
     """A table of metrics by name: sums, the least start, the greatest end."""
     total = F.when(F.col(name) == "start_timestamp", F.min(value)).when(F.col(name) == "end_timestamp", F.max(value)).otherwise(F.sum(value))
     return df.groupBy(name).agg(total.alias(value))
+
+
+def sum_metrics(df: DataFrame, names: list[str], name: str = "metric_name", value: str = "metric_value") -> DataFrame:
+    """(name, value): the total of each of the named metrics; null for those that there are none of."""
+    asked = df.sparkSession.createDataFrame([(n,) for n in names], f"`{name}` string")
+    return asked.join(df.where(F.col(name).isin(names)).groupBy(name).agg(F.sum(value).alias(value)), name, "left").select(name, value)
+
+
+def without_timestamps(df: DataFrame, name: str = "metric_name") -> DataFrame:
+    return df.where(~F.col(name).isin(*TIMESTAMPS))
+
+
+def displayed_metrics(df: DataFrame, name: str = "metric_name", value: str = "metric_value") -> DataFrame:
+    """(place, name, value) of metrics that are summed up by name, a few rows, in the order in which they are shown: known kinds first, others as counts, then by name."""
+    kind = F.coalesce(F.get(F.map_values(F.map_filter(F.create_map(*[x for i, n in enumerate(ORDER) for x in (F.lit(n), F.lit(i))]), lambda k, _: k == F.col(name))), F.lit(0)), F.lit(ORDER.index("count")))
+    place = F.row_number().over(Window.orderBy(kind, name)) - 1
+    return df.select(place.cast("long").alias("place"), name, value)
+
+
+def metric_info(df: DataFrame) -> DataFrame:
+    """(task_name, metric_name, metric_value) with the totals of rows and time under "All"."""
+    rows = df.select("task_name", "metric_name", "metric_value")
+    whole = rows.where(F.col("metric_name").isin("output_rows", "elapsed_compute")).groupBy("metric_name").agg(F.sum("metric_value").alias("metric_value"))
+    return rows.unionByName(whole.withColumn("task_name", F.lit("All")))

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import operators as op
 from . import sources as io
-from .functions import dot, human_size, keep_last, norm, render_template, timestamp_now, unit
-from .metrics import MetricsSet
+from .functions import dot, human_size, keep_last, norm, render_template, timestamp_text, unit
+from .metrics import aggregate_metrics, displayed_metrics, metric_info, sum_metrics, without_timestamps
 from .models import EchoChat, ServiceChat, ServiceEmbedder, TableChat, answer, embed_texts
 from .plans import SessionRegistry, chat_session, document_session, make_session, tool_session
-from .query_base import query, table
+from .query_base import example, query, table
 from .session import ALWAYS, AddRows, Aggregator, Echo, FunctionProcessor, Message, MessageAggregator, Publish, RuntimeEnv, Session, SessionBuilder, Subscribe, Summary, TaskPlan, config_of, responses
 from .storage import state_path
 from .subjects import BATCH, ROW, Subject, assign_batches, concat_batches, first_row, numbered, replace_first_value, same_schema, visible
@@ -39,11 +40,11 @@ def _one(spark: SparkSession, value, name: str, kind: str = "string") -> DataFra
 # scans and sinks
 
 
-@query(_NATION)
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def ipc_file(spark, sf_dir):
     path = state_path(spark)
-    io.write_ipc_file(_nation(spark, sf_dir), path)
-    return io.read_ipc_file(spark, path).drop(BATCH, ROW)
+    io.write_arrow(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), path)
+    return io.scan_arrow(spark, path)
 
 
 @query("SELECT ids, title, batch FROM (SELECT n_nationkey::INT AS ids, n_name AS title, dense_rank() OVER (ORDER BY n_regionkey) - 1 AS batch FROM nation)")
@@ -96,7 +97,7 @@ def parquet_scan(spark, sf_dir):
     return rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("double").alias("quantity"))
 
 
-@query("SELECT * FROM (VALUES ('a', 1.0::DOUBLE), ('b', 2.5), ('c', NULL)) t(k, v)")
+@example("SELECT * FROM (VALUES ('a', 1.0::DOUBLE), ('b', 2.5), ('c', NULL)) t(k, v)")
 def inline_literals(spark, sf_dir):
     """A tool call's own rows; a column's type is that of all its values."""
     config = op.OperatorConfig(which="human-in-the-loop", lhs_args='[{"k": "a", "v": 1}, {"k": "b", "v": 2.5}, {"k": "c"}]')
@@ -200,7 +201,7 @@ def message_ipc(spark, sf_dir):
     return visible(back.df).select(F.lit(back.name).alias("name"), F.lit(back.subject).alias("subject"), F.lit(back.publisher).alias("publisher"), F.lit(back.publish.how).alias("how"), "ids", "title")
 
 
-@query("SELECT unnest(['from_s_on_a']) AS name")
+@example("SELECT unnest(['from_s_on_a']) AS name")
 def response_filter(spark, sf_dir):
     return spark.createDataFrame([(k,) for k in responses({"from_s_on_a": 1, "from_t_on_b": 2}, "_s_")], "name string")
 
@@ -237,10 +238,9 @@ def template_substitution(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", render_template("Document {id} in {lang}.", id=F.col("doc_id").cast("string"), lang=F.col("lang")).alias("text"))
 
 
-@query("SELECT 24 AS length, TRUE AS now")
+@query("SELECT event_id, strftime(ts, '%a %b ') || lpad(day(ts)::VARCHAR, 2, ' ') || strftime(ts, ' %H:%M:%S %Y') AS stamp FROM events")
 def timestamp_string(spark, sf_dir):
-    made = spark.range(1).select(timestamp_now().alias("t"), F.current_timestamp().alias("at"))
-    return made.select(F.length("t").alias("length"), F.endswith("t", F.date_format("at", "yyyy")).alias("now"))
+    return table(spark, sf_dir, "events").select("event_id", timestamp_text(F.col("ts")).alias("stamp"))
 
 
 @query("""SELECT doc_id, CASE WHEN n < 1000 THEN n || 'B' WHEN n < 1000000 THEN printf('%.2fKB', n / 1000.0) ELSE printf('%.2fMB', n / 1000000.0) END AS size FROM (SELECT doc_id, doc_id * 16 AS n FROM documents)""")
@@ -262,17 +262,24 @@ def vector_operations(spark, sf_dir):
 # tools and operators by name
 
 
-@query("""SELECT 'sort-scores-and-indices' AS tool_id, 'function' AS kind, 3 AS required UNION ALL SELECT 'human-in-the-loop', 'function', 1 UNION ALL SELECT 'chunk-documents', 'function', 3
+@example("""SELECT 'sort-scores-and-indices' AS tool_id, 'function' AS kind, 3 AS required UNION ALL SELECT 'human-in-the-loop', 'function', 1 UNION ALL SELECT 'chunk-documents', 'function', 3
 UNION ALL SELECT 'join-inner', 'function', 3 UNION ALL SELECT 'relative-similarity-score', 'function', 3""")
 def tool_catalog(spark, sf_dir):
     known = op.tool_catalog(spark, [*op.OPERATORS, "nothing"])
     return known.select("tool_id", F.get_json_object("tool", "$.type").alias("kind"), F.json_array_length(F.get_json_object("tool", "$.function.parameters.required")).alias("required"))
 
 
-@query("SELECT 'nation' AS lhs_name, 'n_nationkey' AS lhs_pk, 'sort-scores-and-indices' AS which, 'stream-lhs-stream-rhs' AS stream")
+@query("SELECT conv_id, turn, 't' || conv_id AS lhs_name, role AS lhs_pk, 'sort-scores-and-indices' AS which, 'stream-lhs-stream-rhs' AS stream FROM conversations")
 def operator_config(spark, sf_dir):
-    c = op.OperatorConfig.from_tool_call('{"name": "sort-scores-and-indices", "arguments": {"lhs_name": "nation", "lhs_pk": "n_nationkey"}}')
-    return spark.createDataFrame([(c.lhs_name, c.lhs_pk, c.which, c.stream)], "lhs_name string, lhs_pk string, which string, stream string")
+    """A tool call a turn, decoded batch by batch."""
+    call = F.to_json(F.struct(F.lit("sort-scores-and-indices").alias("name"), F.struct(F.concat(F.lit("t"), "conv_id").alias("lhs_name"), F.col("role").alias("lhs_pk")).alias("arguments")))
+
+    @F.pandas_udf("lhs_name string, lhs_pk string, which string, stream string")
+    def decoded(calls: pd.Series) -> pd.DataFrame:
+        found = [op.OperatorConfig.from_tool_call(c) for c in calls]
+        return pd.DataFrame({n: [getattr(c, n) for c in found] for n in ("lhs_name", "lhs_pk", "which", "stream")}, dtype=object)
+
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", decoded(call).alias("c")).select("conv_id", "turn", "c.*")
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey, r_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -332,7 +339,7 @@ def chat_local(spark, sf_dir):
     return op.fold_chat(said, [BATCH, ROW], ["conv_id"]).select("conv_id", "content")
 
 
-@query("SELECT * FROM (VALUES ('best', 'a a a'), ('top 1', 'a a a'), ('top half', 'a a a'), ('both', 'a a a')) t(mode, content)")
+@example("SELECT * FROM (VALUES ('best', 'a a a'), ('top 1', 'a a a'), ('top half', 'a a a'), ('both', 'a a a')) t(mode, content)")
 def sampling_modes(spark, sf_dir):
     """The modes that can only give the likeliest word give it."""
     modes = {"best": {"temperature": 0}, "top 1": {"top_k": 1}, "top half": {"top_p": 0.5}, "both": {"top_k": 2, "top_p": 0.5}}
@@ -594,7 +601,7 @@ def runtime_environment(spark, sf_dir):
     return spark.createDataFrame([("a", len({id(t.env.services["cache"]) for t in built.tasks.values()}))], "env string, shared int")
 
 
-@query("SELECT 'b' AS k, 2::BIGINT AS v")
+@example("SELECT 'b' AS k, 2::BIGINT AS v")
 def config_subject(spark, sf_dir):
     found = config_of(_one(spark, '{"k": "b", "v": 2}', "`values`"))
     return spark.createDataFrame([(found["k"], found["v"])], "k string, v long")
@@ -603,49 +610,44 @@ def config_subject(spark, sf_dir):
 # metrics
 
 
-def _metrics() -> MetricsSet:
-    m = MetricsSet()
-    for task, name, value in (("a", "output_rows", 3), ("b", "output_rows", 4), ("a", "start_timestamp", 5), ("b", "start_timestamp", 2), ("a", "end_timestamp", 7), ("b", "end_timestamp", 9), ("a", "elapsed_compute", 6)):
-        m.add(task, name, value)
-    hits, most = m.counter("a", "hits", shard="1"), m.gauge("b", "most", shard="2")
-    hits.add(2)
-    hits.add(3)
-    most.set(4)
-    most.set_max(1)
-    return m
-
-
-def _shown(spark: SparkSession, metrics: MetricsSet) -> DataFrame:
-    return spark.createDataFrame([(i, m.name, m.value) for i, m in enumerate(metrics)], "place long, name string, value long")
+_METRICS = """m AS (SELECT 't' || user_id % 4 AS task, ['output_rows', 'elapsed_compute', 'hits', 'most', 'start_timestamp', 'end_timestamp'][event_id % 6 + 1] AS name, event_id % 5 AS shard, event_id AS value FROM events),
+s AS (SELECT name, CASE name WHEN 'start_timestamp' THEN min(value) WHEN 'end_timestamp' THEN max(value) ELSE sum(value) END::BIGINT AS value,
+  CASE name WHEN 'output_rows' THEN 0 WHEN 'elapsed_compute' THEN 1 WHEN 'start_timestamp' THEN 9 WHEN 'end_timestamp' THEN 10 ELSE 6 END AS kind FROM m GROUP BY name)"""
 
 
-_BY_NAME = "(VALUES ('output_rows', 7), ('elapsed_compute', 6), ('hits', 5), ('most', 4), ('start_timestamp', 2), ('end_timestamp', 9)) t(name, value)"
+def _metric_rows(spark, sf_dir):
+    """Events as metrics of four tasks."""
+    names = F.array(*[F.lit(n) for n in ("output_rows", "elapsed_compute", "hits", "most", "start_timestamp", "end_timestamp")])
+    name = F.get(names, (F.col("event_id") % 6).cast("int"))
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("t"), (F.col("user_id") % 4).cast("string")).alias("task_name"), name.alias("metric_name"), (F.col("event_id") % 5).alias("shard"), F.col("event_id").alias("metric_value"))
 
 
-@query("SELECT unnest(['output_rows', 'elapsed_compute', 'nothing']) AS name, unnest([7, 6, NULL]) AS value")
+@query(f"WITH {_METRICS} SELECT a.name, (SELECT sum(value)::BIGINT FROM m WHERE m.name = a.name) AS value FROM (SELECT unnest(['output_rows', 'elapsed_compute', 'nothing']) AS name) a")
 def metric_sums(spark, sf_dir):
-    m = _metrics()
-    return spark.createDataFrame([(n, m.sum_by_name(n)) for n in ("output_rows", "elapsed_compute", "nothing")], "name string, value long")
+    return sum_metrics(_metric_rows(spark, sf_dir), ["output_rows", "elapsed_compute", "nothing"]).toDF("name", "value")
 
 
-@query(f"SELECT row_number() OVER () - 1 AS place, name, value FROM {_BY_NAME}")
+@query(f"WITH {_METRICS} SELECT row_number() OVER (ORDER BY kind, name) - 1 AS place, name, value FROM s")
 def metric_display(spark, sf_dir):
-    return _shown(spark, _metrics().aggregate_by_name().sorted_for_display())
+    return displayed_metrics(aggregate_metrics(_metric_rows(spark, sf_dir))).toDF("place", "name", "value")
 
 
-@query(f"SELECT row_number() OVER () - 1 AS place, name, value FROM {_BY_NAME} WHERE name NOT LIKE '%timestamp'")
+@query(f"WITH {_METRICS} SELECT row_number() OVER (ORDER BY kind, name) - 1 AS place, name, value FROM s WHERE name NOT LIKE '%timestamp'")
 def metrics_without_timestamps(spark, sf_dir):
-    return _shown(spark, _metrics().aggregate_by_name().timestamps_removed().sorted_for_display())
+    return displayed_metrics(without_timestamps(aggregate_metrics(_metric_rows(spark, sf_dir)))).toDF("place", "name", "value")
 
 
-@query("SELECT unnest(['output_rows', 'elapsed_compute']) AS name, unnest([7, 6]) AS value")
+@query(f"WITH {_METRICS} SELECT task, name, sum(value)::BIGINT AS value FROM (FROM m WHERE name IN ('output_rows', 'elapsed_compute')) GROUP BY ROLLUP (name, task) HAVING name IS NOT NULL".replace("SELECT task, name", "SELECT coalesce(task, 'All') AS task, name"))
 def metric_totals(spark, sf_dir):
-    return _metrics().info(spark).where("task_name = 'All'").select(F.col("metric_name").alias("name"), F.col("metric_value").alias("value"))
+    rows = _metric_rows(spark, sf_dir).where(F.col("metric_name").isin("output_rows", "elapsed_compute"))
+    return metric_info(rows.groupBy("task_name", "metric_name").agg(F.sum("metric_value").alias("metric_value"))).toDF("task", "name", "value")
 
 
-@query("SELECT 'a' AS task, 'hits' AS name, 'shard=1' AS labels, 5 AS value UNION ALL SELECT 'b', 'most', 'shard=2', 4")
+@query(f"WITH {_METRICS} SELECT task, name, 'shard=' || shard AS labels, sum(value)::BIGINT AS value FROM m WHERE name IN ('hits', 'most') GROUP BY ALL")
 def metric_labels(spark, sf_dir):
-    return spark.createDataFrame([(m.task, m.name, ",".join(f"{k}={v}" for k, v in m.labels), m.value) for m in _metrics() if m.labels], "task string, name string, labels string, value long")
+    rows = _metric_rows(spark, sf_dir).where(F.col("metric_name").isin("hits", "most"))
+    label = F.concat(F.lit("shard="), F.col("shard").cast("string"))
+    return rows.groupBy(F.col("task_name").alias("task"), F.col("metric_name").alias("name"), label.alias("labels")).agg(F.sum("metric_value").alias("value"))
 
 
 # plans
@@ -688,7 +690,7 @@ def tool_chat(spark, sf_dir):
     return visible(next(iter(said[-1].values())).df).select("content")
 
 
-@query("SELECT unnest(['Chat', 'DocChat']) AS plan, unnest([1, 7]) AS subjects, unnest([2, 5]) AS tasks, FALSE AS unknown")
+@example("SELECT unnest(['Chat', 'DocChat']) AS plan, unnest([1, 7]) AS subjects, unnest([2, 5]) AS tasks, FALSE AS unknown")
 def plan_factory(spark, sf_dir):
     def unknown():
         try:

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from loomgraph.queries import ORACLE, QUERIES
+from loomgraph.query_base import EXAMPLE_SQL, EXAMPLES
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
@@ -42,6 +43,13 @@ def test_query_and_sql_agree(spark, duck, name):
         assert got == table([c[0] for c in found.description], found.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(EXAMPLES))
+def test_examples_without_tables(spark, duck, name):
+    df = EXAMPLES[name](spark, SF)
+    found = duck.execute(EXAMPLE_SQL[name])
+    assert table(df.columns, df.collect()) == table([c[0] for c in found.description], found.fetchall())
+
+
 def test_contract(spark):
     assert entry.entry(spark).count() > 0
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
