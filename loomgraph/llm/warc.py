@@ -74,7 +74,7 @@ def _archive_writer(root: str, level: int):
         def close():
             if state["file"]:
                 state["file"].close()
-                name = f"part-{part:06d}-{state['count']:04d}.warc.gz"
+                name = f"part-{part:06d}-{state['count']:04d}-{own}.warc.gz"
                 store.move(f"{base}/.{own}", f"{base}/{name}")
                 out.append((f"{root}/{name}", state["n"], state["bytes"]))
                 state.update(file=None, n=0, bytes=0, count=state["count"] + 1)
@@ -102,12 +102,12 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
     Of rows with equal payloads of at least ``least`` bytes, that with the largest id is the
     response and the others are revisits of it; a group without any id is all responses. Null
     html is empty, a null url is about:blank. Rows that repeat id and payload are each written.
-    An archive gets its name when it is whole, and a task that runs again writes the same names
-    again. The jobs run at once.
+    Payloads are equal when their SHA-256 is. An archive gets its name when it is whole. Names have a part that is each
+    attempt's own, so a task that runs again meets no file of its first run; the result lists the archives of the attempts that count. The jobs run at once.
     """
     scratch = Scratch(pages.sparkSession, "warc")
     html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html).alias("digest"))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
     long = rows.where(F.octet_length("html") >= least).select("id", "digest")
     best = long.groupBy("digest").agg(F.max("id").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1 and best is not null")
     best = scratch.table(best.select("digest", "best", "n"), "repeated")

@@ -241,3 +241,27 @@ def test_queries_are_ten():
     for name in QUERIES:
         numbers[int(name[2:].split("_")[0])].append(name)
     assert sorted(numbers) == list(range(1, 11)) and all(len(x) == 1 for x in numbers.values())
+
+
+def test_a_second_attempt_writes_its_own_archives(spark, tmp_path, monkeypatch):
+    """A task that runs again after its first run moved an archive to its name."""
+    import pyarrow as pa
+
+    from loomgraph.llm import warc
+
+    class Context:
+        @staticmethod
+        def get():
+            return Context
+
+        @staticmethod
+        def partitionId():
+            return 3
+
+    monkeypatch.setattr(warc, "TaskContext", Context)
+    write = warc._archive_writer(f"file://{tmp_path}/w", 6)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["u", None]), pa.array(["<p>", None]), pa.array([None, None], pa.int64())], ["id", "url", "html", "refers_to"])
+    first, second = (next(write(iter([batch]))).to_pylist() for _ in range(2))
+    assert len(first) == len(second) == 1 and first[0]["path"] != second[0]["path"] and first[0]["records"] == 2
+    written = spark.createDataFrame(second, "path string, records long, bytes long")
+    assert sorted(r["page_id"] for r in read_archives(written).collect()) == [1, 2]
