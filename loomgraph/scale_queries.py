@@ -8,7 +8,7 @@ from . import operators as op
 from . import sources as io
 from .query_base import query, table
 from .storage import state_path, store
-from .streaming import dedup_stream, run_stream, session_stream, use_rocks, windowed_counts
+from .streaming import dedup_stream, run_stream, session_stream, similarity_stream, use_rocks, windowed_counts
 
 #: Orders as visits in January 2024, when the events are: each begins at a minute its key decides and lasts for minutes to days.
 _VISITS = """v AS (SELECT o_orderkey, o_custkey AS user_id, TIMESTAMP '2024-01-01' + to_minutes((o_orderkey * 37 % 43200)::INT) AS begins,
@@ -209,3 +209,15 @@ def stream_windows(spark, sf_dir):
     rows = _stamped(spark, sf_dir).select("ts", "event_type", "value")
     made = _streamed(spark, rows, lambda s: windowed_counts(s, "ts", "event_type"))
     return made.select(F.unix_micros("start").alias("start"), "event_type", "rows", F.round("total", 4).alias("total"))
+
+
+@query("SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 3) + 0.0 AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0")
+def stream_similarity(spark, sf_dir):
+    """A stream of vectors against every 50th, which is held."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    held = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    path, out, checkpoint = (state_path(spark) for _ in range(3))
+    vectors.write.parquet(path)
+    made = similarity_stream(held, spark.readStream.schema(vectors.schema).parquet(path), "query_id", "vec_id", "embedding", "embedding")
+    run_stream(made, out, checkpoint).awaitTermination()
+    return spark.read.schema(made.schema).parquet(out).select("query_id", "vec_id", (F.round(F.col("score").cast("double"), 3) + 0.0).alias("score"))
