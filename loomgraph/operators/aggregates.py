@@ -8,10 +8,14 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import store
+
 #: Of a count-min sketch: how far above the truth an estimate may be, as a share of all rows, and how likely it is to be further.
 ERROR, RISK = 0.002, 0.01
 #: Of a distinct sketch: 2 ** PRECISION registers, a standard error of about 1.04 / 2 ** (PRECISION / 2). Of a quantile sketch: its k.
 PRECISION, QUANTILES = 12, 400
+#: Rows of a table for which grouping sets have a part more.
+PART_ROWS = 1 << 20
 
 
 def _width(error: float) -> int:
@@ -75,7 +79,7 @@ def grouping_distinct(df: DataFrame, dims: list[str], distinct: list[str], sums:
     """(dims ..., grouping, rows, sums ..., distinct_<column> ...) of grouping sets, all subsets of ``dims`` without ``sets``: a cube.
 
     A set's missing dimensions are null, and ``grouping`` has a bit, the first dimension's the highest, for each that is missing, so a null in the data is told from it. Rows are first brought down to
-    one for each finest group, with its counts and sums, and one for each value in it that is to be counted once; only these are repeated for the sets. Spark's own expansion
+    one for each finest group, with its counts and sums, and one for each value in it that is to be counted once; only these are repeated for the sets, after they were dealt by value to parts of PART_ROWS table rows or so. Spark's own expansion
     repeats every row for every set and every distinct column. Null values are not counted. A table without rows has no groups but the grand total, of nothing.
     """
     sums = sums or {}
@@ -88,13 +92,17 @@ def grouping_distinct(df: DataFrame, dims: list[str], distinct: list[str], sums:
         own = rows.withColumn("grouping", F.explode(groups))
         return own.withColumns({d: F.when(F.col("grouping").bitwiseAND(F.lit(bits[d])) == 0, F.col(f"`{d}`")).cast(kinds[d]) for d in dims})
 
-    finest = df.groupBy(*dims).agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    finest, _ = store(df.groupBy(*dims).agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(n) for n, c in sums.items()]))
+    counted = finest.agg(F.sum("rows")).first()[0] or 0
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), counted // PART_ROWS)
     out = spread(finest).groupBy(*dims, "grouping").agg(F.sum("rows").alias("rows"), *[F.sum(n).alias(n) for n in sums])
-    if not df.take(1) and any(not s for s in wanted):
+    if not counted and any(not s for s in wanted):
         total = df.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(n) for n, c in sums.items()])
         out = total.select(*[F.lit(None).cast(kinds[d]).alias(d) for d in dims], F.lit(sum(bits.values())).cast("int").alias("grouping"), "rows", *sums)
     for i, c in enumerate(distinct):
-        values = spread(df.where(F.col(f"`{c}`").isNotNull()).select(*dims, F.col(f"`{c}`").alias("_value")).distinct()).distinct()
+        each = df.where(F.col(f"`{c}`").isNotNull()).select(*dims, F.col(f"`{c}`").alias("_value")).distinct()
+        # all sets' rows of a value are made in one task, so they need no exchange to be told apart; parts are by rows, not by bytes, which say little of the repeated rows
+        values = spread(each.repartition(parts, "_value")).distinct()
         names = {d: f"_d{j}" for j, d in enumerate([*dims, "grouping"])}
         counts = values.groupBy(*dims, "grouping").agg(F.count(F.lit(1)).alias(f"_n{i}")).withColumnsRenamed(names)
         same = F.lit(True)
