@@ -78,3 +78,30 @@ def test_joined_sessions(gap):
     for cut in range(25):
         held = join_sessions([(t, t, 1) for t in times[:cut]], gap)
         assert join_sessions(held + join_sessions([(t, t, 1) for t in times[cut:]], gap), gap) == whole
+
+
+def test_sessions_of_a_bucket_are_those_of_its_keys(monkeypatch):
+    import pyarrow as pa
+
+    from loomgraph.streaming import stateful
+
+    rng = random.Random(2)
+    events = [(rng.choice(["a", "b", None]), rng.randrange(200)) for _ in range(60)]
+    keys, times = zip(*events)
+    got = stateful._joined(pa.table([pa.array(keys, pa.string()), times, times, [1] * 60], schema=stateful._OPEN), 3)
+    want = [(k, *s) for k in ("a", "b", None) for s in join_sessions([(t, t, 1) for key, t in events if key == k], 3)]
+    assert sorted(map(str, zip(*(c.to_pylist() for c in got.columns)))) == sorted(map(str, want))
+
+
+def test_sessions_with_many_keys_of_a_bucket(spark, tmp_path, monkeypatch):
+    from loomgraph.streaming import stateful
+
+    monkeypatch.setattr(stateful, "BUCKETS", 2)
+    use_rocks(spark)
+    folder, checkpoint, out = (str(tmp_path / x) for x in ("in", "checkpoint", "out"))
+    big = 2**60
+    for rows in ([(big + k, at(m)) for k in range(20) for m in (0, 5)], [(None, at(300)), (big, at(301))]):
+        spark.createDataFrame(rows, "k long, ts timestamp").coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema("k long, ts timestamp").parquet(folder)
+        run_stream(session_stream(stream, "k", "ts", 600), out, checkpoint).awaitTermination()
+    assert sorted((r["k"], r["events"]) for r in spark.read.parquet(out).collect()) == [(big + k, 2) for k in range(20)]
