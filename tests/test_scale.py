@@ -213,3 +213,17 @@ def test_index_of_odd_vectors(spark, rows):
     assert sorted(((-1 if r["id"] is None else r["id"]), r["rank"], r["score"]) for r in got.collect()) == [(-1, 1, 1.0), (-1, 2, 0.707107), (5, 1, 1.0), (5, 1, 1.0), (5, 2, 1.0), (5, 2, 1.0), (6, 1, 1.0), (6, 2, 0.707107)]
     assert op.VectorIndex(table.limit(0), "id", "v").search(table, "id", "v", 2).count() == 0
     assert index.search(table.limit(0), "id", "v", 2).count() == 0
+
+
+def test_hot_buckets_repeat_the_smaller_side(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "LEAST", 20)
+    left = spark.createDataFrame([(i, 0) for i in range(100)], "a int, k int").selectExpr("a", "struct(k) AS meet")
+    right = spark.createDataFrame([(i, i % 2) for i in range(4000)], "b int, k int").selectExpr("b", "struct(k) AS meet")
+    seen = []
+    plain = type(left).join
+    monkeypatch.setattr(type(left), "join", lambda self, other, on=None, how=None: seen.append((self, other, on)) or plain(self, other, on, how))
+    got = intervals.salted_join(left, right, "meet")
+    sent = [df.count() for self, other, on in seen[-1:] for df in (self, other)]
+    # a hundred cells for the key: its 2,000 rows go to two each, not to five
+    assert sent[1] <= 8000 and sum(sent) < 12_000
+    assert got.count() == got.distinct().count() == 100 * 2000
