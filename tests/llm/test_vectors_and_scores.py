@@ -208,3 +208,14 @@ def test_spellings_are_a_distribution():
     assert empty + ended.sum() < 1 and two.sum() < 1 and first_a > 0
     known = np.exp2(-speller.bits(np.array([2, 2]), b"anzq"))
     assert known[0] > 50 * known[1]
+
+
+def test_spelling_is_fitted_on_all_words(spark, monkeypatch):
+    seen = []
+    plain = Speller.take
+    monkeypatch.setattr(Speller, "take", lambda self, sums: seen.append(float(sums[27 * 5 : 27 * 6].sum())) or plain(self, sums))
+    given = [(i, f"w{i}x{i % 7}") for i in range(300)]
+    score_texts(texts(spark, given)).count()
+    words = {t for i, t in given if zlib.crc32(str(i).encode()) % 10}
+    # eight bits of every letter of each word, and of the space and the end
+    assert seen and all(abs(x / (8 * (sum(len(w) + 1 for w in words) + 1)) - 1) < 1e-9 for x in seen)
