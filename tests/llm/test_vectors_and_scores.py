@@ -219,3 +219,23 @@ def test_spelling_is_fitted_on_all_words(spark, monkeypatch):
     words = {t for i, t in given if zlib.crc32(str(i).encode()) % 10}
     # eight bits of every letter of each word, and of the space and the end
     assert seen and all(abs(x / (8 * (sum(len(w) + 1 for w in words) + 1)) - 1) < 1e-9 for x in seen)
+
+
+def test_a_fit_sends_one_row_a_task_whatever_the_mixer_has(spark, monkeypatch):
+    seen = []
+    plain = context_mixing._sum_of_fits
+    monkeypatch.setattr(context_mixing, "_sum_of_fits", lambda fits, parts: seen.append((fits.count(), parts)) or plain(fits, parts))
+    score_texts(texts(spark, corpus(60))).count()
+    assert len(seen) == context_mixing.FITS and all(0 < rows <= parts for rows, parts in seen)
+
+
+def test_kept_inputs_give_the_same_fit(monkeypatch):
+    words = [b"an", b"anon", b"ban", b"on", b"", b"banana"] * 40
+    sizes, text = np.array([len(w) for w in words]), b"".join(words)
+    pairs, times = context_mixing.letter_pairs(sizes, text)
+    fit = lambda: Speller(bit_counts(sizes, text).astype(np.uint32), Mixer(27, context_mixing.LETTERS + 1, 256)).fit_pairs(pairs, times)
+    kept = fit()
+    monkeypatch.setattr(context_mixing, "KEPT", 0)
+    assert (fit() == kept).all()
+    ranked, back = context_mixing._distinct_letters(pairs[::-1].repeat(2))
+    assert (ranked == pairs).all() and (ranked[back] == pairs[::-1].repeat(2)).all()
