@@ -17,7 +17,7 @@ from .metrics import MetricsSet
 from .operators.messages import extend_chunks, has_message_columns, route_messages, summarize
 from .sources.readers import ipc_metadata, read_csv_text, read_ipc_stream, read_json_values
 from .sources.writers import to_csv_text, to_ipc_stream, to_json_objects
-from .storage import store
+from .storage import state_path, store
 from .subjects import BATCH, HIDDEN, ROW, Subject, last_batch, same_schema, visible, with_batches
 
 ON_UPDATE, ALWAYS = "on_update", "always"
@@ -50,8 +50,9 @@ class Publish:
     column: str | None = None
     custom: Callable[[Subject, DataFrame], Subject] | None = field(default=None, compare=False)
 
-    def apply(self, old: Subject, new: DataFrame) -> Subject:
-        """The subject after the update; it is stored, so its lineage ends here."""
+    def apply(self, old: Subject, new: DataFrame, path: str | None = None) -> Subject:
+        """The subject after the update; it is stored, so its lineage ends here. ``path``: where ``new``, batch and row numbers included, is stored already; it then replaces rows without being written again."""
+        path = path if set(HIDDEN) <= set(new.columns) else None
         new = with_batches(new)
         if self.how == "none":
             return old
@@ -65,6 +66,8 @@ class Publish:
             raise ValueError(f"The schema of {old.name} is {old.schema.simpleString()}, not {visible(new).schema.simpleString()}.")
         if self.how == "extend":
             return self._added(old, new)
+        if self.how == "replace" and path:
+            return Subject(old.name, new.select(*old.df.columns), paths=(path,))
         if self.how == "replace":
             return Subject.stored(old.name, new.select(*old.df.columns))
         if self.how == "replace_last":
@@ -80,13 +83,14 @@ class Publish:
 
 @dataclass
 class Message:
-    """A table on its way to a subject; ``df`` has batch and row numbers."""
+    """A table on its way to a subject; ``df`` has batch and row numbers. ``path``: the folder that it is stored in, if it is."""
 
     name: str
     subject: str
     publisher: str
     df: DataFrame
     publish: Publish
+    path: str | None = None
 
     def to_ipc(self) -> bytes:
         """The table as an Arrow stream whose schema names the message."""
@@ -315,7 +319,7 @@ class Session:
         changed: dict[str, set[str]] = {}
         for m in sorted((x for m in messages for x in m.routed()), key=lambda m: m.name):
             if m.subject in self.state and m.publish.how != "none":
-                self.state[m.subject] = m.publish.apply(self.state[m.subject], m.df)
+                self.state[m.subject] = m.publish.apply(self.state[m.subject], m.df, m.path)
                 changed.setdefault(m.subject, set()).add(m.publisher)
         return changed
 
@@ -337,11 +341,12 @@ class Session:
             wanted, out = {p.subject for p in task.publications}, []
             for m in box.values():
                 if m.subject in wanted or task.name == self.name or any(p.how == "none" and p.subject == m.subject for x in task.processors for p in x.publications):
-                    df, n = store(m.df)
+                    path = state_path(self.spark)
+                    df, n = store(m.df, path)
                     self.metrics.add(task.name, "output_rows", n)
                     if n == 0 and m.publish.how not in ("replace", "replace_last"):
                         continue
-                    out.append(Message(f"from_{task.name}_on_{m.subject}", m.subject, task.name, df, m.publish))
+                    out.append(Message(f"from_{task.name}_on_{m.subject}", m.subject, task.name, df, m.publish, path))
         return out
 
     def superstep(self, messages: list[Message] = ()) -> dict[str, Message] | None:

@@ -1,6 +1,7 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -191,3 +192,50 @@ def test_top_k_in_blocks(spark, rows, monkeypatch):
     whole = rows(similarity.top_k_similar(queries, table, 3, "query", "id", "v", "v"))
     monkeypatch.setattr(similarity, "BROADCAST_ROWS", 4)
     assert len(whole) == 33 and rows(similarity.top_k_similar(queries, table, 3, "query", "id", "v", "v")) == whole
+
+
+def test_hash_embedder_hashes_a_word_once(monkeypatch):
+    from loomgraph import models
+
+    seen = []
+    plain = models.hashlib.blake2b
+    monkeypatch.setattr(models.hashlib, "blake2b", lambda word, **k: seen.append(word) or plain(word, **k))
+    given = ["a b A", "", None, "Été b\tb c", "a"]
+    got = models.HashEmbedder(16).embed(given)
+    assert len(seen) == len(set(seen)) == 4
+    want = np.zeros((5, 16))
+    for row, text in zip(want, given, strict=True):
+        for word in (text or "").lower().split():
+            h = int.from_bytes(plain(word.encode(), digest_size=8).digest(), "little")
+            row[h % 16] += 1 - 2 * (h >> 63)
+    assert (got == want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-12)).all()
+    assert models.HashEmbedder(16).embed([]).shape == (0, 16)
+
+
+def test_vectors_without_direction_are_left_out_of_blocks(spark):
+    from loomgraph.operators.similarity import _directed, has_direction
+
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [1.0, inf]), (5, [None, 1.0]), (6, []), (7, [3.0]), (8, [-1e-30, 0.0])]
+    df = spark.createDataFrame(rows, "k long, v array<float>").coalesce(1)
+    want = [r["k"] for r in df.where(has_direction(F.col("v"))).collect()]
+    batch = df.toArrow().combine_chunks().to_batches()[0]
+    assert _directed(batch).column(0).to_pylist() == want == [0, 7, 8]
+    assert _directed(batch.slice(1, 7)).column(0).to_pylist() == [7]
+
+
+def test_a_stored_message_that_replaces_is_not_written_again(spark, monkeypatch):
+    from loomgraph import session, subjects
+
+    seen = []
+    plain = subjects.store
+    count = lambda df, path=None, *a: seen.append(path) or plain(df, path, *a)
+    monkeypatch.setattr(subjects, "store", count)
+    old = subjects.Subject("s", spark.createDataFrame([(1, "a")], "n int, t string"))
+    new = subjects.with_batches(spark.createDataFrame([(2, "b"), (3, "c")], "n int, t string"))
+    path = subjects.state_path(spark)
+    df, _ = plain(new, path)
+    got = session.Publish("s", "replace").apply(old, df, path)
+    assert not seen and got.paths == (path,) and sorted(r["n"] for r in got.data.collect()) == [2, 3]
+    more = session.Publish("s").apply(got, new)
+    assert len(seen) == 1 and more.count_rows() == 4 and more.count_batches() == 2
