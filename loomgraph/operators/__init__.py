@@ -25,7 +25,7 @@ from .relational import (
     top_k,
     union_tables,
 )
-from .similarity import score_pairs, similarity_scores, top_k_similar
+from .similarity import rank_pairs, score_pairs, similarity_scores, top_k_similar
 from .text_index import RankedIndex, SubstringIndex
 from .vector_index import VectorIndex
 

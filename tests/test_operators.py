@@ -239,3 +239,32 @@ def test_a_stored_message_that_replaces_is_not_written_again(spark, monkeypatch)
     assert not seen and got.paths == (path,) and sorted(r["n"] for r in got.data.collect()) == [2, 3]
     more = session.Publish("s").apply(got, new)
     assert len(seen) == 1 and more.count_rows() == 4 and more.count_batches() == 2
+
+
+@pytest.mark.parametrize("ranked", [1 << 21, 40, 7])
+def test_places_of_pairs_against_an_order(spark, monkeypatch, ranked):
+    from loomgraph.operators import similarity
+
+    monkeypatch.setattr(similarity, "RANKED", ranked)
+    monkeypatch.setattr(similarity, "LEFT", 4)
+    monkeypatch.setattr(similarity, "RIGHT", 16)
+    rng = np.random.default_rng(5)
+    # a large group of equal vectors, so one score has very many pairs, opposite ones, and some without direction
+    values = [[1.0, 2.0, 2.0]] * 40 + [[-1.0, -2.0, -2.0]] * 3 + rng.normal(size=(30, 3)).tolist() + [[0.0, 0.0, 0.0], None]
+    df = spark.createDataFrame([(i * 7 % 1000, v) for i, v in enumerate(values)], "n long, v array<float>").repartition(3)
+    pairs = op.score_pairs(df.where("n % 2 = 0"), df, "n", "n", "v", "v").collect()
+    want = sorted(((-r["score"], r["n"] * 1000 + r["n_rhs"]), r["n"], r["n_rhs"], r["score"]) for r in pairs)
+    got = sorted((r["place"], r["n"], r["n_rhs"], r["score"]) for r in op.rank_pairs(df.where("n % 2 = 0"), df, "n", "n", "v", "v", 1000).collect())
+    assert got == [(i, *r[1:]) for i, r in enumerate(want)] and len(got) > 2000
+    assert op.rank_pairs(df.limit(0), df, "n", "n", "v", "v").count() == 0
+
+
+def test_ranked_pairs_are_exchanged_once_and_packed(spark):
+    df = spark.range(3000).select(F.col("id").alias("n"), F.array(*[F.rand(i) - 0.5 for i in range(8)]).cast("array<float>").alias("v"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = lambda: (lambda it: [it.apply(i) for i in range(it.size())])(store.stageList(None, False, False, none, None))
+    before = {s.stageId() for s in stages()}
+    op.rank_pairs(df.where("n % 50 = 0"), df, "n", "n", "v", "v").write.format("noop").mode("overwrite").save()
+    moved = sum(s.shuffleWriteBytes() + s.outputBytes() for s in stages() if s.stageId() not in before)
+    assert moved < 9 * 3000 * 60 + 2_000_000
