@@ -14,7 +14,7 @@ from loomgraph.llm.bpe import WordBpe, bpe_decode, bpe_encode
 from loomgraph.llm.exact_dedup import drop_copies, exact_dedup
 from loomgraph.llm.ngram_join import drop_near_copies, ngram_classes
 from loomgraph.llm.sharding import shard
-from loomgraph.llm.substring_dedup import align, chains, edit_distance, shared_passages
+from loomgraph.llm.substring_dedup import align, all_pairs, chains, edit_distance, likely, shared_passages
 
 P = pytest.importorskip("public_tokenizers")
 VOCABULARY = P.path("word_bpe_49k.json")
@@ -260,6 +260,32 @@ def test_passages_with_even_edits(spark):
     assert {(r["doc_id"], r["source_id"]) for r in got} == {(2 * i + 1, 2 * i) for i in range(20)}
 
 
+@pytest.mark.parametrize("others", [6, 30])
+def test_passages_whose_parts_others_hold(spark, others):
+    """Two texts share an edited passage whose equal runs are each in other texts, too, different ones for each run: no seed's first holder or neighbour is the partner."""
+    rng = random.Random(23)
+    fresh = lambda n: [f"{rng.randrange(10**9)}" for _ in range(n)]
+    make = lambda *parts: " ".join(x for p in parts for x in p)
+    pairs, runs = 10, [[fresh(7) for _ in range(10)] for _ in range(10)]
+    rows = [make(*(part for own in runs for part in (own[j], fresh(20)))) for j in range(10) for _ in range(others)]
+    for own in runs:
+        rows += [make(fresh(30), *(part for run in own for part in (run, fresh(1))), fresh(30)) for _ in range(2)]
+    got = shared_passages(docs(spark, list(enumerate(rows)))).where("repeat").collect()
+    assert {(r["doc_id"], r["source_id"]) for r in got} == {(len(rows) - 2 * i - 1, len(rows) - 2 * i - 2) for i in range(pairs)}
+    assert len({r["doc_id"] for r in got if r["end_word"] - r["first_word"] >= 75 and 0.85 < r["similarity"] < 0.9}) == pairs
+
+
+def test_all_pairs_and_likeness():
+    i, j = all_pairs(np.array([0, 3, 4]), np.array([3, 1, 2]))
+    assert list(zip(i.tolist(), j.tolist(), strict=True)) == [(1, 0), (2, 0), (2, 1), (5, 4)]
+    rng = np.random.default_rng(3)
+    u = rng.integers(1, 60000, (1, 101)).astype(np.uint16)
+    moved = np.concatenate([u[:, :50], rng.integers(1, 60000, (1, 12)).astype(np.uint16), u[:, 50:89]], 1)
+    poor = u.copy()
+    poor[0, ::3] = 0
+    assert likely(u, moved).all() and not likely(u, poor).any() and not likely(u * 0, u * 0).any()
+
+
 def test_passages_against_brute_force(spark):
     """A corpus with one passage in 5 % of the texts, another in a third, common lines, copies, edited passages and a very long text: every document with an exact repeat of 50 words is listed with all its repeated words, and all that is listed is similar."""
     rng = random.Random(17)
