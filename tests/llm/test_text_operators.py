@@ -14,7 +14,7 @@ from loomgraph.llm.bpe import WordBpe, bpe_decode, bpe_encode
 from loomgraph.llm.exact_dedup import drop_copies, exact_dedup
 from loomgraph.llm.ngram_join import drop_near_copies, ngram_classes
 from loomgraph.llm.sharding import shard
-from loomgraph.llm.substring_dedup import align, all_pairs, chains, edit_distance, likely, shared_passages
+from loomgraph.llm.substring_dedup import _meetings, align, all_pairs, chains, edit_distance, likely, shared_passages
 
 P = pytest.importorskip("public_tokenizers")
 VOCABULARY = P.path("word_bpe_49k.json")
@@ -286,6 +286,43 @@ def test_all_pairs_and_likeness():
     assert likely(u, moved).all() and not likely(u, poor).any() and not likely(u * 0, u * 0).any()
 
 
+def hang_together(nodes, pairs):
+    root = {x: x for x in nodes}
+    for a, b in pairs:
+        a, b = root[a], root[b]
+        root = {x: min(a, b) if r in (a, b) else r for x, r in root.items()}
+    return len(set(root.values())) == 1
+
+
+def test_meetings_grow_with_the_places():
+    """60 places of a seed whose surroundings are edited copies, and 60 in runs of one word: as many pairs as join them, not all; runs of 50 are exact repeats, which hang together without."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 60000, 101).astype(np.uint16)
+    near = np.tile(base, (60, 1))
+    for row in near:
+        row[rng.choice(np.r_[:40, 60:101], 4, False)] = rng.integers(1, 60000, 4)
+    runs = rng.integers(1, 60000, (60, 101)).astype(np.uint16)
+    for i, row in enumerate(runs):
+        row[48 : 98 + i % 3] = 7
+    for around in (near, runs):
+        nodes = np.arange(60)
+        pairs = [(i, j) for a, b in _meetings(nodes, nodes.copy(), np.full(60, 9), around) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        assert len(pairs) < 120 and (around is runs or hang_together(range(60), pairs))
+
+
+def test_passages_of_one_word(spark):
+    """Texts with 50 to 54 times one word in a row hang together in about as many rows; passages of a short run of one word and edited words beside it are found, and no others."""
+    rng = random.Random(29)
+    fresh = lambda n: [f"{rng.randrange(10**9)}" for _ in range(n)]
+    beside = fresh(18)
+    rows = [(i, " ".join(fresh(30) + ["word"] * (50 + i % 5) + fresh(30))) for i in range(40)]
+    other = [(100 + i, " ".join(fresh(60) + [w if j % 6 else fresh(1)[0] for j, w in enumerate(beside)] + ["cell"] * 40 + fresh(60))) for i in range(2)]
+    other += [(200 + i, " ".join(fresh(60) + ["cell"] * 20 + fresh(60))) for i in range(20)]
+    got = [(r["doc_id"], r["source_id"]) for r in shared_passages(docs(spark, rows + other)).where("repeat").collect()]
+    assert hang_together(range(40), [x for x in got if x[0] < 100]) and len([x for x in got if x[0] < 100]) < 200
+    assert {x for x in got if x[0] >= 100} == {(101, 100)}
+
+
 def test_passages_against_brute_force(spark):
     """A corpus with one passage in 5 % of the texts, another in a third, common lines, copies, edited passages and a very long text: every document with an exact repeat of 50 words is listed with all its repeated words, and all that is listed is similar."""
     rng = random.Random(17)
