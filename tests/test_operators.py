@@ -268,3 +268,27 @@ def test_ranked_pairs_are_exchanged_once_and_packed(spark):
     op.rank_pairs(df.where("n % 50 = 0"), df, "n", "n", "v", "v").write.format("noop").mode("overwrite").save()
     moved = sum(s.shuffleWriteBytes() + s.outputBytes() for s in stages() if s.stageId() not in before)
     assert moved < 9 * 3000 * 60 + 2_000_000
+
+
+def test_all_scores_come_from_blocks_and_round_once(spark, rows, monkeypatch):
+    """Scores of odd vectors are those of the column function, no interpreted function runs on a pair, and doubles are rounded once, not after a cast to float."""
+    from loomgraph.functions.vectors import cosine
+    from loomgraph.operators import similarity
+
+    nan, inf = float("nan"), float("inf")
+    odd = [None, [], [0.0, 0.0], [3.0, 4.0], [-4.0, 3.0], [nan, 1.0], [inf, 1.0], [None, 1.0], [1.0], [1.0, 2.0, 2.0], [3.0, 4.0]]
+    df = spark.createDataFrame(list(enumerate(odd)), "n long, v array<double>").repartition(3)
+    want = df.select("n", "v").crossJoin(df.select(F.col("n").alias("m"), F.col("v").alias("w"))).select("n", "m", cosine(F.col("v"), F.col("w")).cast("float").alias("s"))
+    plain = lambda found: [tuple(str(x) for x in r) for r in found]
+    right = df.withColumnRenamed("n", "m")
+    for size in (similarity.LEFT, 2):
+        monkeypatch.setattr(similarity, "LEFT", size)
+        monkeypatch.setattr(similarity, "WAVE_BYTES", size * 16)
+        scores = op.similarity_scores(df, right, "n", "m", "v", "v")
+        assert plain(rows(scores)) == plain(rows(want)) and dict(scores.dtypes)["score"] == "float"
+    assert "zip_with" not in scores._jdf.queryExecution().toString() and "lambda" not in scores._jdf.queryExecution().toString()
+    below = 0.1235 - 1e-9
+    pair = spark.createDataFrame([(1, [1.0, 0.0]), (2, [below, math.sqrt(1 - below * below)]), (3, [-1.0, 0.0])], "n long, v array<double>")
+    got = {r["m"]: r["score"] for r in op.similarity_scores(pair.where("n = 1"), pair.withColumnRenamed("n", "m"), "n", "m", "v", "v", 3).collect()}
+    assert got == {1: 1.0, 2: 0.123, 3: -1.0}
+    assert similarity._rounded(np.array([0.0625, -0.0625, -0.0001, 0.4999, nan]), 3).astype(str).tolist() == ["0.063", "-0.063", "0.0", "0.5", "nan"]
