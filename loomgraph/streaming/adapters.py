@@ -4,18 +4,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..functions.vectors import cosine
-from ..operators.similarity import BROADCAST_ROWS
+from ..operators.similarity import held_blocks, scores_with
 from ..session import Message, Publish, Session
 from ..subjects import with_batches
 
 
-def similarity_stream(lhs: DataFrame, rhs: DataFrame, lhs_pk: str, rhs_pk: str, lhs_values: str, rhs_values: str) -> DataFrame:
-    """Scores of a stream of right rows with a static left table, held and broadcast to every micro-batch; it has BROADCAST_ROWS rows at most, which are counted."""
+def similarity_stream(lhs: DataFrame, rhs: DataFrame, lhs_pk: str, rhs_pk: str, lhs_values: str, rhs_values: str, places: int | None = None) -> DataFrame:
+    """Scores of a stream of right rows with a static left table, as of ``similarity_scores``; the left table is packed in blocks once, held, and broadcast to every micro-batch in waves of a checked size."""
     left = lhs.select(lhs_pk, F.col(lhs_values).alias("_u"))
-    if left.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError(f"The held side has over {BROADCAST_ROWS} rows: take them in parts.")
-    return rhs.crossJoin(F.broadcast(left)).select(lhs_pk, rhs_pk, cosine(F.col("_u"), F.col(rhs_values)).cast("float").alias("score"))
+    right = rhs.select(rhs_pk, F.col(rhs_values).alias("_v"))
+    return scores_with(held_blocks(left, lhs_pk), left, right, lhs_pk, rhs_pk, places)
 
 
 def superstep_stream(stream: DataFrame, session: Session, subject: str, checkpoint: str, how: str = "extend", handle=None) -> DataStreamWriter:

@@ -208,3 +208,14 @@ def test_stateless_operators_take_streams(spark, tmp_path):
     stream = spark.readStream.schema("id long, text string").parquet(str(tmp_path / "d"))
     chunk_documents(stream, "id", "text", 100, 10).writeStream.format("memory").queryName("chunks").trigger(availableNow=True).start().awaitTermination()
     assert sorted(map(tuple, spark.table("chunks").collect())) == sorted(map(tuple, chunk_documents(docs, "id", "text", 100, 10).collect()))
+
+
+def test_stream_against_a_large_held_side(spark, tmp_path):
+    """The held side may have more than 10,000 rows, and scores may be rounded doubles."""
+    held = spark.range(10_001).select(F.col("id").alias("a"), F.array((F.col("id") % 3).cast("double"), F.lit(1.0)).alias("v"))
+    path = str(tmp_path / "v")
+    spark.createDataFrame([(1, [0.0, 2.0]), (2, None)], "b long, v array<double>").write.parquet(path)
+    made = similarity_stream(held, spark.readStream.schema("b long, v array<double>").parquet(path), "a", "b", "v", "v", 3)
+    made.writeStream.format("memory").queryName("many_scores").trigger(availableNow=True).start().awaitTermination()
+    found = {(r["b"], r["score"]): r["n"] for r in spark.table("many_scores").groupBy("b", "score").agg(F.count("*").alias("n")).collect()}
+    assert found == {(1, 1.0): 3334, (1, 0.707): 3334, (1, 0.447): 3333, (2, None): 10_001}
